@@ -63,31 +63,45 @@ class WordIds:
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of ``words``."""
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        parts = [(w, core, w[len(core) :]) for w in new if letters(core := w.rstrip(".,"))]
-        cores = sorted({core for _, core, _ in parts} - self.known.keys())
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of ``new`` words: letters and the stops after them apart, anything else whole."""
+        cores, rest, split = set(), set(), []
+        for word in new:
+            core = word.rstrip(".,")
+            if letters(core):
+                cores.add(core)
+                if len(core) < len(word):
+                    split.append((word, core, word[len(core) :]))
+            else:
+                rest.add(word)
+        rest.update({tail for _, _, tail in split})
+        cores, rest = list(cores.difference(self.known)), list(rest.difference(self.known))
         chunks = [cores[i : i + 64] for i in range(0, len(cores), 64)]
-        for chunk, ids in zip(chunks, self.encoded([" ".join(c) for c in chunks]), strict=True):
+        found = self.encoded([" ".join(c) for c in chunks])
+        if chunks:
+            ids = np.concatenate(found)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            each = np.split(ids, ends[:-1]) if len(ends) == len(chunk) else self.encoded(chunk)
-            self.known.update((w, x.tobytes()) for w, x in zip(chunk, each, strict=True))
-        rest = sorted((set(new) | {tail for _, _, tail in parts}) - {w for w, _, _ in parts} - self.known.keys())
-        self.known.update((w, x.tobytes()) for w, x in zip(rest, self.encoded(rest), strict=True))
-        self.known.update((w, self.known[core] + self.known[tail]) for w, core, tail in parts if tail)
+            if len(ends) == len(cores):
+                self.remember(cores, ids.tobytes(), (4 * ends).tolist())
+            else:
+                for word, one in zip(cores, self.encoded(cores), strict=True):
+                    self.known[word] = one.tobytes()
+        for word, one in zip(rest, self.encoded(rest), strict=True):
+            self.known[word] = one.tobytes()
+        known = self.known
+        known.update([(word, known[core] + known[tail]) for word, core, tail in split])
+
+    def remember(self, words: list[str], data: bytes, ends: list[int]) -> None:
+        self.known.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def texts(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and the end id, four bytes each."""
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        self.learn({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None})
-        tail = int(end).to_bytes(4, "little")
-        return [b"".join(map(self.known.__getitem__, words) if None in ids else ids) + tail for words, ids in zip(split, found, strict=True)]
+        self.learn(set().union(*split).difference(self.known))
+        tail, ids = int(end).to_bytes(4, "little"), self.known.__getitem__
+        return [b"".join(map(ids, words)) + tail for words in split]
 
 
 @lru_cache(1)
