@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -13,7 +12,8 @@ from pyspark.sql import types as T
 #: Rows of an id table that may be broadcast (8 to 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
-_WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes of an Arrow batch handed to a Python worker.
+BATCH_BYTES = 4_000_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -52,6 +52,16 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most from now on, where the session has Spark's default of 64 MB.
+
+    Two batches of a worker and their decoded texts otherwise take several hundred MB beside the executor's heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def byte_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8, A-Z lower-cased; ``bytes.split`` splits at just these."""
     return text.encode("utf-8", "surrogatepass").lower().split()

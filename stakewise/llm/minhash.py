@@ -9,8 +9,9 @@
    document of any crowded bucket holds bound what a pair can share, and pairs below the threshold by that bound
    are never formed. This is exact, as such a shingle cannot be in an intersection.
 4. Each bucket first links its members to one centre, the member with the fewest shingles of its own. After the
-   components of those links, only pairs of a bucket that are still in different components are tested, so a large
-   group of near copies costs about one pair per member, not all pairs.
+   components of those links, only pairs of a bucket that are still in different components remain. In crowded
+   buckets each member has a bitmap of the centre's shingles that it holds; two bitmaps give what a pair shares of
+   the centre, and own shingles bound the rest, so hardly a pair below the threshold is formed.
 5. A pair counts if its signatures agree to within 4.5 deviations of the threshold and the full sets confirm it.
 
 A null text, or one without words, has an empty set and is linked with nothing. Texts with fewer words than a
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakewise.llm.common import byte_words, small_or_shuffled, stored
+from stakewise.llm.common import bounded_batches, byte_words, small_or_shuffled, stored
 from stakewise.llm.components import connected_components
 from stakewise.llm.words import shingles, word_hashes
 
@@ -106,26 +107,45 @@ def may_link(a: str, b: str, percent: int):
     return (most * 100) >= (na + nb - most) * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose signatures, then full sets, reach the threshold."""
+def shared_with_centre(a: str, b: str, percent: int):
+    """``may_link`` by the bitmaps of two members of a crowded bucket, where both have one."""
+    both = F.aggregate(F.zip_with(f"{a}.inside", f"{b}.inside", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0).cast("long"), lambda n, x: n + x)
+    rest = F.greatest(F.lit(0), F.least(F.col(f"{a}.outside") - F.col(f"{a}.own"), F.col(f"{b}.outside") - F.col(f"{b}.own")))
+    most = both + rest
+    return F.coalesce(most * 100 >= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles") - most) * percent, F.lit(True))
+
+
+COMPARED = "u long, v long, linked boolean, inside array<long>, outside long"
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
+    """``pairs`` (u, v, bits) with ``linked``: whether signatures, then full sets, reach the threshold. Where ``bits``
+    is set, also a bitmap of the shingles of u that v holds, and how many others v has."""
     t = percent / 100
     least = count * (t - 4.5 * math.sqrt(t * (1 - t) / count))
 
+    def bitmap(held: np.ndarray) -> np.ndarray:
+        packed = np.packbits(held)
+        return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<i8")
+
     def test(frames):
         for frame in frames:
-            keep = []
-            for m1, m2, d1, d2 in zip(frame["m1"], frame["m2"], frame["s1"], frame["s2"], strict=True):
-                if np.count_nonzero(np.frombuffer(m1, "<u4") == np.frombuffer(m2, "<u4")) < least:
-                    keep.append(False)
+            rows = []
+            for u, v, bits, m1, m2, d1, d2 in zip(*[frame[c] for c in ("u", "v", "bits", "m1", "m2", "s1", "s2")], strict=True):
+                alike = np.count_nonzero(np.frombuffer(m1, "<u4") == np.frombuffer(m2, "<u4")) >= least
+                if not alike and not bits:
                     continue
                 x, y = np.frombuffer(d1, "<u8"), np.frombuffer(d2, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield frame.loc[np.array(keep, bool), ["u", "v"]]
+                held = np.isin(x, y, assume_unique=True)
+                both = int(np.count_nonzero(held))
+                linked = alike and 100 * both >= percent * (len(x) + len(y) - both)
+                if linked or bits:
+                    rows.append((u, v, linked, bitmap(held) if bits else None, len(y) - both))
+            yield pd.DataFrame(rows, columns=["u", "v", "linked", "inside", "outside"])
 
     one = sets.select(F.col("doc_id").alias("u"), F.col("minima").alias("m1"), F.col("values").alias("s1"))
     two = sets.select(F.col("doc_id").alias("v"), F.col("minima").alias("m2"), F.col("values").alias("s2"))
-    return pairs.join(two, "v").join(one, "u").select("u", "v", "m1", "m2", "s1", "s2").mapInPandas(test, "u long, v long")
+    return pairs.join(two, "v").join(one, "u").select("u", "v", "bits", "m1", "m2", "s1", "s2").mapInPandas(test, COMPARED)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,6 +153,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Documents are linked where 100 * intersection >= ``percent`` * union of their distinct shingle sets.
     """
+    bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(sketches(named, width, bands * rows), "sketch")
     classes = sketch.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
@@ -149,21 +170,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     own = own_shingles(sets.select("doc_id", "values").join(wanted.filter("crowded").select("doc_id"), "doc_id"))
     sized = members.join(sets.select("doc_id", "n_shingles"), "doc_id").join(own, "doc_id", "left")
     sized = sized.withColumn("own", F.when(F.col("members") >= CROWDED, F.coalesce("own", F.lit(0))).otherwise(0))
-    sized = stored(sized.filter((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * percent).drop("members"), "sized")
+    sized = stored(sized.filter((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * percent).withColumn("crowd", F.col("members") >= CROWDED).drop("members"), "sized")
     centre = sized.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n_shingles")).alias("share"), "doc_id", "n_shingles", "own")).alias("c"))
     centre = centre.select("key", "c.doc_id", "c.n_shingles", "c.own")
+    count = bands * rows
     a, b = centre.alias("a"), sized.alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key AND a.doc_id <> b.doc_id") & may_link("a", "b", percent))
-    pairs = stored(pairs.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct(), "pairs")
-    links = stored(confirmed(pairs, sets, percent, bands * rows), "links")
+    bits = F.col("b.crowd")
+    pairs = a.join(b, F.expr("a.key = b.key AND a.doc_id <> b.doc_id") & (bits | may_link("a", "b", percent)))
+    pairs = stored(pairs.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(F.bool_or("b.crowd").alias("bits")), "pairs")
+    tested = stored(compared(pairs, sets, percent, count), "tested")
+    links = tested.filter("linked").select("u", "v")
     labels = connected_components(links)
     placed = sized.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    placed = stored(placed.join(open_keys, "key", "left_semi"), "placed")
+    placed = placed.join(open_keys, "key", "left_semi").join(centre.select("key", F.col("doc_id").alias("u")), "key")
+    maps = tested.filter("inside IS NOT NULL").select("u", F.col("v").alias("doc_id"), "inside", "outside")
+    placed = stored(placed.join(maps, ["u", "doc_id"], "left").withColumn("inside", F.when(F.col("crowd"), F.col("inside"))), "placed")
     a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, F.expr("a.key = b.key AND a.component < b.component") & may_link("a", "b", percent))
-    rest = rest.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    late = confirmed(stored(rest, "rest"), sets, percent, bands * rows)
+    rest = a.join(b, F.expr("a.key = b.key AND a.component < b.component AND a.doc_id <> a.u AND b.doc_id <> b.u") & may_link("a", "b", percent) & shared_with_centre("a", "b", percent))
+    rest = rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct().withColumn("bits", F.lit(False))
+    late = compared(stored(rest, "rest"), sets, percent, count).filter("linked").select("u", "v")
     labels = connected_components(links.union(late))
     named_classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.drop("minima").join(named_classes, ["fp1", "fp2"], "left")
