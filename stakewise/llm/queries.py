@@ -16,6 +16,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakewise.llm.warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.minhash import near_duplicates
 
@@ -81,5 +87,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_minhash, op4_decontamination, op5_sharding, op7_packing, op9_chat, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op7_packing, op9_chat, op10_lines)}
 ORACLE_SQL: dict[str, str] = {"op9_chat": OP9_SQL}
