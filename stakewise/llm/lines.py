@@ -86,6 +86,18 @@ def _folded(y: Column, x: Column, most: int, width: int, full: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), start, column, lambda s: s["d"])
 
 
+def differ_in_one_window(one: Column, two: Column, windows: int = 8) -> Column:
+    """Whether two strings agree outside one of ``windows`` equal windows, as any pair within one edit does."""
+    n = F.least(F.char_length(one), F.char_length(two))
+
+    def agree(i: int) -> Column:
+        before = F.floor(n * i / windows).cast("int")
+        behind = n - F.floor(n * (i + 1) / windows).cast("int")
+        return (F.left(one, before) == F.left(two, before)) & (F.right(one, behind) == F.right(two, behind))
+
+    return reduce(Column.__or__, [agree(i) for i in range(windows)])
+
+
 def segment_key(side: int, length: Column, segment: Column) -> Column:
     return F.xxhash64(F.lit(side), length, segment)
 
@@ -180,7 +192,7 @@ def line_links(distinct: DataFrame, docs: DataFrame, min_chars: int) -> tuple[Da
     found, alike = split_windows(rows.filter(F.col("m") > CROWDED), texts)
     pairs = stored(united([small_pairs(rows), *found]).distinct(), "pairs")
     one, two = texts.select(F.col("lid").alias("u"), F.col("line").alias("x")), texts.select(F.col("lid").alias("v"), F.col("line").alias("y"))
-    checked = pairs.join(one, "u").join(two, "v").filter(edit_distance(F.col("x"), F.col("y")) <= 1)
+    checked = pairs.join(one, "u").join(two, "v").filter(differ_in_one_window(F.col("x"), F.col("y"))).filter(edit_distance(F.col("x"), F.col("y")) <= 1)
     links = stored(checked.select("u", "v"), "links")
     counts = united([links.select(F.explode(F.array("u", "v")).alias("lid"), F.lit(1).cast("long").alias("n")), *[a.select(F.col("u").alias("lid"), F.col("others").alias("n")) for a in alike]])
     return united([links, *[a.select("u", "v") for a in alike]]), counts.groupBy("lid").agg(F.sum("n").alias("degree"))
@@ -205,15 +217,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     classes = stored(classes.withColumn("component", F.coalesce("component", "lid")), "classes")
     home = classes.groupBy("component").agg(F.min("first").alias("home"))
     affected = stored(classes.join(home, "component").select("fp1", "fp2", "home", F.coalesce("degree", F.lit(0)).alias("degree")), "affected")
-    at = lines.select(*PLACE, "fp1", "fp2").join(small_or_shuffled(affected), ["fp1", "fp2"])
+    at = lines.select(*PLACE, "fp1", "fp2").join(affected, ["fp1", "fp2"])
     away = F.struct(*PLACE) != F.col("home")
     hit = F.struct(F.col("line_no").alias("line"), F.col("home.doc_id").alias("home_doc"), F.col("home.line_no").alias("home_line"), away.alias("away"), "degree")
     by_doc = at.groupBy("r1", "r2").agg(F.sort_array(F.collect_set(hit)).alias("hits"))
     gone = F.transform(F.filter("hits", lambda h: h["away"]), lambda h: F.struct(*[h[c].alias(c) for c in ("line", "home_doc", "home_line")]))
     degree = F.aggregate("hits", F.lit(0).cast("long"), lambda d, h: d + h["degree"])
     by_doc = stored(by_doc.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), gone.alias("__gone"), degree.alias("__degree")), "removed")
-    size = by_doc.agg(F.count("*"), F.sum(F.size("__gone"))).first()
-    by_doc = small_or_shuffled(by_doc, size[0] + (size[1] or 0))
     joined = docs.withColumns({"__r1": r1, "__r2": r2}).join(by_doc, ["__r1", "__r2"], "left")
     text = F.col(text_col)
     own = F.split(text, "\n")
@@ -221,5 +231,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     runs = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda k: F.slice(own, bounds[k] + 2, bounds[k + 1] - bounds[k] - 1))
     kept = F.when(F.size("__gone") > 0, F.array_join(F.flatten(runs), "\n")).otherwise(text)
     removed = F.coalesce("__gone", F.array().cast("array<struct<line: int, home_doc: long, home_line: int>>"))
-    found = F.struct(F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__degree", F.lit(0).cast("long")).alias("n_links"), removed.alias("removed"))
+    found = F.struct(F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__degree", F.lit(0).cast("long")).alias("n_links"), removed.alias("removed"))
     return joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], found.alias(out))
