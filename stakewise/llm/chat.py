@@ -46,10 +46,12 @@ def pointers(messages: DataFrame) -> list[DataFrame]:
     most = tables[0].count().bit_length() + 1
     for _ in range(most):
         last = tables[-1]
-        if last.filter("up IS NOT NULL").isEmpty():
+        climbing = last.filter("up IS NOT NULL")
+        if climbing.isEmpty():
             break
         above = last.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"))
-        tables.append(stored(last.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "pointers"))
+        onward = climbing.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        tables.append(stored(onward.union(last.filter("up IS NULL")), "pointers"))
     return tables
 
 
