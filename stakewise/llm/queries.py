@@ -43,6 +43,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakewise.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="stakewise").select("doc_id", "text", "pii.*")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +57,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakewise.llm.scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.chat import chained, format_paths, read_loss, read_turns
 
@@ -87,5 +99,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op7_packing, op9_chat, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines)}
 ORACLE_SQL: dict[str, str] = {"op9_chat": OP9_SQL}
