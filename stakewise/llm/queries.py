@@ -19,7 +19,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.warc import round_trip
 
-    return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(spark, table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

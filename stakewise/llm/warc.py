@@ -192,7 +192,7 @@ def chain_entries(scan: DataFrame) -> DataFrame:
     return stored(joined.select("file", "block", "base", "entry", F.when(reaches, F.col("open.last")).alias("carry"), F.when(reaches, F.col("open.to")).alias("carry_end")), "entries")
 
 
-def parsed(data: bytes) -> tuple | None:
+def parsed(data: bytes, payloads: bool = True) -> tuple | None:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of a record's bytes."""
     header, _, rest = data.partition(b"\r\n\r\n")
     fields = header_fields(header)
@@ -204,7 +204,7 @@ def parsed(data: bytes) -> tuple | None:
     page, url, kind = number(fields.get(b"warc-record-id", "")), fields.get(b"warc-target-uri"), fields.get(b"warc-type")
     if kind == "revisit":
         return page, url, kind, number(fields.get(b"warc-refers-to", "")), content_length(http), fields.get(b"warc-payload-digest", "").removeprefix("sha1:"), None
-    return page, url, kind, None, len(payload), b32encode(hashlib.sha1(payload).digest()).decode(), payload
+    return page, url, kind, None, len(payload), b32encode(hashlib.sha1(payload).digest()).decode(), payload if payloads else None
 
 
 COLUMNS = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
@@ -214,59 +214,66 @@ def typed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if c in ("page_id", "refers_to", "payload_bytes", "at")})
 
 
-def cut(frames):
+def cutter(payloads: bool):
     """Records that lie in one byte range, parsed; parts of others as (record, at, data)."""
-    names = ["file", "record", "at", "data", *COLUMNS]
-    key, base, pos, next_at = None, 0, 0, None
-    open_at, open_end, parts = None, 0, []
-    rows: list[tuple] = []
-
-    def flushed(whole: bool):
-        nonlocal parts
-        if open_at is not None and parts:
-            data = b"".join(x for _, x in parts)
-            if not whole:
-                rows.append((key[0], open_at, parts[0][0], data, *[None] * 7))
-            elif (fields := parsed(data)) is not None:
-                rows.append((key[0], open_at, None, None, *fields))
-        parts = []
 
-    for frame in frames:
-        for file, block, *places, value in zip(*[frame[c] for c in ("file", "block", "base", "entry", "carry", "carry_end", "value")], strict=True):
-            if (file, block) != key:
-                if key:
-                    flushed(False)
-                base, next_at, open_at, open_end = (None if pd.isna(x) else int(x) for x in places)
-                key, pos = (file, block), base
-            data = value + b"\r\n\r\n"
-            head = None if next_at is None else next_at - pos
-            if head is not None and head < len(data):
-                if head:
-                    parts.append((pos, data[:head]))
-                flushed(open_at is not None and open_at >= base)
-                length = content_length(value[head:]) if value[head:].startswith(b"WARC/1.") else None
-                open_at, parts = (None, []) if length is None else (next_at, [(next_at, data[head:])])
-                next_at = open_end = None if length is None else next_at + len(data) - head + length + 4
-            elif open_at is not None and pos < open_end:
-                parts.append((pos, data))
-            pos += len(data)
+    def cut(frames):
+        names = ["file", "record", "at", "data", *COLUMNS]
+        key, base, pos, next_at = None, 0, 0, None
+        open_at, open_end, parts = None, 0, []
+        rows: list[tuple] = []
+
+        def flushed(whole: bool):
+            nonlocal parts
+            if open_at is not None and parts:
+                data = b"".join(x for _, x in parts)
+                if not whole:
+                    rows.append((key[0], open_at, parts[0][0], data, *[None] * 7))
+                elif (fields := parsed(data, payloads)) is not None:
+                    rows.append((key[0], open_at, None, None, *fields))
+            parts = []
+
+        for frame in frames:
+            for file, block, *places, value in zip(*[frame[c] for c in ("file", "block", "base", "entry", "carry", "carry_end", "value")], strict=True):
+                if (file, block) != key:
+                    if key:
+                        flushed(False)
+                    base, next_at, open_at, open_end = (None if pd.isna(x) else int(x) for x in places)
+                    key, pos = (file, block), base
+                data = value + b"\r\n\r\n"
+                head = None if next_at is None else next_at - pos
+                if head is not None and head < len(data):
+                    if head:
+                        parts.append((pos, data[:head]))
+                    flushed(open_at is not None and open_at >= base)
+                    length = content_length(value[head:]) if value[head:].startswith(b"WARC/1.") else None
+                    open_at, parts = (None, []) if length is None else (next_at, [(next_at, data[head:])])
+                    next_at = open_end = None if length is None else next_at + len(data) - head + length + 4
+                elif open_at is not None and pos < open_end:
+                    parts.append((pos, data))
+                pos += len(data)
+            if rows:
+                yield typed(rows, names)
+                rows = []
+        if key:
+            flushed(False)
         if rows:
             yield typed(rows, names)
-            rows = []
-    if key:
-        flushed(False)
-    if rows:
-        yield typed(rows, names)
 
+    return cut
 
-def parse_joined(frames):
-    for frame in frames:
-        yield typed([x for x in map(parsed, frame["data"]) if x is not None], COLUMNS)
+
+def joined_parser(payloads: bool):
+    def parse(frames):
+        for frame in frames:
+            yield typed([x for data in frame["data"] if (x := parsed(data, payloads)) is not None], COLUMNS)
+
+    return parse
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record reached from its file's start: page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest (of the payload as read; of a revisit, as its header says) and payload (null for a revisit)."""
+    payload_digest (of the payload as read; of a revisit, as its header says) and payload (null for a revisit, and without ``payloads``, where only digests are wanted)."""
     bounded_batches(spark)
     pieces = blank_split(spark, path)
     scan = scan_ranges(pieces)
@@ -278,14 +285,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     pieces = pieces.withColumn("place", F.monotonically_increasing_id()).join(small_or_shuffled(entries, n), ["file", "block"])
     if n > BROADCAST_ROWS:
         pieces = pieces.sortWithinPartitions("file", "block", "place")
-    out = stored(pieces.select("file", "block", "base", "entry", "carry", "carry_end", "value").mapInPandas(cut, CUT), "records")
+    out = stored(pieces.select("file", "block", "base", "entry", "carry", "carry_end", "value").mapInPandas(cutter(payloads), CUT), "records")
     parts = out.filter("at IS NOT NULL").groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
     data = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"]))
-    return out.filter("at IS NULL").select(*COLUMNS).union(parts.select(data.alias("data")).mapInPandas(parse_joined, RECORD))
+    return out.filter("at IS NULL").select(*COLUMNS).union(parts.select(data.alias("data")).mapInPandas(joined_parser(payloads), RECORD))
 
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of ``pages`` as read back from an archive in the shared folder."""
     path = new_folder(spark, "warc")
     write_warc(pages, path)
-    return read_warc(spark, path)
+    return read_warc(spark, path, payloads)
