@@ -1 +1,6 @@
+"""The registered queries and their SQL."""
 
+from stakewise.plans import relational, sequential, statistics
+from stakewise.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "relational", "sequential", "statistics"]
