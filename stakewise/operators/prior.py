@@ -118,7 +118,7 @@ def signal_lookup(bins: np.ndarray, weights: np.ndarray, width: float, sigma: fl
     kernel /= kernel.sum()
     both = np.fft.rfft([mass, wrong, kernel], axis=1)
     density, joint = np.maximum(np.fft.irfft(both[:2] * both[2], len(mass), axis=1), 0)
-    q = np.maximum.accumulate(np.divide(joint, density, out=np.zeros_like(joint), where=density > 1e-14))
+    q = np.maximum.accumulate(np.divide(joint, density, out=np.zeros_like(joint), where=density > 1e-9 * density.max()))
     tails = [np.concatenate([[x.sum()], x.sum() - np.cumsum(x)])[:-1] for x in (density, joint)]
     return {"signal": signal, "q": q, "action_tail": tails[0], "success_tail": tails[1]}
 
