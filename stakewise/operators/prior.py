@@ -113,11 +113,12 @@ def signal_lookup(bins: np.ndarray, weights: np.ndarray, width: float, sigma: fl
         if b >= 0:
             wrong[at : at + per_bin] += w / per_bin
     signal = (np.arange(len(mass)) - pad + 0.5) * step + first * width
-    offsets = np.minimum(np.arange(len(mass)), len(mass) - np.arange(len(mass))) * step
+    size = len(mass) + 2 * pad  # room enough that nothing comes round from the other end
+    offsets = np.minimum(np.arange(size), size - np.arange(size)) * step
     kernel = np.exp(-((offsets / sigma) ** 2) / 2)
     kernel /= kernel.sum()
-    both = np.fft.rfft([mass, wrong, kernel], axis=1)
-    density, joint = np.maximum(np.fft.irfft(both[:2] * both[2], len(mass), axis=1), 0)
+    parts = np.fft.rfft(np.array([mass, wrong]), size, axis=1) * np.fft.rfft(kernel)
+    density, joint = np.maximum(np.fft.irfft(parts, size, axis=1)[:, : len(mass)], 0)
     q = np.maximum.accumulate(np.divide(joint, density, out=np.zeros_like(joint), where=density > 1e-9 * density.max()))
     tails = [np.concatenate([[x.sum()], x.sum() - np.cumsum(x)])[:-1] for x in (density, joint)]
     return {"signal": signal, "q": q, "action_tail": tails[0], "success_tail": tails[1]}
