@@ -29,6 +29,8 @@ NEARLY_FULL = 8
 #: Items packed together at most, in a task or in a merge group.
 BLOCK = 200_000
 GROUP = 20_000
+#: Share of the bins that a round may leave for another one to follow.
+LEAST_GAIN = 0.99
 #: Words whose ids a worker remembers; the memory is emptied when full.
 CACHED_WORDS = 1_000_000
 #: Documents tokenized together.
@@ -169,8 +171,8 @@ def local_packing(tokenizer: str, capacity: int, end: int):
 def merge_rounds(bins: DataFrame, capacity: int) -> DataFrame | None:
     """Pack underfull ``bins`` (bin, used) into each other; bin, new bin and the shift of its contents.
 
-    A round deals the bins to groups of ``GROUP`` at most on average and packs each group best-fit. It takes the
-    still underfull results of the last round, and ends with the round that had a single group.
+    A round deals the bins to new groups of ``GROUP`` on average and packs each group best-fit. It takes the still
+    underfull results of the last round. Rounds end with one that had a single group, or when one saved next to nothing.
     """
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -181,16 +183,16 @@ def merge_rounds(bins: DataFrame, capacity: int) -> DataFrame | None:
         head[to[::-1]] = names[::-1]
         return pd.DataFrame({"bin": names, "to": head[to], "shift": shift, "filled": np.array(fill, np.int64)[to]})
 
-    moved, bins = None, stored(bins, "underfull")
-    while (n := bins.count()) > 1:
-        groups = -(-n // GROUP)
-        packed = bins.withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups))).groupBy("g").applyInPandas(pack, "bin long, to long, shift long, filled long")
+    moved, bins, last, salt = None, stored(bins, "underfull"), None, 0
+    while (n := bins.count()) > 1 and (last is None or n < LEAST_GAIN * last):
+        groups, last, salt = -(-n // GROUP), n, salt + 1
+        packed = bins.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(salt)), F.lit(groups))).groupBy("g").applyInPandas(pack, "bin long, to long, shift long, filled long")
         packed = stored(packed, "packed")
         if moved is None:
             moved = packed
         else:
             later = packed.select(F.col("bin").alias("to"), F.col("to").alias("to2"), F.col("shift").alias("shift2"))
-            moved = moved.join(later, "to", "left").select("bin", F.coalesce("to2", "to").alias("to"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"))
+            moved = stored(moved.join(later, "to", "left").select("bin", F.coalesce("to2", "to").alias("to"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift")), "moved")
         if groups == 1:
             break
         left = packed.groupBy(F.col("to").alias("bin")).agg(F.first("filled").alias("used")).filter(F.col("used") < capacity - NEARLY_FULL)
