@@ -1,0 +1,116 @@
+"""Numeric kernels on small arrays: quadrature, orthants, splines, lookups. Plain numpy, used inside tasks or on tables."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def phi(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function to full precision."""
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / 2**0.5), float)
+
+
+def density(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.square(x) / 2) / 2.5066282746310002
+
+
+def legendre(low: float, high: float, n: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    nodes, weights = np.polynomial.legendre.leggauss(n)
+    half = (high - low) / 2
+    return low + half * (nodes + 1), half * weights
+
+
+def orthant(a: float, b: float, rho: float, n: int = 96) -> float:
+    """P(X > a, Y > b) of standard normals with correlation ``rho``: one integral over y."""
+    if rho >= 1:
+        return float(1 - phi(max(a, b)))
+    if rho <= -1:
+        return float(max(0.0, phi(-a) - phi(b)))
+    low = max(b, -9.0)
+    if low >= 9:
+        return 0.0
+    y, w = legendre(low, 9.0, n)
+    return float((w * density(y) * phi((rho * y - a) / np.sqrt(1 - rho * rho))).sum())
+
+
+def mean_above(q, threshold: float, mean: float, sd: float, n: int = 64) -> float:
+    """Mean of ``q(signal)`` over a normal signal beyond a threshold; not a number where nothing lies beyond."""
+    if threshold == np.inf or sd == 0 and mean <= threshold:
+        return float("nan")
+    if sd == 0:
+        return float(q(np.array([mean]))[0])
+    low = max(threshold, mean - 9 * sd)
+    high = max(mean + 9 * sd, low + sd)
+    x, w = legendre(low, high, n)
+    mass = w * density((x - mean) / sd)
+    return float((mass * q(x)).sum() / mass.sum()) if mass.sum() > 0 else float(q(np.array([threshold]))[0])
+
+
+def positive_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Trapezoid integral of y over the part of x above zero; a node is set at zero where x crosses it."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if (x < 0).any() and (x > 0).any() and not (x == 0).any():
+        i = np.searchsorted(x, 0)
+        x, y = np.insert(x, i, 0.0), np.insert(y, i, np.interp(0, x, y))
+    keep = x >= 0
+    return float(np.trapezoid(y[keep], x[keep])) if keep.sum() > 1 else 0.0
+
+
+def smoothed(y: np.ndarray, weight: np.ndarray, strength: float) -> np.ndarray:
+    """Penalised fit on an even grid: weighted squares plus ``strength`` times squared second differences."""
+    d = np.diff(np.eye(len(y)), 2, axis=0)
+    return np.linalg.solve(np.diag(weight) + strength * d.T @ d + 1e-12 * np.eye(len(y)), weight * y)
+
+
+def b_spline(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarray:
+    """Basis at x for inner ``knots`` with repeated ends; columns add up to one inside."""
+    t = np.concatenate([[knots[0]] * degree, knots, [knots[-1]] * degree]).astype(float)
+    x = np.clip(np.asarray(x, float), t[0], t[-1])[:, None]
+    basis = ((t[:-1] <= x) & (x < t[1:])).astype(float)
+    basis[:, len(t) - degree - 2] += (x[:, 0] == t[-1])
+    for k in range(1, degree + 1):
+        left, right = t[k:-1] - t[: -k - 1], t[k + 1 :] - t[1:-k]
+        up = np.divide(x - t[: -k - 1], left, out=np.zeros((len(x), len(left))), where=left > 0)
+        down = np.divide(t[k + 1 :] - x, right, out=np.zeros((len(x), len(right))), where=right > 0)
+        basis = up * basis[:, :-1] + down * basis[:, 1:]
+    return basis
+
+
+def stage_design(stages: np.ndarray, last: int = 54, per_inning: int = 6, inner: int = 4) -> np.ndarray:
+    """One row per stage: splines over regulation, outs of the half-inning, and a flag for extra innings."""
+    stages = np.asarray(stages)
+    base = b_spline(np.minimum(stages, last - 1), np.linspace(0, last - 1, inner))
+    outs = np.stack([(stages % (per_inning // 2) == o).astype(float) for o in (1, 2)], 1)
+    return np.concatenate([base, outs, (stages >= last).astype(float)[:, None]], 1)
+
+
+def payoff(gain: np.ndarray, loss: np.ndarray, look: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Threshold on the signal, and the masses of acting and of success, for stakes ``gain`` against ``loss``.
+
+    No gain: never (an infinite threshold). No loss: always. Otherwise act where q passes loss / (gain + loss); the
+    lookup's q is monotone, so the threshold is where it crosses. The advantage is never below zero, that of waiting.
+    """
+    gain, loss = np.asarray(gain, float), np.asarray(loss, float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        wanted = loss / (gain + loss)
+    q, signal = look["q"], look["signal"]
+    i = np.clip(np.searchsorted(q, np.nan_to_num(wanted)), 1, len(q) - 1)
+    rise = np.maximum(q[i] - q[i - 1], 1e-300)
+    at = signal[i - 1] + np.clip((wanted - q[i - 1]) / rise, 0, 1) * (signal[i] - signal[i - 1])
+    at = np.where(wanted > look["q"][-1], np.inf, np.where(wanted <= look["q"][0], -np.inf, at))
+    at = np.where(gain <= 0, np.inf, np.where(loss <= 0, -np.inf, at))
+    act, win = tail_masses(at, look)
+    return {"threshold": at, "action": act, "success": win, "advantage": np.maximum(0, win * np.maximum(gain, 0) - (act - win) * np.maximum(loss, 0))}
+
+
+def tail_masses(threshold: np.ndarray, look: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Chance that the signal passes each threshold, and that it does so on a wrong call."""
+    out = []
+    for name in ("action_tail", "success_tail"):
+        inner = np.interp(threshold, look["signal"], look[name])
+        out.append(np.where(threshold == np.inf, 0.0, np.where(threshold == -np.inf, look[name][0], inner)))
+    return out[0], out[1]

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakewise.functions.kernels import payoff
 from stakewise.functions.scalar import OUTS_PER_INNING, REGULATION_INNINGS, softplus
 
 LAST = REGULATION_INNINGS * OUTS_PER_INNING
@@ -31,41 +32,49 @@ class StateValues:
     n / (n + prior). A state that never occurred takes its parent's nearest stage, the lower one in a tie.
     """
 
+    DECIDES_BY = ["p_hat", "stake"]
+
     def __init__(self, table: pd.DataFrame, prior: float = 30.0, tolerance: float = 1e-10, most: int = 10_000):
         t = table.reset_index(drop=True)
         self.states = t[["stage", "role"]].drop_duplicates().sort_values(["stage", "role"]).reset_index(drop=True)
         self.index = {(int(s), r): i for i, (s, r) in enumerate(self.states.itertuples(index=False))}
         self.own = np.array([self.index[int(s), r] for s, r in zip(t["stage"], t["role"], strict=True)])
-        parents = [self.parent(s, r) for s, r in self.index]
-        t_parents = [self.parent(s, r) for s, r in zip(t["stage"], t["role"], strict=True)]
-        weight = t["weight"].to_numpy(float)
+        weight, live = t["weight"].to_numpy(float), ~t["terminal"].to_numpy(bool)
         n = np.bincount(self.own, weight, len(self.states))
         self.states["n"], self.states["shrink"] = n, n / (n + prior) if prior else (n > 0) * 1.0
-        #: (state, transition, chance, target or -1, grant)
-        links: list[tuple] = []
-        live = ~t["terminal"].to_numpy(bool)
-        for i, ((stage, _), parent) in enumerate(zip(self.index, parents, strict=True)):
-            share = self.states["shrink"][i]
-            family = [j for j, p in enumerate(t_parents) if p == parent]
-            total = weight[family].sum()
-            for j in family:
-                row = t.loc[j]
-                if self.own[j] == i:
-                    target = self.resolve(row["next_stage"], row["next_role"]) if live[j] else -1
-                    links.append((i, j, share * weight[j] / n[i], target, bool(row["extra_grant"])))
-                raw = stage + (int(row["delta"]) if live[j] else 0)
-                inning = raw // OUTS_PER_INNING + 1
-                grant = inning > REGULATION_INNINGS and inning > stage // OUTS_PER_INNING + 1
-                target = self.resolve(raw if raw < LAST else LAST + (raw - LAST) % OUTS_PER_INNING, row["next_role"]) if live[j] else -1
-                links.append((i, j, (1 - share) * weight[j] / total, target, grant))
-        state, row, self.chance, target, grant = map(np.array, zip(*links, strict=True))
-        self.state, self.target, self.grant = state, target.astype(int), grant.astype(bool)
-        self.p, self.gain = t["p_hat"].to_numpy(float)[row], t["stake"].to_numpy(float)[row]
+        delta, granted = np.where(live, t["delta"].fillna(0), 0).astype(int), t["extra_grant"].to_numpy(bool)
+        next_stage, next_role = t["next_stage"].fillna(0).astype(int).to_numpy(), t["next_role"].to_numpy()
+        self.cache: dict[tuple, int] = {}
+        own_target = self.resolved(next_stage, next_role, live)
+        families: dict[tuple, list[int]] = {}
+        for j, key in enumerate(zip(t["stage"].astype(int), t["role"], strict=True)):
+            families.setdefault(self.parent(*key), []).append(j)
+        families = {k: np.array(v) for k, v in families.items()}
+        parts: list[tuple] = []
+        for i, (stage, role) in enumerate(self.index):
+            share, family = self.states["shrink"][i], families[self.parent(stage, role)]
+            mine = family[self.own[family] == i]
+            parts.append((np.full(len(mine), i), mine, share * weight[mine] / n[i], own_target[mine], granted[mine]))
+            raw = stage + delta[family]
+            inning = raw // OUTS_PER_INNING + 1
+            grant = (inning > REGULATION_INNINGS) & (inning > stage // OUTS_PER_INNING + 1)
+            folded = np.where(raw < LAST, raw, LAST + (raw - LAST) % OUTS_PER_INNING)
+            parts.append((np.full(len(family), i), family, (1 - share) * weight[family] / weight[family].sum(), self.resolved(folded, next_role[family], live[family]), grant))
+        self.state, self.row, self.chance, self.target, self.grant = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # Waiting is linear in the arrival values: one small matrix, and one for steps that grant a unit.
+        size, live = len(self.states), self.target >= 0
+        self.moves = [np.bincount(self.state[m] * size + self.target[m], self.chance[m], size * size).reshape(size, size) for m in (live & ~self.grant, live & self.grant)]
+        # Choices depend on the row's decision class alone: equal ones of a state are added up.
+        codes = t.groupby(self.DECIDES_BY, dropna=False, sort=False).ngroup().to_numpy()
+        _, first, merged = np.unique(self.state * (codes.max() + 1) + codes[self.row], return_index=True, return_inverse=True)
+        self.chance = np.bincount(merged, self.chance)
+        self.state, self.row = self.state[first], self.row[first]
+        self.p, self.gain = t["p_hat"].to_numpy(float)[self.row], t["stake"].to_numpy(float)[self.row]
         arrival = np.zeros((len(self.states), 3))
         for self.rounds in range(1, most + 1):
             new, self.continuation = self.step(arrival)
             self.residual, arrival = np.abs(new - arrival).max(), new
-            if self.residual <= tolerance:
+            if self.residual <= tolerance * max(1.0, np.abs(new).max()):
                 break
         else:
             raise RuntimeError(f"state values did not settle in {most} rounds: {self.residual}")
@@ -76,6 +85,16 @@ class StateValues:
     def parent(stage: int, role: str) -> tuple:
         return stage < LAST, int(stage) % OUTS_PER_INNING, role
 
+    def resolved(self, stages: np.ndarray, roles: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """State numbers of next stages and roles; -1 where nothing follows."""
+        out = np.full(len(stages), -1)
+        for j in np.flatnonzero(live):
+            key = int(stages[j]), roles[j]
+            if key not in self.cache:
+                self.cache[key] = self.resolve(*key)
+            out[j] = self.cache[key]
+        return out
+
     def resolve(self, stage: int, role: str) -> int:
         if (int(stage), role) in self.index:
             return self.index[int(stage), role]
@@ -85,18 +104,18 @@ class StateValues:
         return min(near)[1]
 
     def step(self, arrival: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        live = self.target >= 0
-        size, wait = len(self.states), np.zeros((len(self.states), 3))
-        for k in range(3):
-            held = np.where(self.grant & (k == 0), 1, k)
-            wait[:, k] = np.bincount(self.state, self.chance * np.where(live, arrival[self.target, held], 0.0), size)
+        size = len(self.states)
+        stay, granted = self.moves
+        wait = stay @ arrival + granted @ arrival[:, [1, 1, 2]]
         value = wait.copy()
         for k in (1, 2):
-            stay, less = wait[self.state, k], wait[self.state, k - 1]
-            act = self.p * (self.gain + stay) + (1 - self.p) * less
-            value[:, k] = np.bincount(self.state, self.chance * np.maximum(stay, act), size)
+            value[:, k] = np.bincount(self.state, self.chance * self.chosen(wait[self.state, k], wait[self.state, k - 1]), size)
         return value, wait
 
+    def chosen(self, stay: np.ndarray, less: np.ndarray) -> np.ndarray:
+        """Value of the better of waiting and challenging, per transition."""
+        return np.maximum(stay, self.p * (self.gain + stay) + (1 - self.p) * less)
+
     def frame(self) -> pd.DataFrame:
         out = self.states.copy()
         for k in range(3):
@@ -105,6 +124,30 @@ class StateValues:
         return out
 
 
+class SignalValues(StateValues):
+    """The same fixed point where the decision follows a noisy signal of the margin instead of a known chance.
+
+    Rows have a ``context`` whose lookup gives the masses of acting and of success at the best threshold; offense and
+    defense share one inventory, as their states lead to each other. Rows marked ``passive`` never act.
+    """
+
+    DECIDES_BY = ["stake", "context", "passive"]
+
+    def __init__(self, table: pd.DataFrame, lookups: dict[str, dict[str, np.ndarray]], **options):
+        t = table.reset_index(drop=True).assign(p_hat=0.0)
+        t["passive"] = t["passive"].astype(bool) if "passive" in t else False
+        self.lookups, self.context, self.passive = lookups, t["context"].to_numpy(), t["passive"].to_numpy()
+        super().__init__(t, **options)
+
+    def chosen(self, stay: np.ndarray, less: np.ndarray) -> np.ndarray:
+        out, contexts = stay.copy(), self.context[self.row]
+        for name, look in self.lookups.items():
+            mine = (contexts == name) & ~self.passive[self.row]
+            if mine.any():
+                out[mine] += payoff(self.gain[mine], (stay - less)[mine], look)["advantage"]
+        return out
+
+
 def advantage(p: Column, gain: Column, marginal: Column) -> Column:
     """Expected gain of a challenge over waiting: p G - (1 - p) * value of the unit at risk."""
     return p * gain - (1 - p) * marginal

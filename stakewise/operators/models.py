@@ -15,35 +15,98 @@ from pyspark.sql import types as T
 from stakewise.functions.scalar import normal_cdf, normal_density
 
 
-def probit(rows: DataFrame, outcome: str, features: list[str], ridge: float = 1e-6, rounds: int = 25, weight: str | None = None) -> dict:
-    """Maximum-likelihood probit: coefficients (with "intercept"), covariance, log-likelihood and rounds.
+def _probit(eta: Column) -> tuple[Column, Column, Column]:
+    p = F.greatest(F.least(normal_cdf(eta), F.lit(1 - 1e-10)), F.lit(1e-10))
+    return p, normal_density(eta), p * (1 - p)
 
-    A Newton round is one aggregation: the sums that make up slope and curvature come to the driver, rows never do.
+
+def _logit(eta: Column) -> tuple[Column, Column, Column]:
+    p = F.greatest(F.least(1 / (1 + F.exp(-eta)), F.lit(1 - 1e-10)), F.lit(1e-10))
+    return p, p * (1 - p), p * (1 - p)
+
+
+def _log(eta: Column) -> tuple[Column, Column, Column]:
+    mean = F.exp(F.least(eta, F.lit(30.0)))
+    return mean, mean, mean
+
+
+#: Mean, slope of the mean, and variance as functions of the linear part.
+FAMILIES = {"probit": _probit, "logit": _logit, "poisson": _log}
+
+
+def glm(rows: DataFrame, outcome: str, features: list[str], family: str = "probit", ridge: float = 1e-6, rounds: int = 30, weight: str | None = None) -> dict:
+    """Maximum-likelihood coefficients (with "intercept"), covariance, log-likelihood (less constants) and rounds.
+
+    A scoring round is one aggregation: the sums that make up slope and curvature come to the driver, rows never do.
+    The ridge holds back all but the intercept; a large one on indicator columns stands for random effects.
     """
     names = ["intercept", *features]
     columns = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
-    w = F.col(weight) if weight else F.lit(1.0)
-    beta = np.zeros(len(names))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    value = -np.inf
+    w, y = F.col(weight) if weight else F.lit(1.0), F.col(outcome).cast("double")
+    beta, value, size = np.zeros(len(names)), -np.inf, len(names)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    penalty = ridge * np.diag([0.0] + [1.0] * len(features)) + 1e-12 * np.eye(size)
     for done in range(1, rounds + 1):
         eta = sum((c * float(b) for c, b in zip(columns, beta, strict=True)), F.lit(0.0))
-        y = F.col(outcome).cast("double")
-        p = F.greatest(F.least(normal_cdf(eta), F.lit(1 - 1e-10)), F.lit(1e-10))
-        d = normal_density(eta)
-        score = w * d * (y - p) / (p * (1 - p))
-        curve = w * d * d / (p * (1 - p))
-        marked = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], score.alias("s"), curve.alias("h"), (w * F.when(y > 0, F.log(p)).otherwise(F.log(1 - p))).alias("l"))
-        sums = marked.agg(*[F.sum(F.col("s") * F.col(f"x{i}")) for i in range(len(names))], *[F.sum(F.col("h") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs], F.sum("l")).first()
-        slope, information = np.array(sums[: len(names)], float), np.zeros((len(names), len(names)))
-        for (i, j), x in zip(pairs, sums[len(names) : -1], strict=True):
+        mean, slope, variance = FAMILIES[family](eta)
+        likelihood = y * F.log(mean) - mean if family == "poisson" else F.when(y > 0, F.log(mean)).otherwise(F.log(1 - mean))
+        marked = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], (w * slope * (y - mean) / variance).alias("s"), (w * slope * slope / variance).alias("h"), (w * likelihood).alias("l"))
+        sums = marked.agg(*[F.sum(F.col("s") * F.col(f"x{i}")) for i in range(size)], *[F.sum(F.col("h") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs], F.sum("l")).first()
+        if sums[-1] is None:
+            raise ValueError("no rows to fit")
+        information = np.zeros((size, size))
+        for (i, j), x in zip(pairs, sums[size:-1], strict=True):
             information[i, j] = information[j, i] = x
-        penalty = ridge * np.diag([0.0] + [1.0] * len(features))
-        step = np.linalg.solve(information + penalty + 1e-12 * np.eye(len(names)), slope - penalty @ beta)
+        step = np.linalg.solve(information + penalty, np.array(sums[:size], float) - penalty @ beta)
         beta, last, value = beta + np.clip(step, -5, 5), value, float(sums[-1])
         if np.abs(step).max() < 1e-8 or abs(value - last) < 1e-9 * (1 + abs(value)):
             break
-    return {"coefficients": dict(zip(names, beta.tolist(), strict=True)), "covariance": np.linalg.inv(information + penalty + 1e-12 * np.eye(len(names))), "log_likelihood": value, "rounds": done}
+    return {"coefficients": dict(zip(names, beta.tolist(), strict=True)), "covariance": np.linalg.inv(information + penalty), "log_likelihood": value, "rounds": done, "family": family}
+
+
+def predicted(rows: DataFrame, fit: dict, out: str = "prediction") -> DataFrame:
+    """``rows`` with the mean that a ``glm`` gives; features that a row lacks (unseen levels) count as zero."""
+    eta = F.lit(float(fit["coefficients"]["intercept"]))
+    for name, b in fit["coefficients"].items():
+        if name != "intercept" and name in rows.columns:
+            eta = eta + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * float(b)
+    return rows.withColumn(out, FAMILIES[fit["family"]](eta)[0])
+
+
+def probit(rows: DataFrame, outcome: str, features: list[str], **options) -> dict:
+    return glm(rows, outcome, features, "probit", **options)
+
+
+def spline_columns(rows: DataFrame, column: str, knots: list[float], prefix: str) -> tuple[DataFrame, list[str]]:
+    """Truncated-power cubic columns of a feature, as expressions; for smooth terms of a ``glm``."""
+    x = F.col(column).cast("double")
+    terms = {f"{prefix}1": x, f"{prefix}2": x * x, f"{prefix}3": x * x * x} | {f"{prefix}k{i}": F.pow(F.greatest(x - k, F.lit(0.0)), 3) for i, k in enumerate(knots)}
+    return rows.withColumns(terms), list(terms)
+
+
+def cross_fitted(rows: DataFrame, group: str, folds: int, outcome: str, features: list[str], family: str = "logit", least_rows: int = 200) -> DataFrame:
+    """Held-out predictions by whole-group folds; too few rows or groups give the training mean."""
+    from stakewise.operators.resample import dense_folds
+
+    folded = dense_folds(rows, group, folds)
+    sizes = {r["fold"]: (r["n"], r["g"]) for r in folded.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct(group).alias("g")).collect()}
+    out = None
+    for fold in range(1, folds + 1):
+        train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        n, g = (sum(x[i] for f, x in sizes.items() if f != fold) for i in (0, 1))
+        if n < least_rows or g < folds:
+            part = test.crossJoin(F.broadcast(train.agg(F.avg(F.col(outcome).cast("double")).alias("prediction"))))
+        else:
+            part = predicted(test, glm(train, outcome, features, family))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def simulated_choices(rows: DataFrame, players: DataFrame, margin: str, player: str, seed: int) -> DataFrame:
+    """Choices drawn from players' (threshold, sigma): a uniform hash of the row against Phi((margin - threshold) / sigma)."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    joined = rows.join(F.broadcast(players), player)
+    return joined.withColumn("challenged", u < normal_cdf((F.col(margin) - F.col("threshold")) / F.col("sigma"))).drop("threshold", "sigma")
 
 
 def width_and_threshold(fit: dict, margin: str) -> dict:

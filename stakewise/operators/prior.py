@@ -130,7 +130,7 @@ def lookup_table(prior: DataFrame, context: str, width: float, sigma: float, ste
 
     kind = prior.schema[context].dataType.simpleString()
 
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({context: key[0]} | signal_lookup(frame["bin"].to_numpy(), frame["weight"].to_numpy(), width, sigma, step))
 
     return prior.groupBy(context).applyInPandas(build, f"{context} {kind}, signal double, q double, action_tail double, success_tail double")

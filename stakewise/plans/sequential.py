@@ -154,7 +154,7 @@ def future_totals(spark, sf):
 @query("m2_bellman_values")
 def bellman_values(spark, sf):
     """Transition counts on Spark, the fixed point over the states in numpy. No SQL: a fixed point."""
-    t = timeline(spark, sf).select(*KEYS, *ORDER, "inning", "role", F.round("p", 1).alias("p_hat"), F.round("stake", 0).alias("stake"))
+    t = timeline(spark, sf).select(*KEYS, *ORDER, "inning", "role", F.round("p", 1).alias("p_hat"), F.round("stake", -1).alias("stake"))
     t = t.withColumn("raw", (F.col("inning") - 1) * 6 + F.col("pitch_order") % 2 * 3).withColumn("stage", F.when(F.col("raw") < 54, F.col("raw")).otherwise(54 + (F.col("raw") - 54) % 6))
     moves = sequential.transitions(t, KEYS, ORDER, ["stage", "role", "raw"]).withColumn("delta", F.coalesce(F.col("next_raw") - F.col("raw"), F.lit(0)))
     values = decision.StateValues(decision.compressed_transitions(moves))
