@@ -22,12 +22,39 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP2_SQL = r"""
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31)), 1)), '') AS payload_digest,
+    CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < response THEN response END AS refers_to
+FROM p
+"""
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 2) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(v) AS component_id, w.doc_id = min(v) AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.u = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.decontamination import contamination
 
@@ -36,6 +63,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP4_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(10, len(words)) AS size, array_to_string(words[i : i + 9], ' ') AS run FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM b WHERE len(words) > 0)
+), places AS (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(words) >= size),
+found AS (SELECT p.doc_id, p.i, p.size, w.item_id FROM (SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS run FROM places) p JOIN windows w USING (size, run)),
+hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.sharding import balanced_shards
 
@@ -100,4 +142,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines)}
-ORACLE_SQL: dict[str, str] = {"op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_minhash": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL}
