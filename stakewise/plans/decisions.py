@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stakewise.operators import decision, models, policy, prior, resample, sequential
+from stakewise.operators import decision, models, policy, prior, resample, selection, sequential
 from stakewise.operators.ledger import CLOCK
 from stakewise.plans.base import KEYS, ORDER, T, query, rounded, timeline
 from stakewise.plans.statistics import PRIOR, margin_prior
@@ -184,3 +184,44 @@ def mean_above_threshold(spark, sf):
     q = lambda x: np.interp(x, look["signal"], look["q"])
     rows = [(float(m), float(r), mean_above(q, r, m, 1.2), orthant(r, m, 0.5)) for m in (-1, 0, 1) for r in (-1, 0, 1)]
     return rounded(spark.createDataFrame(rows, "mean double, threshold double, q_chosen double, orthant double"))
+
+
+CONTEXT = """x AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_linenumber - 1 AS b, l_suppkey % 4 AS s, l_partkey % 4 AS o, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS st, CASE WHEN l_linestatus = 'O' THEN l_linestatus END AS th, CASE WHEN l_partkey % 50 = 0 THEN 'EP' END AS kind, CASE WHEN l_partkey % 9 > 0 THEN 60 + l_quantity END AS speed, l_tax * 100 - 4 AS margin FROM lineitem),
+    k AS (SELECT *, CASE WHEN kind = 'EP' THEN 'eephus' WHEN speed < 75 THEN 'slow_non_eephus' WHEN speed IS NULL THEN 'speed_missing' ELSE 'regular_speed' END AS speed_stratum, CASE WHEN abs(margin) <= 3 THEN 'local_abs_margin_le_3' ELSE 'tail_abs_margin_gt_3' END AS margin_stratum FROM x)"""
+
+
+@query(
+    "p19_selection_context",
+    f"WITH {CONTEXT} SELECT l_orderkey, l_linenumber, CASE WHEN b BETWEEN 0 AND 3 AND s BETWEEN 0 AND 2 THEN concat_ws('-', b, s) ELSE 'unknown' END AS count_state, concat_ws('-', coalesce(st, 'U'), coalesce(th, 'U')) AS matchup, CASE WHEN o BETWEEN 0 AND 2 THEN o::VARCHAR ELSE 'unknown' END AS outs_state, concat_ws('__', speed_stratum, margin_stratum) AS selection_stratum FROM k",
+)
+def selection_context(spark, sf):
+    """Count, matchup, speed and margin strata."""
+    from stakewise.plans.base import table
+
+    p = F.col("l_partkey")
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_linenumber") - 1).alias("balls_before"), (F.col("l_suppkey") % 4).alias("strikes_before"), (p % 4).alias("outs_before"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("stand"), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("p_throws"),
+        F.when(p % 50 == 0, "EP").alias("pitch_type"), F.when(p % 9 > 0, F.col("l_quantity") + 60).alias("release_speed"), (F.col("l_tax") * 100 - 4).alias("margin"),
+    )
+    return selection.with_context(rows).select("l_orderkey", "l_linenumber", "count_state", "matchup", "outs_state", "selection_stratum")
+
+
+@query(
+    "a24_selection_evaluation",
+    f"""WITH {T}, y AS (SELECT *, (outcome IS NOT NULL)::INT::DOUBLE AS y, success::INT::DOUBLE AS s FROM t), g AS (SELECT role, margin, sum(y) AS a, sum(p) AS b FROM y GROUP BY ALL), c AS (SELECT role, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY role) - sum(b) OVER w / sum(b) OVER (PARTITION BY role)) AS gap FROM g WINDOW w AS (PARTITION BY role ORDER BY margin)), k AS (SELECT role, max(gap) AS ks FROM c GROUP BY role)
+    SELECT role, round(sum(y), 6) AS attempts, round(sum(p), 4) AS predicted_attempts, round(sum(p * s), 4) AS predicted_successes, round(sum(y * margin) / nullif(sum(y), 0), 6) AS mean_margin, round(any_value(ks), 6) AS ks FROM y JOIN k USING (role) GROUP BY role""",
+)
+def selection_evaluation(spark, sf):
+    """Observed against predicted choices, with distances of their margins."""
+    rows = timeline(spark, sf).withColumn("chosen", F.col("outcome").isNotNull())
+    out = selection.evaluated(rows, ["role"], "chosen", "p", "success", "margin")
+    return out.select("role", F.round("attempts", 6).alias("attempts"), F.round("predicted_attempts", 4).alias("predicted_attempts"), F.round("predicted_successes", 4).alias("predicted_successes"), F.round("mean_margin", 6).alias("mean_margin"), F.round("ks", 6).alias("ks"))
+
+
+@query("p31_design_columns", f"WITH {T}, m AS (SELECT avg(stake) AS mu, stddev_samp(stake) AS sd FROM t) SELECT event_id, (event_type = 'click')::INT::DOUBLE AS click, round((stake - mu) / sd, 6) AS z FROM t CROSS JOIN m")
+def design_columns(spark, sf):
+    """Indicators by stored levels and z-scores by stored moments."""
+    t = timeline(spark, sf)
+    made, _ = selection.design(t, {"event_type": ["view", "click"]}, selection.learnt_scales(t, ["stake"]))
+    return made.select("event_id", F.col("event_type__click").alias("click"), F.round("z__stake", 6).alias("z"))

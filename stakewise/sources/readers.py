@@ -155,3 +155,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Bytes, SHA-256 and time of the files below ``path``. Files are read one by one, so keep them of moderate size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
+
+
+def stale(documents: DataFrame, json_col: str = "value") -> DataFrame:
+    """Cached feeds that have to be fetched again: their header does not say that the game is final."""
+    return documents.filter(~F.coalesce(F.rlike(F.substring(F.col(json_col), 1, 65536), F.lit(r'"abstractGameState"\s*:\s*"Final"')), F.lit(False)))
+
+
+def export_bundle(tables: dict[str, tuple[DataFrame, list[str]]], folder: str) -> DataFrame:
+    """Write projected tables below ``folder`` as compressed parquet; the manifest of what was written."""
+    for name, (df, columns) in tables.items():
+        write_table(df.select(*columns), f"{folder}/{name}")
+    return manifest(next(iter(tables.values()))[0].sparkSession, folder).filter("path LIKE '%.parquet'")
