@@ -47,7 +47,7 @@ def corpus():
     return [*docs, (60, None), (61, ""), (62, "A a, a " * 4000), (60, None)], items
 
 
-@pytest.mark.parametrize("block_bytes", [1_000_000, 400])
+@pytest.mark.parametrize("block_bytes", [1_000_000, 1000])
 def test_hits_match_brute_force(spark, block_bytes):
     docs, items = corpus()
     found = contamination(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, items string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
