@@ -23,6 +23,10 @@ SCORE_LABELS = ("<=-5", "-4:-3", "-2", "-1", "0", "1", "2", "3:4", ">=5")
 PITCH_FAMILIES = {"fastball": ["FF", "FA", "SI", "FC"], "breaking": ["SL", "ST", "SV", "CU", "KC", "CS"], "offspeed": ["CH", "FS", "FO", "SC"]}
 
 
+#: Why a row is not eligible.
+MISMATCH, UNTRACKED, POSITION_PLAYER, OTHER_REVIEW = "statcast_identity_mismatch", "missing_tracking", "position_player_pitching", "same_pitch_non_abs_review"
+
+
 def is_true(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
@@ -90,9 +94,9 @@ def near_edge(edge: Column, within: float = SENSITIVITY_IN) -> Column:
 def exclusion_reason(identity: Column, tracking: Column, position_code: Column, other_review: Column, game_reason: Column, manual_reason: Column) -> Column:
     """Why a row is not eligible, or null; manual reasons override those of games, and so on down the list."""
     code = F.trim(position_code)
-    position = F.when(is_true((code != "") & ~code.isin("1", "Y")), "position_player_pitching")
-    review = F.when(is_true(other_review), "same_pitch_non_abs_review")
-    base = F.when(~identity, "statcast_identity_mismatch").when(~tracking, "missing_tracking")
+    position = F.when(is_true((code != "") & ~code.isin("1", "Y")), POSITION_PLAYER)
+    review = F.when(is_true(other_review), OTHER_REVIEW)
+    base = F.when(~identity, MISMATCH).when(~tracking, UNTRACKED)
     return F.coalesce(manual_reason, game_reason, review, position, base)
 
 
