@@ -35,9 +35,9 @@ def with_geometry(rows: DataFrame) -> DataFrame:
 
 
 def with_eligibility(rows: DataFrame, games: DataFrame, pitches: DataFrame) -> DataFrame:
-    """Reasons of games (game_pk, reason) and of pitches (PITCH, reason) override those of the row; both tables are small."""
-    joined = rows.join(F.broadcast(games.select("game_pk", F.col("reason").alias("__g"))), "game_pk", "left")
-    joined = joined.join(F.broadcast(pitches.select(*PITCH, F.col("reason").alias("__m"))), PITCH, "left")
+    """Reasons of games (game_pk, reason) and of pitches (PITCH, reason) override those of the row."""
+    joined = rows.join(games.select("game_pk", F.col("reason").alias("__g")), "game_pk", "left")
+    joined = joined.join(pitches.select(*PITCH, F.col("reason").alias("__m")), PITCH, "left")
     reason = S.exclusion_reason(F.col("identity_matched"), F.col("tracking_available"), F.col("pitcher_position"), F.col("other_review"), F.col("__g"), F.col("__m"))
     out = joined.withColumn("exclusion_reason", reason).drop("__g", "__m")
     eligible = F.col("exclusion_reason").isNull()
@@ -71,7 +71,7 @@ def policy_summary(replayed: DataFrame, by: list[str], reference: str = "observe
     totals = [F.sum(F.col(f"state.{c}")).alias(c) for c in ("challenges", "successes", "failures", "captured")]
     sums = with_total(replayed, "role", totals, keys=["policy", *by])
     refs = {n: sums.filter(F.col("policy") == p).select(*by, "role", F.col("captured").alias(n)) for n, p in (("__o", reference), ("__b", best))}
-    joined = sums.join(F.broadcast(refs["__o"]), [*by, "role"], "left").join(F.broadcast(refs["__b"]), [*by, "role"], "left")
+    joined = sums.join(refs["__o"], [*by, "role"], "left").join(refs["__b"], [*by, "role"], "left")
     return joined.withColumns({"success_rate": ratio(F.col("successes"), F.col("challenges")), "gain": F.col("captured") - F.col("__o"), "share_of_best": ratio(F.col("captured"), F.col("__b"))}).drop("__o", "__b")
 
 
@@ -96,7 +96,7 @@ def nearest_state(wanted: DataFrame, states: DataFrame, parent: list[str], stage
 
     States are a small dimension, so candidates of a parent are few.
     """
-    known = F.broadcast(states.select(*parent, F.col(stage).alias("__s")).distinct())
+    known = states.select(*parent, F.col(stage).alias("__s")).distinct()
     near = wanted.select(*parent, stage).distinct().join(known, parent)
     best = near.groupBy(*parent, stage).agg(F.min_by("__s", F.struct(F.abs(F.col("__s") - F.col(stage)), "__s")).alias("resolved"))
     return wanted.join(best, [*parent, stage], "left")

@@ -105,7 +105,7 @@ def cross_fitted(rows: DataFrame, group: str, folds: int, outcome: str, features
 def simulated_choices(rows: DataFrame, players: DataFrame, margin: str, player: str, seed: int) -> DataFrame:
     """Choices drawn from players' (threshold, sigma): a uniform hash of the row against Phi((margin - threshold) / sigma)."""
     u = (F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    joined = rows.join(F.broadcast(players), player)
+    joined = rows.join(players, player)
     return joined.withColumn("challenged", u < normal_cdf((F.col(margin) - F.col("threshold")) / F.col("sigma"))).drop("threshold", "sigma")
 
 

@@ -125,10 +125,10 @@ def thinned(draws: DataFrame, draw: str, keep: int, seed: int) -> DataFrame:
 
     ids = draws.select(draw).distinct().orderBy(hashed(F.lit(seed), F.col(draw)), draw).limit(keep)
     numbered = ids.withColumn("__i", F.row_number().over(Window.orderBy(draw)))
-    return draws.join(F.broadcast(numbered), draw).withColumnRenamed(draw, "source_draw").withColumnRenamed("__i", draw)
+    return draws.join(numbered, draw).withColumnRenamed(draw, "source_draw").withColumnRenamed("__i", draw)
 
 
 def selected_density(grid: DataFrame, by: list[str], weight: str, chance: str) -> DataFrame:
     """Density of the margins of chosen rows: f * pi / E[pi], with E[pi] as ``rate``; sums to one in each group."""
     totals = grid.groupBy(*by).agg(F.sum(F.col(weight) * F.col(chance)).alias("rate"))
-    return grid.join(F.broadcast(totals), by).withColumn("selected", F.when(F.col("rate") > 0, F.col(weight) * F.col(chance) / F.col("rate")))
+    return grid.join(totals, by).withColumn("selected", F.when(F.col("rate") > 0, F.col(weight) * F.col(chance) / F.col("rate")))

@@ -51,7 +51,7 @@ def posterior(signals: DataFrame, prior: DataFrame, context: str, signal: str, w
         return signals.join(wrong_rate(prior, context).withColumnRenamed("wrong_rate", "q"), context, "left")
     z = (F.col(signal) - (F.col("bin") + 0.5) * width) / sigma
     mass = F.col("weight") * F.exp(-z * z / 2)
-    joined = signals.join(F.broadcast(prior), context)
+    joined = signals.join(prior, context)
     return joined.groupBy(*keys, context, signal).agg((F.sum(F.when(F.col("bin") >= 0, mass).otherwise(0.0)) / F.sum(mass)).alias("q"))
 
 
@@ -60,7 +60,7 @@ def upper_tail(thresholds: DataFrame, prior: DataFrame, context: str, threshold:
     centre = (F.col("bin") + 0.5) * width
     over = (centre > F.col(threshold)).cast("double") if sigma == 0 else normal_cdf((centre - F.col(threshold)) / sigma)
     mass = F.col("weight") * over
-    joined = thresholds.join(F.broadcast(prior), context)
+    joined = thresholds.join(prior, context)
     return joined.groupBy(*keys, context, threshold).agg(F.sum(mass).alias("action"), F.sum(F.when(F.col("bin") >= 0, mass).otherwise(0.0)).alias("success"))
 
 
@@ -74,15 +74,15 @@ def crps(observations: DataFrame, prior: DataFrame, context: str, value: str, wi
     gap = (F.lead("bin").over(w) - F.col("bin")) * width
     cumulative = prior.select(context, F.sum("weight").over(below).alias("f"), gap.alias("gap"))
     spread = cumulative.groupBy(context).agg(F.sum(F.col("f") * (1 - F.col("f")) * F.coalesce("gap", F.lit(0.0))).alias("spread"))
-    joined = observations.join(F.broadcast(prior), context)
+    joined = observations.join(prior, context)
     first = joined.groupBy(*keys, context, value).agg(F.sum(F.col("weight") * F.abs((F.col("bin") + 0.5) * width - F.col(value))).alias("d"))
-    return first.join(F.broadcast(spread), context).select(*keys, context, value, (F.col("d") - F.col("spread")).alias("crps"))
+    return first.join(spread, context).select(*keys, context, value, (F.col("d") - F.col("spread")).alias("crps"))
 
 
 def log_density(observations: DataFrame, prior: DataFrame, context: str, value: str, width: float) -> DataFrame:
     """Log of the histogram's density at each value; null outside its bins."""
     keyed = observations.withColumn("bin", margin_bin(F.col(value), width))
-    return keyed.join(F.broadcast(prior), [context, "bin"], "left").withColumn("log_density", F.log(F.col("weight") / width)).drop("weight")
+    return keyed.join(prior, [context, "bin"], "left").withColumn("log_density", F.log(F.col("weight") / width)).drop("weight")
 
 
 def largest_within_one_error(rows: DataFrame, candidate: str, score: str, cluster: str) -> DataFrame:

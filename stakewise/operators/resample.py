@@ -31,7 +31,7 @@ def balanced_folds(groups: DataFrame, group: str, folds: int, seed: int) -> Data
 def dense_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """``rows`` with ``fold``: the group's dense rank less one, modulo ``folds``, plus one. Ranks only distinct groups."""
     ranked = rows.select(group).distinct().withColumn("fold", ((F.row_number().over(Window.orderBy(group)) - 1) % folds + 1).cast("int"))
-    return rows.join(F.broadcast(ranked), group)
+    return rows.join(ranked, group)
 
 
 def bootstrap_weights(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
@@ -66,7 +66,7 @@ def bootstrap_interval(rows: DataFrame, group: str, by: list[str], value: str, r
 
 def simultaneous_band(points: DataFrame, draws: DataFrame, scenario: str, value: str, level: float = 0.95) -> DataFrame:
     """Band around every scenario's point that holds for all at once: the quantile over replicates of the largest deviation."""
-    joined = draws.join(F.broadcast(points.select(scenario, F.col(value).alias("__p"))), scenario)
+    joined = draws.join(points.select(scenario, F.col(value).alias("__p")), scenario)
     worst = joined.groupBy("replicate").agg(F.max(F.abs(F.col(value) - F.col("__p"))).alias("d"))
     width = worst.agg(F.percentile("d", level).alias("width"))
     return points.crossJoin(F.broadcast(width)).select(scenario, F.col(value).alias("estimate"), (F.col(value) - F.col("width")).alias("lower"), (F.col(value) + F.col("width")).alias("upper"))

@@ -20,7 +20,7 @@ def sandwich_error(rows: DataFrame, cluster: str, value: str, by: list[str] | No
     by = by or []
     sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     total = sums.groupBy(*by).agg((F.sum("s") / F.sum("c")).alias("mean"), F.sum("c").alias("n"), F.count("*").alias("clusters"))
-    joined = sums.join(F.broadcast(total), by) if by else sums.crossJoin(F.broadcast(total))
+    joined = sums.join(total, by) if by else sums.crossJoin(F.broadcast(total))
     residual = F.col("s") - F.col("c") * F.col("mean")
     g = F.col("clusters")
     squares = joined.groupBy(*by, "mean", "n", "clusters").agg(F.sum(residual * residual).alias("q"))

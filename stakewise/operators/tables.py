@@ -23,7 +23,7 @@ def shrunken_cells(rows: DataFrame, grid: DataFrame, parent: list[str], child: l
     cells = rows.groupBy(*parent, *child).agg(F.sum(F.col(value) * w).alias("sum"), F.sum(w).alias("n"))
     above = cells.groupBy(*parent).agg((F.sum("sum") / F.sum("n")).alias("parent_mean"))
     overall = cells.agg((F.sum("sum") / F.sum("n")).alias("overall"))
-    joined = grid.join(cells, [*parent, *child], "left").join(F.broadcast(above), parent, "left").crossJoin(F.broadcast(overall))
+    joined = grid.join(cells, [*parent, *child], "left").join(above, parent, "left").crossJoin(F.broadcast(overall))
     mean = F.coalesce("parent_mean", "overall")
     n, total = F.coalesce("n", F.lit(0.0)), F.coalesce("sum", F.lit(0.0))
     return joined.select(*parent, *child, n.alias("n"), mean.alias("parent_mean"), ((total + strength * mean) / (n + strength)).alias("estimate"))
@@ -66,7 +66,7 @@ def holdout_fit(rows: DataFrame, is_train: Column, cell: list[str], value: str)
     means = train.groupBy(*cell).agg(F.avg(value).alias("fit"))
     overall = train.agg(F.avg(value).alias("overall"))
     error = F.coalesce("fit", "overall") - F.col(value)
-    scored = test.join(F.broadcast(means), cell, "left").crossJoin(F.broadcast(overall)).withColumn("e", error).withColumn("f", F.coalesce("fit", "overall"))
+    scored = test.join(means, cell, "left").crossJoin(F.broadcast(overall)).withColumn("e", error).withColumn("f", F.coalesce("fit", "overall"))
     return scored.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), F.corr("f", value).alias("correlation"))
 
 
@@ -74,5 +74,5 @@ def median_imputed(rows: DataFrame, value: str, family: str) -> DataFrame:
     """Null values take their family's median, else the overall one; ``missing`` marks them."""
     medians = rows.groupBy(family).agg(F.percentile(value, 0.5).alias("__m"))
     overall = rows.agg(F.percentile(value, 0.5).alias("__o"))
-    joined = rows.join(F.broadcast(medians), family, "left").crossJoin(F.broadcast(overall))
+    joined = rows.join(medians, family, "left").crossJoin(F.broadcast(overall))
     return joined.withColumns({"missing": F.col(value).isNull(), value: F.coalesce(value, "__m", "__o")}).drop("__m", "__o")
