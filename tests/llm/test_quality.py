@@ -1,5 +1,6 @@
 """Quality counts against a plain reading of their definitions, and the compression bands."""
 
+import base64
 import random
 import re
 
@@ -55,3 +56,28 @@ def test_bands_keep_prose_and_reject_extremes(spark):
 
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_junk_tails_and_short_noise_are_rejected(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+
+    def words(size, word):
+        out = ""
+        while len(out) < size:
+            out += word() + " "
+        return out[:size]
+
+    sizes = (200, 400, 800, 4095, 20_000)
+    prose = [words(n, lambda: rng.choice(vocabulary)) for n in sizes]
+    encoded = [words(n, lambda: base64.b64encode(rng.randbytes(rng.randrange(3, 9))).decode().rstrip("=")) for n in sizes]
+    digits = [words(n, lambda: rng.randbytes(rng.randrange(2, 6)).hex()) for n in sizes]
+    half = words(CHUNK_BYTES, lambda: rng.choice(vocabulary))
+    tails = [half + words(4000, word) for word in (lambda: base64.b64encode(rng.randbytes(6)).decode(), lambda: rng.randbytes(4).hex(), lambda: "again")]
+    whole = [*prose, half + prose[3], prose[4] + " " + "a7 " * 3]
+    rows = quality_rules(spark.createDataFrame(list(enumerate([*whole, *encoded, *digits, *tails])), "doc_id long, text string")).collect()
+    kept = {r.doc_id for r in rows if r.rules.kept}
+    assert kept == set(range(len(whole)))
+    found = {r.doc_id: r.rules for r in rows}
+    assert all(found[i].tail_out and found[i].chunks == 1 for i in range(len(rows) - 3, len(rows)))
+    assert found[5].tail_out is False
