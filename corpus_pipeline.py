@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; so do documents of which no word is left."""
-    out = dedup_lines(docs, out="__lines")
+    out = dedup_lines(docs, short_copies=True, out="__lines")
     left = F.when(F.size("__lines.removed") > 0, F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).otherwise(True)
     n_chars = F.when(F.size("__lines.removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.filter(left).withColumn("n_chars", n_chars).select(*docs.columns)

@@ -11,7 +11,8 @@ window is empty and all that meet are linked to one of them. No group is ever co
 ``CROWDED`` members.
 
 Linked lines form classes (connected components). The first line of a class, by document id, stays; the others are
-removed from their documents. Lines shorter than ``MIN_CHARS`` are left alone.
+removed from their documents. Lines shorter than ``MIN_CHARS`` are left alone, or, with ``short_copies``, linked to
+their exact copies if they have a word: one grouping, without segments.
 
 A null text has no lines and stays null; an empty one has one empty line. Rows that agree in id and text are one
 document to this operator and get the same result. Only DataFrame functions are used.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from stakewise.llm.common import fingerprint, small_or_shuffled, stored
 from stakewise.llm.components import connected_components
 
-#: Shorter lines repeat by chance.
+#: Shorter lines are near one another by chance.
 MIN_CHARS = 20
 #: Members from which a shared segment is split further.
 CROWDED = 16
@@ -113,9 +114,13 @@ def line_keys(line: Column, n: Column) -> Column:
     return F.array(*keys(n, False), *keys(n - 1, True))
 
 
-def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def is_long(min_chars: int) -> Column:
+    return F.col("n") >= max(4, min_chars)
+
+
+def document_lines(docs: DataFrame, wanted: Column) -> DataFrame:
     lines = docs.select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= max(4, min_chars))
+    return lines.withColumn("n", F.char_length("line")).filter(wanted)
 
 
 def small_pairs(rows: DataFrame) -> DataFrame:
@@ -187,7 +192,7 @@ def line_links(distinct: DataFrame, docs: DataFrame, min_chars: int) -> tuple[Da
     rows = distinct.select("lid", F.explode("keys").alias("k")).select("k.key", "k.side", "k.probe", "lid")
     rows = meeting(rows)
     wanted = rows.select("lid").distinct().join(distinct.select("lid", *[F.col(f"first.{c}").alias(c) for c in PLACE]), "lid").drop("doc_id")
-    texts = document_lines(docs, min_chars).join(small_or_shuffled(stored(wanted, "wanted")), ["r1", "r2", "line_no"])
+    texts = document_lines(docs, is_long(min_chars)).join(small_or_shuffled(stored(wanted, "wanted")), ["r1", "r2", "line_no"])
     texts = stored(texts.select("lid", "line", "n").dropDuplicates(["lid"]), "texts")
     found, alike = split_windows(rows.filter(F.col("m") > CROWDED), texts)
     pairs = stored(united([small_pairs(rows), *found]).distinct(), "pairs")
@@ -198,16 +203,20 @@ def line_links(distinct: DataFrame, docs: DataFrame, min_chars: int) -> tuple[Da
     return united([links, *[a.select("u", "v") for a in alike]]), counts.groupBy("lid").agg(F.sum("n").alias("degree"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", out: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False, id_col: str = "doc_id", text_col: str = "text", out: str = "line_dedup") -> DataFrame:
     """``docs`` with the lines of each class but its first removed from the texts, and the struct column ``out``.
 
     It holds n_lines, n_links (lines elsewhere, distinct and within one edit of a line here, summed over the
-    lines), and removed, an array of (line, home_doc, home_line) that names the kept line of the class.
+    lines), and removed, an array of (line, home_doc, home_line) that names the kept line of the class. With
+    ``short_copies``, shorter lines than ``min_chars`` with a word form classes of exact copies.
     """
     r1, r2 = fingerprint(F.col(id_col), F.col(text_col))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), r1.alias("r1"), r2.alias("r2"))
     fp1, fp2 = fingerprint(F.col("line"))
-    lines = document_lines(named, min_chars).select(*PLACE, fp1.alias("fp1"), fp2.alias("fp2"), line_keys(F.col("line"), F.col("n")).alias("keys"))
+    wanted, keys = is_long(min_chars), line_keys(F.col("line"), F.col("n"))
+    if short_copies:
+        wanted, keys = wanted | F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")), F.when(wanted, keys).otherwise(F.slice(keys, 1, 0))
+    lines = document_lines(named, wanted).select(*PLACE, fp1.alias("fp1"), fp2.alias("fp2"), keys.alias("keys"))
     lines = stored(lines, "lines")
     distinct = lines.groupBy("fp1", "fp2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     distinct = stored(distinct.withColumn("lid", F.monotonically_increasing_id()), "distinct")

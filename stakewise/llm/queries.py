@@ -138,7 +138,7 @@ FROM e GROUP BY conv_id
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True).select("doc_id", "text", "line_dedup.*")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines)}

@@ -107,3 +107,23 @@ def test_extra_columns_repeats_and_empty_tables(spark):
     out = dedup_lines(frame).collect()
     assert sorted((r.doc_id or 0, r.text, r.key) for r in out) == [(0, "a line that is long enougH", "y"), (1, "", "x"), (1, "", "x")]
     assert dedup_lines(frame.filter("false")).count() == 0
+
+
+def test_exact_copies_of_short_lines_are_removed(spark):
+    line = "a line that is long enough"
+    docs = [(1, f"And ornd.\n\n{line}\n}}"), (2, f"And ornd.\n\n{line}s\nAnd ornD."), (3, "}\n \n\nAnd ornd.\n \n}"), (4, None), (5, "")]
+    found = {r.doc_id: (r.text, r.line_dedup.n_links, [tuple(x) for x in r.line_dedup.removed]) for r in dedup_lines(spark.createDataFrame(docs, SCHEMA), short_copies=True).collect()}
+    assert found == {
+        1: (docs[0][1], 1, []), 2: ("\nAnd ornD.", 1, [(0, 1, 0), (2, 1, 2)]), 3: (" \n\n ", 0, [(0, 1, 3), (3, 1, 0), (5, 1, 3)]), 4: (None, 0, []), 5: ("", 0, []),
+    }
+
+
+def test_the_query_and_the_pipeline_leave_no_copies_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from stakewise.llm.queries import QUERIES
+
+    docs = [(i, f"And ornd.\nthe text number {i} {'abcdefgh'[i] * 20}", 50) for i in range(8)]
+    frame = spark.createDataFrame(docs, SCHEMA + ", n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (QUERIES["op10_lines"](spark, str(tmp_path)), corpus_pipeline.lines(spark, frame, str(tmp_path))):
+        assert sum(r.text.startswith("And ornd.") for r in out.collect()) == 1
