@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of an id table that may be broadcast (8 to 40 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -19,10 +18,14 @@ BATCH_BYTES = 4_000_000
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as the session's ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (a local session, as in tests), a temporary folder is set for the session.
+    Where the setting is absent, a local session (as in tests) gets a temporary folder; on a cluster, whose executors
+    would each write to a disk of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stakewise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -62,6 +65,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def texts_and(batch, name: str):
+    """The texts of an Arrow batch as a list, and the column ``name`` as it is: ids never pass through floats."""
+    return batch.column("text").to_pylist(), batch.column(name)
+
+
 def byte_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8, A-Z lower-cased; ``bytes.split`` splits at just these."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -72,25 +80,30 @@ def fingerprint(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]
 
 
-def ranked(df: DataFrame, groups: list[str], key: Column, out: str, buckets: int = 256) -> DataFrame:
-    """Add ``out``: ranks 0, 1, 2... within ``groups`` without bringing a group to one task.
+def buckets_for(rows: int) -> int:
+    """Hash buckets that ``rows`` fill with at most a few hundred thousand each."""
+    return max(256, -(-rows // BROADCAST_ROWS))
+
+
+def ranked(df: DataFrame, groups: list[str], key: list[Column], out: str, rows: int, total: str | None = None) -> DataFrame:
+    """Add ``out``: ranks 0, 1, 2... within ``groups`` without bringing a group to one task; ``total`` names a column
+    for the group's number of rows.
 
     Rows get a hash bucket; ranks are exact inside (group, bucket), and a bucket starts where the counts of the
-    earlier buckets end. Only the counts, at most ``buckets`` rows a group, meet in one place. ``key`` must be
-    unique within a group for a repeatable order.
+    earlier buckets end. Only the counts meet in one place, at most one row per bucket of a group, and the buckets
+    grow with ``rows``, the rows of ``df``. Rows that agree in ``key`` should be alike, or their order is not repeatable.
     """
     from pyspark.sql import Window
 
     b = f"__{out}_bucket"
-    rows = df.withColumn(b, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(*groups, b).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if groups else Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy(*groups, b).orderBy(key)
-    rows = rows.withColumn("__at", F.row_number().over(within) - 1)
-    cond = [b, *groups]
-    return rows.join(starts, cond).withColumn(out, (F.col("__from") + F.col("__at")).cast("long")).drop(b, "__from", "__at")
-
-
-def arrow_schema(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields])
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*key), F.lit(buckets_for(rows))).cast("int"))
+    counts = dealt.groupBy(*groups, b).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    before = group.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if total:
+        starts = starts.withColumn(total, F.sum("__n").over(group))
+    within = Window.partitionBy(*groups, b).orderBy(*key)
+    dealt = dealt.withColumn("__at", F.row_number().over(within) - 1)
+    joined = dealt.join(starts.drop("__n"), [b, *groups])
+    return joined.withColumn(out, (F.col("__from") + F.col("__at")).cast("long")).drop(b, "__from", "__at")

@@ -1,9 +1,13 @@
 """Shards are even and gapless, and keep linked documents together better than a hash does."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from stakewise.llm.sharding import balanced_shards, cut_links
 
 
@@ -36,3 +40,34 @@ def test_groups_stay_together_within_quotas(spark):
 def test_small_and_empty_tables(spark):
     check(shards(spark, [(1, "a"), (2, "a"), (3, None)])[1], [(1, "a"), (2, "a"), (3, None)], 6)
     assert shards(spark, [])[1] == []
+
+
+def least_cut(sizes, rows, n):
+    """Cuts that the quotas alone force."""
+    return sum(math.ceil(c / math.ceil(rows / n)) - 1 for c in sizes)
+
+
+@pytest.mark.parametrize(("groups", "each", "alone"), [(800, 3, 0), (700, 3, 300), (600, 3, 600), (400, 3, 1200), (40, 31, 0)])
+def test_cuts_are_near_the_bound_whatever_share_of_rows_is_linked(spark, groups, each, alone):
+    texts = [(i, f"copy {i % groups}") for i in range(groups * each)] + [(10_000 + i, f"text {i}") for i in range(alone)]
+    df, rows = shards(spark, texts, 24)
+    check(rows, texts, 24)
+    assert cut_links(df) <= least_cut([each] * groups, len(texts), 24) + 24
+
+
+def test_random_group_sizes_against_the_bound_and_other_file_splits(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice((1, 1, 2, 3, 5, 8, 40, 300)) for _ in range(60)]
+    texts = [(d, f"text {g}") for d, g in enumerate(g for g, c in enumerate(sizes) for _ in range(c))] + [(None, "text 1"), (None, None)]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in texts], "doc_id long, text string, slot string")
+    one, two = (balanced_shards(frame.repartition(k), shards=7) for k in (1, 5))
+    check(one.collect(), texts, 7)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert cut_links(one) <= least_cut(sizes, len(texts), 7) + 7
+
+
+def test_own_groups_with_nulls_and_string_ids(spark):
+    rows = [(f"d{i}", "t", i % 4 if i % 3 else None) for i in range(40)]
+    df = balanced_shards(spark.createDataFrame(rows, "doc_id string, text string, own long"), group=[F.col("own"), F.col("own")], shards=4)
+    counts = Counter(r.shard for r in df.collect())
+    assert sorted(counts.values()) == [10] * 4 and df.filter("doc_id = 'd7'").count() == 1
