@@ -65,11 +65,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def texts_and(batch, name: str):
-    """The texts of an Arrow batch as a list, and the column ``name`` as it is: ids never pass through floats."""
-    return batch.column("text").to_pylist(), batch.column(name)
-
-
 def byte_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8, A-Z lower-cased; ``bytes.split`` splits at just these."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -82,7 +77,7 @@ def fingerprint(*cols: Column) -> list[Column]:
 
 def buckets_for(rows: int) -> int:
     """Hash buckets that ``rows`` fill with at most a few hundred thousand each."""
-    return max(256, -(-rows // BROADCAST_ROWS))
+    return max(2048, -(-rows // BROADCAST_ROWS))
 
 
 def ranked(df: DataFrame, groups: list[str], key: list[Column], out: str, rows: int, total: str | None = None) -> DataFrame:

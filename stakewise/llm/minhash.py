@@ -15,7 +15,9 @@
 5. A pair counts if its signatures agree to within 4.5 deviations of the threshold and the full sets confirm it.
 
 A null text, or one without words, has an empty set and is linked with nothing. Texts with fewer words than a
-shingle are one shingle. Repeated rows (equal doc_id) are kept, each with the same result.
+shingle are one shingle. Ids may be of any ordered type. Links are between rows, so an id that repeats with other
+texts stands for several documents; rows equal in id and text get the same result. Rows without an id get the least
+id of their component, or null if it has none.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stakewise.llm.common import bounded_batches, byte_words, small_or_shuffled, stored
+from stakewise.llm.common import bounded_batches, byte_words, fingerprint, small_or_shuffled, stored
 from stakewise.llm.components import connected_components
 from stakewise.llm.words import shingles, word_hashes
 
@@ -38,8 +41,6 @@ ROWS = 4
 #: Members from which a bucket is crowded.
 CROWDED = 16
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, minima binary"
-
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(byte_words(text or "")), width))
@@ -59,31 +60,37 @@ def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def sketches(docs: DataFrame, width: int, count: int) -> DataFrame:
-    def sketch(frames):
+def sketches(rows: DataFrame, width: int, count: int) -> DataFrame:
+    """``rows`` (doc_id, r1, r2, text) without texts, with uid, n_shingles, fp1, fp2 and minima (null without a set)."""
+
+    def sketch(batches):
+        import pyarrow as pa
         import xxhash
+        from pyspark import TaskContext
 
         a, b = hash_family(count)
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+        uid = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            sizes, prints, least = [], [], []
+            for text in batch.column("text").to_pylist():
                 values = shingle_set(text, width)
-                if not len(values):
-                    rows.append((doc_id, 0, None, None, None))
-                    continue
-                one, two = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), "<i8")
-                rows.append((doc_id, len(values), one, two, minima(values, a, b).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "fp1", "fp2", "minima"]).astype({"fp1": "Int64", "fp2": "Int64"})
+                sizes.append(len(values))
+                prints.append(np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), "<i8").tolist() if len(values) else (None, None))
+                least.append(minima(values, a, b).tobytes() if len(values) else None)
+            made = [pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), *[pa.array([x[i] for x in prints], pa.int64()) for i in (0, 1)], pa.array(least, pa.binary())]
+            uid += len(sizes)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "r1", "r2")], *made], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, SKETCH)
+    schema = T.StructType([*rows.schema.fields[:3], *[T.StructField(c, T.LongType()) for c in ("uid", "n_shingles", "fp1", "fp2")], T.StructField("minima", T.BinaryType())])
+    return rows.mapInArrow(sketch, schema)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
     def build(frames):
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "values": [shingle_set(t, width).tobytes() for t in frame["text"]]})
 
-    return docs.mapInPandas(build, "doc_id long, values binary")
+    return texts.mapInPandas(build, "doc_id long, values binary")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -148,25 +155,25 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, count: int) -> Dat
     return pairs.join(two, "v").join(one, "u").select("u", "v", "bits", "m1", "m2", "s1", "s2").mapInPandas(test, COMPARED)
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def classes_and_links(named: DataFrame, sketch: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(fp1, fp2, cid, first, copies) of each class of equal sets, and (node, component) of the linked classes.
 
-    Documents are linked where 100 * intersection >= ``percent`` * union of their distinct shingle sets.
+    Inside, a class goes by the row number of its first row as ``doc_id``, so ids of any type, nulls and repeats of
+    an id with other texts are no matter. ``first`` is the struct of the row that stays for the class.
     """
-    bounded_batches(docs.sparkSession)
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stored(sketches(named, width, bands * rows), "sketch")
-    classes = sketch.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")
+    classes = sketch.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("uid").alias("cid"), F.min(order).alias("first"), F.count("*").alias("copies"))
     classes = stored(classes, "classes")
-    reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select("doc_id", "n_shingles", "minima"), "reps")
+    reps = sketch.drop("doc_id").join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi")
+    reps = stored(reps.select(F.col("uid").alias("doc_id"), "n_shingles", "minima", "r1", "r2"), "reps")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("minima", 4 * rows * i + 1, 4 * rows)) for i in range(bands)])
     banded = reps.select("doc_id", F.explode(keys).alias("key"))
     shared = stored(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     members = stored(banded.join(small_or_shuffled(shared), "key"), "members")
-    wanted = stored(members.groupBy("doc_id").agg((F.max("members") >= CROWDED).alias("crowded")), "wanted")
-    texts = named.join(small_or_shuffled(wanted.select("doc_id")), "doc_id", "left_semi")
-    sets = stored(full_sets(texts, width).dropDuplicates(["doc_id"]).join(reps, "doc_id"), "sets")
+    wanted = members.groupBy("doc_id").agg((F.max("members") >= CROWDED).alias("crowded"))
+    wanted = stored(wanted.join(reps.select("doc_id", "r1", "r2"), "doc_id"), "wanted")
+    texts = named.select("r1", "r2", "text").join(small_or_shuffled(wanted.select("doc_id", "r1", "r2")), ["r1", "r2"])
+    sets = stored(full_sets(texts.select("doc_id", "text"), width).dropDuplicates(["doc_id"]).join(reps.drop("r1", "r2"), "doc_id"), "sets")
     own = own_shingles(sets.select("doc_id", "values").join(wanted.filter("crowded").select("doc_id"), "doc_id"))
     sized = members.join(sets.select("doc_id", "n_shingles"), "doc_id").join(own, "doc_id", "left")
     sized = sized.withColumn("own", F.when(F.col("members") >= CROWDED, F.coalesce("own", F.lit(0))).otherwise(0))
@@ -179,8 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     pairs = a.join(b, F.expr("a.key = b.key AND a.doc_id <> b.doc_id") & (bits | may_link("a", "b", percent)))
     pairs = stored(pairs.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(F.bool_or("b.crowd").alias("bits")), "pairs")
     tested = stored(compared(pairs, sets, percent, count), "tested")
-    links = tested.filter("linked").select("u", "v")
-    labels = connected_components(links)
+    labels = connected_components(tested.filter("linked").select("u", "v"))
     placed = sized.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     placed = placed.join(open_keys, "key", "left_semi").join(centre.select("key", F.col("doc_id").alias("u")), "key")
@@ -189,9 +195,50 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     a, b = placed.alias("a"), placed.alias("b")
     rest = a.join(b, F.expr("a.key = b.key AND a.component < b.component AND a.doc_id <> a.u AND b.doc_id <> b.u") & may_link("a", "b", percent) & shared_with_centre("a", "b", percent))
     rest = rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct().withColumn("bits", F.lit(False))
-    late = compared(stored(rest, "rest"), sets, percent, count).filter("linked").select("u", "v")
-    labels = connected_components(links.union(late))
-    named_classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.drop("minima").join(named_classes, ["fp1", "fp2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    late = stored(compared(stored(rest, "rest"), sets, percent, count).filter("linked").select("u", "v"), "late")
+    stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return classes, labels if late.isEmpty() else connected_components(stars.union(late))
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, r1, r2 (fingerprint of id and text), n_shingles, component_id, home (the
+    fingerprint of the one row that stays for the component; null without a set) and copies (rows of an equal set)."""
+    bounded_batches(docs.sparkSession)
+    r1, r2 = fingerprint(F.col(id_col), F.col(text_col))
+    named = docs.select(F.col(id_col).alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).alias("text"))
+    sketch = stored(sketches(named, width, bands * rows), "sketch")
+    classes, labels = classes_and_links(named, sketch, width, percent, bands, rows)
+    linked = labels.join(classes.select(F.col("cid").alias("node"), "first"), "node")
+    homes = linked.groupBy("component").agg(F.min("first").alias("home"))
+    linked = stored(linked.select("node", "component").join(homes, "component").select(F.col("node").alias("cid"), "home"), "linked")
+    named_classes = classes.join(linked, "cid", "left").select("fp1", "fp2", F.coalesce("home", "first").alias("home"), "copies")
+    out = sketch.drop("minima", "uid").join(named_classes, ["fp1", "fp2"], "left")
+    component = F.when(F.col("home").isNull(), F.col("doc_id")).otherwise(F.col("home.doc_id"))
+    return out.select("doc_id", "r1", "r2", "n_shingles", component.alias("component_id"), F.col("home").dropFields("no_id", "doc_id").alias("home"), "copies")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; ``options`` as for ``components``.
+
+    Documents are linked where 100 * intersection >= ``percent`` * union of their distinct shingle sets.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return components(docs, **options).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the least id, or of rows without ids or of equal ids the least hash.
+
+    A row that repeats in id and text is there once. Rows without a set are linked with nothing and all stay.
+    """
+    found = components(docs, id_col=id_col, text_col=text_col, **options).filter("home IS NOT NULL")
+    found = stored(found.select("r1", "r2", (F.struct("r1", "r2") == F.col("home")).alias("stays"), "copies"), "stays")
+    gone = stored(found.filter("NOT stays").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct(), "gone")
+    twice = found.filter("stays AND copies > 1").groupBy(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).count().filter("count > 1").select("__r1", "__r2")
+    twice = stored(twice, "twice")
+    r1, r2 = fingerprint(F.col(id_col), F.col(text_col))
+    left = docs.withColumns({"__r1": r1, "__r2": r2}).join(small_or_shuffled(gone), ["__r1", "__r2"], "left_anti")
+    if not twice.isEmpty():
+        few = small_or_shuffled(twice)
+        left = left.join(few, ["__r1", "__r2"], "left_anti").union(left.join(few, ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]))
+    return left.drop("__r1", "__r2")

@@ -2,7 +2,7 @@
 
 import random
 
-from stakewise.llm.minhash import CROWDED, near_duplicates
+from stakewise.llm.minhash import CROWDED, near_duplicates, one_of_each
 
 
 def shingles(text, width):
@@ -68,3 +68,20 @@ def test_empty_and_repeated_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e f", "k"), (1, "a b c d e f", "k")], "doc_id long, text string, key string")
     assert [(r.component_id, r.kept) for r in near_duplicates(frame).collect()] == [(1, True)] * 2
     assert near_duplicates(frame.filter("false")).count() == 0
+
+
+def test_ids_that_pandas_would_spoil_and_repeat(spark):
+    big = 2**53 + 1
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(None, "q r s t u v"), (big, "q r s t u v"), (big + 2, a), (big + 2, b), (big + 1, a + " x"), (big + 3, b + " y"), (None, "x y z"), (None, "x y z")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame).collect()}
+    assert rows == {(None, 2, big, False), (big, 2, big, True), (big + 2, 56, big + 1, False), (big + 2, 56, big + 2, True), (big + 1, 57, big + 1, True), (big + 3, 57, big + 2, False), (None, 1, None, True)}
+    left = one_of_each(frame.unionAll(frame))
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in left.collect()) == [(0, "x "), (big, "q "), (big + 1, "a0"), (big + 2, "b0")]
+
+
+def test_string_ids_and_dotted_columns(spark):
+    frame = spark.createDataFrame([("b", "one two three four five six", 1, 2), ("a", "One two three four five six", 3, 4), ("c", "", 5, 6), ("c", "", 5, 6)], "doc_id string, text string, `a.b` long, r1 long")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True), ("c", "c", True)]
+    assert sorted(map(tuple, one_of_each(frame).collect())) == [("a", "One two three four five six", 3, 4), ("c", "", 5, 6), ("c", "", 5, 6)]
