@@ -6,7 +6,7 @@ bounded size are packed again, round after round, until one group is left. What
 a bin, never tokens.
 
 A null text counts as empty, and an empty text is its end token alone. Equal lengths are taken in the order
-of the input, so a packing is repeatable.
+of the input, so a packing is repeatable. Ids may be of any type, null or repeated: each row is packed for itself.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stakewise.llm.common import stored
 
@@ -36,7 +37,7 @@ CACHED_WORDS = 1_000_000
 #: Documents tokenized together.
 BATCH = 500
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
+PIECES = ["piece", "start", "length", "ids_crc32", "bin", "at"]
 
 
 def letters(word: str) -> bool:
@@ -137,29 +138,34 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def local_packing(tokenizer: str, capacity: int, end: int):
-    """Tokenize, cut and pack the documents of one task, ``BLOCK`` pieces at a time."""
+    """Tokenize, cut and pack the documents of one task, ``BLOCK`` pieces at a time. Ids stay Arrow values."""
 
-    def pack(frames):
+    def pack(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         ids, first = word_ids(tokenizer), TaskContext.get().partitionId() << 36
+        owners: list = []
         rows: list[tuple] = []
 
         def packed():
-            nonlocal first, rows
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            bins, frame["at"], fill = best_fit(frame["length"].to_numpy(np.int64), capacity)
-            frame["bin"] = bins + first
-            first, rows = first + len(fill), []
-            return frame[["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at"]]
-
-        for frame in frames:
-            for i in range(0, len(frame), BATCH):
-                batch = frame.iloc[i : i + BATCH]
-                for doc_id, data in zip(batch["doc_id"], ids.texts(list(batch["text"]), end), strict=True):
+            nonlocal first, owners, rows
+            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+            bins, places, fill = best_fit(columns[2], capacity)
+            made = [pa.concat_arrays(owners), *map(pa.array, (*columns, bins + first, places))]
+            first, owners, rows = first + len(fill), [], []
+            return pa.RecordBatch.from_arrays(made, names=["doc_id", *PIECES])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                owner: list[int] = []
+                for k, data in enumerate(ids.texts(part.column("text").to_pylist(), end)):
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                        cut = data[at : at + 4 * capacity]
+                        rows.append((piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                        owner.append(k)
+                owners.append(part.column("doc_id").take(pa.array(owner, pa.int64())))
             if len(rows) >= BLOCK:
                 yield packed()
         if rows:
@@ -203,7 +209,9 @@ def merge_rounds(bins: DataFrame, capacity: int) -> DataFrame | None:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(named.mapInPandas(local_packing(tokenizer, capacity, end), PIECES), "pieces")
+    schema = T.StructType([named.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in PIECES]])
+    pieces = named.mapInArrow(local_packing(tokenizer, capacity, end), schema)
+    pieces = stored(pieces.withColumn("piece", F.col("piece").cast("int")), "pieces")
     bins = pieces.groupBy("bin").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity - NEARLY_FULL)
     moved = merge_rounds(bins, capacity)
     if moved is None:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stakewise.llm import packing
@@ -50,3 +51,11 @@ def test_best_fit_and_empty_table(spark):
     bins, places, fill = packing.best_fit(lengths, 10)
     assert sorted(fill) == [10, 10] and pd.Series(lengths).groupby(bins).sum().max() == 10 and places.min() == 0
     assert check(spark, [], 64) == (0, 0)
+
+
+def test_ids_of_any_kind(spark):
+    big = 2**53 + 1
+    frame = spark.createDataFrame([(None, "one"), (big, "two"), (big, "three three"), (big + 1, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(str(r.doc_id) for r in packing.pack_documents(frame, PATH, 8).collect()) == sorted([str(big)] * 2 + [str(big + 1), "None"])
+    named = packing.pack_documents(frame.select(F.concat(F.lit("d"), F.coalesce("doc_id", F.lit(0))).alias("doc_id"), "text"), PATH, 8)
+    assert named.count() == 4 and named.filter(f"doc_id = 'd{big}'").count() == 2
