@@ -13,7 +13,9 @@ Values that fail their check are left alone. A null text stays null with zero co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -34,6 +36,15 @@ FIRST_DAY, DAY_HALVES = "1800-01-01", (189, 773)
 ID_HALVES = (898 * 99, 9999)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's ``spark.stakewise.pseudonyms.secret``; if it has none, a random one is put there, so
+    values stay linked within the session and no longer."""
+    name = "spark.stakewise.pseudonyms.secret"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
 def bound(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
     return F.transform(F.array(value), then)[0]
@@ -211,8 +222,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "
 
     found = docs.withColumn("__found", F.transform(values, checked))
     new = F.transform("__found", lambda f: pseudonym(f["value"], f["kind"], f["digits"], key))
-    between = F.split(text, pattern)
-    merged = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__new")), lambda i: F.array(between[i], F.coalesce(F.get("__new", i), F.lit(""))))), "")
+    # an argument of zip_with is evaluated once a text, what stands inside a lambda once a match
+    merged = F.array_join(F.flatten(F.zip_with(F.split(text, pattern), "__new", lambda x, n: F.array(x, F.coalesce(n, F.lit(""))))), "")
     found = found.withColumn("__new", new)
     text = F.when(F.size("__found") > 0, merged).otherwise(text)
 

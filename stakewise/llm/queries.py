@@ -60,7 +60,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", joined.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 OP4_SQL = rf"""
@@ -86,9 +86,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stakewise.llm.pii import pseudonymise
+    from stakewise.llm.pii import pseudonymise, session_key
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="stakewise").select("doc_id", "text", "pii.*")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark)).select("doc_id", "text", "pii.*")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.chat import chained, format_paths, read_loss, read_turns
 
     said = "</s>[INST] ok [/INST]"
-    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
     out = format_paths(chained(rows)).select(F.col("tree").alias("conv_id"), "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

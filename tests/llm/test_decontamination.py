@@ -59,3 +59,22 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert contamination(docs, items.filter("false")).first().n_hit == 0
     assert contamination(docs.filter("false"), items).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1_000_000, 10])
+def test_items_without_id_and_ids_of_any_kind(spark, block_bytes):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(None, "x a b c d"), (big, "A b, c e"), (big, "e f g"), (7, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (None, "f"), (3, "c"), (4, " ")], "item_id long, text string")
+    rows = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"]) for r in contamination(docs, items, block_bytes=block_bytes).collect()), key=str)
+    assert rows == sorted([(None, 5, 2, 2, ["3"]), (big, 4, 2, 2, ["3"]), (big, 3, 1, 1, []), (7, 0, 0, 0, [])], key=str)
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert {r.doc_id for r in contamination(named, items, block_bytes=block_bytes).collect()} == {None, f"d{big}", "d7"}
+
+
+def test_very_frequent_words_and_long_runs_in_a_large_benchmark(spark):
+    docs = [(1, "a " * 3000), (2, "b " + "a " * 12 + "b"), (3, "c " * 9)]
+    items = [(1, "a " * 11), (2, "a b"), (3, "c " * 10)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in contamination(*frames, block_bytes=10).collect())
+    assert got == brute(docs, items)

@@ -4,7 +4,7 @@ import datetime
 import hashlib
 import re
 
-from stakewise.llm.pii import DAY_HALVES, ID_HALVES, KINDS, PATTERNS, ROUNDS, pseudonymise
+from stakewise.llm.pii import DAY_HALVES, ID_HALVES, KINDS, PATTERNS, ROUNDS, pseudonymise, session_key
 
 KEY = "test key"
 SCHEMA = "doc_id long, text string, pii string"
@@ -137,3 +137,13 @@ def test_pseudonyms_are_one_to_one_and_linked(spark):
 
 def test_empty_table(spark):
     assert pseudonymise(spark.createDataFrame([], SCHEMA), KEY, out="found").count() == 0
+
+
+def test_time_grows_with_the_text_not_with_matches_times_length(spark):
+    text = " ".join(f"plain words number {i} and so on x{i}@y.example" for i in range(20_000))
+    row = pseudonymise(spark.createDataFrame([(1, text, "")], SCHEMA), KEY, out="found").first()
+    assert row.found.n_email == 20_000 and row.text.count("@y.example") == 20_000 and len(row.text) == len(text)
+
+
+def test_session_key_lasts_for_the_session(spark):
+    assert session_key(spark) == session_key(spark) and len(session_key(spark)) == 64
