@@ -48,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_columns(docs: DataFrame, replaced: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``docs``, whatever characters their names have, those in ``replaced`` by its values."""
+    named = ((c, (replaced or {}).get(c)) for c in docs.columns)
+    return [F.col("`" + c.replace("`", "``") + "`") if new is None else new.alias(c) for c, new in named]
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` hinted for broadcast if its counted rows are within the bound, otherwise unchanged."""
     if rows is None:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakewise.llm.common import fingerprint, small_or_shuffled, stored
+from stakewise.llm.common import fingerprint, own_columns, small_or_shuffled, stored
 from stakewise.llm.components import connected_components
 
 #: Shorter lines are near one another by chance.
@@ -241,4 +241,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool
     kept = F.when(F.size("__gone") > 0, F.array_join(F.flatten(runs), "\n")).otherwise(text)
     removed = F.coalesce("__gone", F.array().cast("array<struct<line: int, home_doc: long, home_line: int>>"))
     found = F.struct(F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__degree", F.lit(0).cast("long")).alias("n_links"), removed.alias("removed"))
-    return joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], found.alias(out))
+    return joined.select(*own_columns(docs, {text_col: kept}), found.alias(out))

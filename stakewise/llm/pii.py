@@ -18,6 +18,8 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stakewise.llm.common import own_columns
+
 ROUNDS = 8
 KINDS = ("email", "phone", "date", "national_id", "host", "card", "secret")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -232,4 +234,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "
         return F.when(F.col("__found").isNull(), 0).otherwise(n).cast("long").alias(f"n_{kind}")
 
     counts = F.struct(*map(count, KINDS))
-    return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], counts.alias(out))
+    return found.select(*own_columns(docs, {text_col: text}), counts.alias(out))
