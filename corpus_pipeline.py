@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakewise.llm.common import stored
+from stakewise.llm.common import fingerprint, own_columns, small_or_shuffled, stored
 from stakewise.llm.decontamination import contamination
 from stakewise.llm.lines import dedup_lines
-from stakewise.llm.minhash import near_duplicates
+from stakewise.llm.minhash import one_of_each
 from stakewise.llm.packing import pack_documents
 from stakewise.llm.quality import quality_rules
 
@@ -27,20 +27,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(docs, short_copies=True, out="__lines")
     left = F.when(F.size("__lines.removed") > 0, F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).otherwise(True)
     n_chars = F.when(F.size("__lines.removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.filter(left).withColumn("n_chars", n_chars).select(*docs.columns)
+    return out.filter(left).withColumn("n_chars", n_chars).select(*own_columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates; of rows that repeat in id and text, one."""
+    return one_of_each(docs).select(*own_columns(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark window. Rows go by id and text, so an id that repeats takes no other text along."""
+    keyed = docs.withColumn("__row", F.struct(*[h.alias(n) for h, n in zip(fingerprint(F.col("doc_id"), F.col("text")), ("r1", "r2"), strict=True)]))
+    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    hit = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct(), "hit")
+    return keyed.join(small_or_shuffled(hit), "__row", "left_anti").select(*own_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
