@@ -1,7 +1,8 @@
 """Spend-or-wait rules for a scarce, replenishable resource: state values, thresholds, policies, searches.
 
-Spark reduces any number of rows to transition counts between at most 120 states (stage, role); the fixed point over
-those is driver-side numpy.
+Spark reduces any number of rows to transition counts between at most 120 states (stage, role) and, in each round of the
+fixed point, to what the rows of a state gain and lose under the states' present values. Rows and their stakes stay on
+Spark as they are; the driver solves a linear system over the states.
 """
 
 from __future__ import annotations
@@ -17,24 +18,30 @@ from stakewise.functions.kernels import payoff
 from stakewise.functions.scalar import OUTS_PER_INNING, REGULATION_INNINGS, softplus
 
 LAST = REGULATION_INNINGS * OUTS_PER_INNING
-COUNTED = ["stage", "role", "p_hat", "stake", "next_stage", "next_role", "delta", "terminal", "extra_grant"]
+STEPS = ["stage", "role", "next_stage", "next_role", "delta", "terminal", "extra_grant"]
+#: Distinct transitions that may come to the driver.
+MOST_ROWS = 1_000_000
 
 
-def compressed_transitions(rows: DataFrame) -> pd.DataFrame:
-    """Distinct transitions with their weight. Round p_hat and stake before, so that their number stays bounded."""
-    return rows.groupBy(*COUNTED).agg(F.count("*").alias("weight")).toPandas()
+def compressed_transitions(rows: DataFrame, by: list[str] | None = None) -> pd.DataFrame:
+    """Distinct transitions (by ``STEPS`` and ``by``) with their weight, counted before they are fetched."""
+    counts = rows.groupBy(*STEPS, *(by or [])).agg(F.count("*").alias("weight")).cache()
+    try:
+        if (n := counts.count()) > MOST_ROWS:
+            raise ValueError(f"{n} distinct transitions are more than {MOST_ROWS}")
+        return counts.toPandas()
+    finally:
+        counts.unpersist()
 
 
-class StateValues:
-    """Fixed point of waiting against challenging for inventories 0, 1 and 2 in each (stage, role).
+class Chain:
+    """The states (stage, role) of weighted transitions, and how waiting moves between them.
 
     A state's own transitions are shrunk to those of its parent (phase, stage modulo an inning, role) with weight
     n / (n + prior). A state that never occurred takes its parent's nearest stage, the lower one in a tie.
     """
 
-    DECIDES_BY = ["p_hat", "stake"]
-
-    def __init__(self, table: pd.DataFrame, prior: float = 30.0, tolerance: float = 1e-10, most: int = 10_000):
+    def __init__(self, table: pd.DataFrame, prior: float):
         t = table.reset_index(drop=True)
         self.states = t[["stage", "role"]].drop_duplicates().sort_values(["stage", "role"]).reset_index(drop=True)
         self.index = {(int(s), r): i for i, (s, r) in enumerate(self.states.itertuples(index=False))}
@@ -64,22 +71,6 @@ class StateValues:
         # Waiting is linear in the arrival values: one small matrix, and one for steps that grant a unit.
         size, live = len(self.states), self.target >= 0
         self.moves = [np.bincount(self.state[m] * size + self.target[m], self.chance[m], size * size).reshape(size, size) for m in (live & ~self.grant, live & self.grant)]
-        # Choices depend on the row's decision class alone: equal ones of a state are added up.
-        codes = t.groupby(self.DECIDES_BY, dropna=False, sort=False).ngroup().to_numpy()
-        _, first, merged = np.unique(self.state * (codes.max() + 1) + codes[self.row], return_index=True, return_inverse=True)
-        self.chance = np.bincount(merged, self.chance)
-        self.state, self.row = self.state[first], self.row[first]
-        self.p, self.gain = t["p_hat"].to_numpy(float)[self.row], t["stake"].to_numpy(float)[self.row]
-        arrival = np.zeros((len(self.states), 3))
-        for self.rounds in range(1, most + 1):
-            new, self.continuation = self.step(arrival)
-            self.residual, arrival = np.abs(new - arrival).max(), new
-            if self.residual <= tolerance * max(1.0, np.abs(new).max()):
-                break
-        else:
-            raise RuntimeError(f"state values did not settle in {most} rounds: {self.residual}")
-        self.arrival, self.continuation = self.step(arrival)
-        self.marginal = np.maximum(np.diff(self.continuation, axis=1), 0)
 
     @staticmethod
     def parent(stage: int, role: str) -> tuple:
@@ -103,10 +94,47 @@ class StateValues:
             raise ValueError(f"no state like {stage}, {role}")
         return min(near)[1]
 
+    def waiting(self, arrival: np.ndarray) -> np.ndarray:
+        """Values behind a row at which nothing is done, from those of the states that it leads to."""
+        stay, granted = self.moves
+        return stay @ arrival + granted @ arrival[:, [1, 1, 2]]
+
+    def frame(self) -> pd.DataFrame:
+        out = self.states.copy()
+        for k in range(3):
+            out[f"arrival_k{k}"], out[f"continuation_k{k}"] = self.arrival[:, k], self.continuation[:, k]
+        out["marginal_1"], out["marginal_2"] = self.marginal.T
+        return out
+
+
+class StateValues(Chain):
+    """Fixed point of waiting against challenging for inventories 0, 1 and 2, by iteration over a table of transitions."""
+
+    DECIDES_BY = ["p_hat", "stake"]
+
+    def __init__(self, table: pd.DataFrame, prior: float = 30.0, tolerance: float = 1e-10, most: int = 10_000):
+        t = table.reset_index(drop=True)
+        super().__init__(t, prior)
+        # Choices depend on the row's decision class alone: equal ones of a state are added up.
+        codes = t.groupby(self.DECIDES_BY, dropna=False, sort=False).ngroup().to_numpy()
+        _, first, merged = np.unique(self.state * (codes.max() + 1) + codes[self.row], return_index=True, return_inverse=True)
+        self.chance = np.bincount(merged, self.chance)
+        self.state, self.row = self.state[first], self.row[first]
+        self.p, self.gain = t["p_hat"].to_numpy(float)[self.row], t["stake"].to_numpy(float)[self.row]
+        arrival = np.zeros((len(self.states), 3))
+        for self.rounds in range(1, most + 1):
+            new, self.continuation = self.step(arrival)
+            self.residual, arrival = np.abs(new - arrival).max(), new
+            if self.residual <= tolerance * max(1.0, np.abs(new).max()):
+                break
+        else:
+            raise RuntimeError(f"state values did not settle in {most} rounds: {self.residual}")
+        self.arrival, self.continuation = self.step(arrival)
+        self.marginal = np.maximum(np.diff(self.continuation, axis=1), 0)
+
     def step(self, arrival: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = len(self.states)
-        stay, granted = self.moves
-        wait = stay @ arrival + granted @ arrival[:, [1, 1, 2]]
+        wait = self.waiting(arrival)
         value = wait.copy()
         for k in (1, 2):
             value[:, k] = np.bincount(self.state, self.chance * self.chosen(wait[self.state, k], wait[self.state, k - 1]), size)
@@ -116,13 +144,100 @@ class StateValues:
         """Value of the better of waiting and challenging, per transition."""
         return np.maximum(stay, self.p * (self.gain + stay) + (1 - self.p) * less)
 
-    def frame(self) -> pd.DataFrame:
-        out = self.states.copy()
-        for k in range(3):
-            out[f"arrival_k{k}"], out[f"continuation_k{k}"] = self.arrival[:, k], self.continuation[:, k]
-        out["marginal_1"], out["marginal_2"] = self.marginal.T
+
+class PolicyValues(Chain):
+    """The same fixed point by policy iteration over rows on Spark, whatever number of distinct stakes they have.
+
+    Given what a unit is worth in every state, ``evaluate`` sums what the rows of a state gain (a) and lose (b) by the best
+    choice at each of the worths that matter to its family: the value with k units is then waiting + a - b * worth,
+    and these equations are linear in the states' values. Their solution gives new worths; a few rounds settle.
+    """
+
+    def __init__(self, rows: DataFrame, evaluate=None, prior: float = 30.0, tolerance: float = 1e-10, most: int = 100):
+        super().__init__(compressed_transitions(rows), prior)
+        evaluate = evaluate or by_known_chance
+        size, n = len(self.states), self.states["n"].to_numpy()
+        family: dict[tuple, list[int]] = {}
+        for i, key in enumerate(self.index):
+            family.setdefault(self.parent(*key), []).append(i)
+        share = self.states["shrink"].to_numpy()[:, None]
+        worth = np.zeros((size, 2))
+        for self.rounds in range(1, most + 1):
+            #: the worths of a family in order, and where each state's own stand among them
+            cuts = {f: np.sort(worth[own].ravel()) for f, own in family.items()}
+            at = np.array([np.searchsorted(cuts[self.parent(*key)], worth[i]) for i, key in enumerate(self.index)])
+            sums = evaluate(rows, {key: cuts[self.parent(*key)] for key in self.index})
+            own, parents = np.zeros((2, size, 2)), np.zeros((2, size, 2))
+            for members in family.values():
+                tables = [sums.get(list(self.index)[i], np.zeros((2, 2 * len(members)))) for i in members]
+                total = sum(tables) / n[members].sum()
+                for i, t in zip(members, tables, strict=True):
+                    own[:, i], parents[:, i] = t[:, at[i]] / n[i], total[:, at[i]]
+            gain, loss = share * own + (1 - share) * parents
+            self.arrival = self.solved(gain, loss)
+            self.continuation = self.waiting(self.arrival)
+            new = np.maximum(np.diff(self.continuation, axis=1), 0)
+            self.residual, worth = np.abs(new - worth).max(), new
+            if self.residual <= tolerance * max(1.0, np.abs(self.continuation).max()):
+                break
+        else:
+            raise RuntimeError(f"state values did not settle in {most} rounds: {self.residual}")
+        self.marginal = worth
+
+    def solved(self, gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        """Values with x_0 = wait_0 and x_k = wait_k + gain_k - loss_k * (wait_k - wait_(k-1))."""
+        size = len(gain)
+        stay, granted = self.moves
+        wait = np.zeros((3, size, 3, size))
+        for k, to in enumerate((1, 1, 2)):
+            wait[k, :, k] += stay
+            wait[k, :, to] += granted
+        equations = wait.copy()
+        for k in (1, 2):
+            equations[k] -= loss[:, k - 1, None, None] * (wait[k] - wait[k - 1])
+        fixed = np.concatenate([np.zeros(size), gain[:, 0], gain[:, 1]])
+        return np.linalg.solve(np.eye(3 * size) - equations.reshape(3 * size, 3 * size), fixed).reshape(3, size).T
+
+
+def by_known_chance(rows: DataFrame, cuts: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+    """For each state, sums of p * stake and of 1 - p over its rows that challenge at each cut of a unit's worth.
+
+    A row challenges at all cuts up to some place, so Spark adds rows up by that place, a few thousand sums in all.
+    """
+    table = rows.sparkSession.createDataFrame([(s, r, c.tolist()) for (s, r), c in cuts.items()], "stage long, role string, cuts array<double>")
+    met = rows.select(F.col("stage").cast("long").alias("stage"), "role", "p_hat", "stake").join(F.broadcast(table), ["stage", "role"])
+    ahead = F.size(F.filter("cuts", lambda c: F.col("p_hat") * F.col("stake") - (1 - F.col("p_hat")) * c > 0))
+    sums = met.groupBy("stage", "role", ahead.alias("ahead")).agg(F.sum(F.col("p_hat") * F.col("stake")).alias("a"), F.sum(1 - F.col("p_hat")).alias("b"))
+    out = {key: np.zeros((2, len(c) + 1)) for key, c in cuts.items()}
+    for r in sums.collect():
+        out[r["stage"], r["role"]][:, r["ahead"]] += r["a"], r["b"]
+    return {key: np.cumsum(t[:, ::-1], axis=1)[:, ::-1][:, 1:] for key, t in out.items()}
+
+
+def by_signal(lookups: dict[str, dict[str, np.ndarray]]):
+    """An ``evaluate`` for decisions by a noisy signal: rows have a ``context`` whose lookup gives the masses of acting
+    and of success at the best threshold. Payoffs are computed in Arrow batches, which hand on their sums."""
+
+    def evaluate(rows: DataFrame, cuts: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+        def sums(frames):
+            for frame in frames:
+                out = []
+                for (stage, role, context), part in frame.groupby(["stage", "role", "context"], sort=False):
+                    gain = part["stake"].to_numpy(float)
+                    for place, worth in enumerate(cuts[stage, role]):
+                        found = payoff(gain, np.full(len(gain), worth), lookups[context])
+                        out.append((stage, role, place, (gain * found["success"]).sum(), (found["action"] - found["success"]).sum()))
+                yield pd.DataFrame(out, columns=["stage", "role", "place", "a", "b"])
+
+        named = rows.select(F.col("stage").cast("long").alias("stage"), "role", "context", "stake")
+        found = named.mapInPandas(sums, "stage long, role string, place int, a double, b double").groupBy("stage", "role", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        out = {key: np.zeros((2, len(c))) for key, c in cuts.items()}
+        for r in found.collect():
+            out[r["stage"], r["role"]][:, r["place"]] = r["a"], r["b"]
         return out
 
+    return evaluate
+
 
 class SignalValues(StateValues):
     """The same fixed point where the decision follows a noisy signal of the margin instead of a known chance.

@@ -79,10 +79,14 @@ def candidate_values(clock: DataFrame, candidates: DataFrame, keys: list[str], s
     return out.groupBy("candidate", scenario).agg(F.sum("state.captured").alias("value"))
 
 
-def search(clock: DataFrame, keys: list[str], scenario: str, start: tuple[float, float] = (0.5, 0.25), radius: float = 0.25, rounds: int = 4) -> dict:
-    """Maximin pattern search over losses l1 >= l2 >= 0: neighbours of the best point, one job a round, halving the radius."""
-    spark, best = clock.sparkSession, tuple(start)
-    for _ in range(rounds):
+def search(clock: DataFrame, keys: list[str], scenario: str, start: tuple[float, float] = (0.5, 0.25), radius: float = 0.25, rounds: int | None = None, tolerance: float = 0.01) -> dict:
+    """Maximin pattern search over losses l1 >= l2 >= 0: neighbours of the best point, one job a round.
+
+    A round without a better point halves the radius; the search ends when it is below ``tolerance``, or after ``rounds``.
+    """
+    spark, best, done = clock.sparkSession, tuple(start), 0
+    while done != rounds and (rounds is not None or radius >= tolerance):
+        done += 1
         around = {(round(max(0.0, best[0] + a * radius), 9), round(max(0.0, best[1] + b * radius), 9)) for a in (-1, 0, 1) for b in (-1, 0, 1)}
         points = sorted((a, b) for a, b in around if a >= b)
         table = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "candidate int, l1 double, l2 double")

@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from stakewise.plans import decisions, relational, sequential, statistics
+from stakewise.plans import builders, decisions, relational, sequential, statistics
 from stakewise.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "decisions", "relational", "sequential", "statistics"]

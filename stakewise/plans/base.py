@@ -1,7 +1,7 @@
 """Registry of the queries, and the stand-in timeline that both engines build from ``events``.
 
-A day of events stands for a game, a user bucket for a team, the order in time for the order of pitches, and twelve
-equal parts of it for innings. Purchases are upheld challenges, signups overturned ones; ``value`` is the stake.
+A day of events stands for a game, sixteen users for a team, the order in time for the order of pitches, and twelve
+equal parts of it for innings. Teams grow in number with the users, not in length: a timeline has a few dozen rows. Purchases are upheld challenges, signups overturned ones; ``value`` is the stake.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game, team, pitch_order, inning, event_id, user_id, event_type, stake, role, outcome, success, p, margin."""
-    e = table(spark, sf_dir, "events").withColumns({"game": F.to_date("ts").cast("string"), "team": F.col("user_id") % 4})
+    e = table(spark, sf_dir, "events").withColumns({"game": F.to_date("ts").cast("string"), "team": F.floor(F.col("user_id") / 64) * 4 + F.col("user_id") % 4})
     whole = Window.partitionBy(*KEYS)
     e = e.withColumns({"pitch_order": F.row_number().over(whole.orderBy("ts", "event_id")), "n": F.count("*").over(whole)})
     return e.select(
@@ -47,9 +47,9 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same timeline for the SQL engine, as the common table expression ``t``.
 T = """b AS (
-    SELECT *, cast(cast(ts AS date) AS varchar) AS game, user_id % 4 AS team,
-        row_number() OVER (PARTITION BY cast(ts AS date), user_id % 4 ORDER BY ts, event_id) AS pitch_order,
-        count(*) OVER (PARTITION BY cast(ts AS date), user_id % 4) AS n
+    SELECT *, cast(cast(ts AS date) AS varchar) AS game, (user_id // 64) * 4 + user_id % 4 AS team,
+        row_number() OVER (PARTITION BY cast(ts AS date), user_id // 64, user_id % 4 ORDER BY ts, event_id) AS pitch_order,
+        count(*) OVER (PARTITION BY cast(ts AS date), user_id // 64, user_id % 4) AS n
     FROM events
 ), t AS (
     SELECT game, team, pitch_order, 1 + ((pitch_order - 1) * 12) // n AS inning, event_id, user_id, event_type, value AS stake,

@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 from stakewise.operators import decision, models, policy, prior, resample, selection, sequential
 from stakewise.operators.ledger import CLOCK
-from stakewise.plans.base import KEYS, ORDER, T, query, rounded, timeline
-from stakewise.plans.statistics import PRIOR, margin_prior
+from stakewise.plans.base import KEYS, ORDER, T, query, rounded, table, timeline
+from stakewise.plans.builders import _PHI, _RUN
+from stakewise.plans.statistics import HASH, PRIOR, margin_prior
 
 SIGMA = {"offense": 1.2, "defense": 0.8}
 
 
+def frozen_sql(team: str = "team", bias: str = "0", source: str = "t") -> str:
+    """The common tables y and r: a frozen policy's chances against the truth, and its replay."""
+    z = {k: _PHI.replace("z", f"z{k}") for k in (1, 2)}
+    return f"""v AS (SELECT *, (margin - inning / 10.0::DOUBLE + {bias}) / sg AS z1, (margin - inning / 20.0::DOUBLE + {bias}) / sg AS z2 FROM (SELECT *, CASE role WHEN 'offense' THEN 1.2::DOUBLE ELSE 0.8 END AS sg FROM {source})),
+    y AS (SELECT game, {team} AS team, pitch_order, inning, role, stake, 'structural' AS mode, a1, a2, a1 * (margin > 0)::INT AS s1, a2 * (margin > 0)::INT AS s2 FROM (SELECT *, CASE WHEN stake > 0 THEN {z[1]} ELSE 0 END AS a1, CASE WHEN stake > 0 THEN {z[2]} ELSE 0 END AS a2 FROM v)), {_RUN}"""
+
+
 def public_clock(t):
     """Decision rows with thresholds that depend on the inning, keyed as a clock; and the truth, apart."""
     named = t.select(F.col("game").alias("game_pk"), F.col("team").cast("string").alias("team_id"), "pitch_order", "inning", "role", "stake", "margin")
@@ -102,40 +110,39 @@ def payoffs(spark, sf):
 def joint_signal_values(spark, sf):
     """M4, M5: state values when both roles share one inventory and decide by signals. No SQL: a fixed point."""
     t = timeline(spark, sf)
-    rows = t.select(*KEYS, *ORDER, "inning", "role", F.round("stake", -1).alias("stake"), ((F.col("inning") - 1) * 6).alias("raw"))
-    rows = rows.withColumns({"stage": F.when(F.col("raw") < 54, F.col("raw")).otherwise(54), "p_hat": F.lit(0.0)})
+    rows = t.select(*KEYS, *ORDER, "inning", "role", "stake", ((F.col("inning") - 1) * 6).alias("raw")).withColumn("context", F.lit("league"))
+    rows = rows.withColumn("stage", F.when(F.col("raw") < 54, F.col("raw")).otherwise(54))
     moves = sequential.transitions(rows, KEYS, ORDER, ["stage", "role", "raw"]).withColumn("delta", F.coalesce(F.col("next_raw") - F.col("raw"), F.lit(0)))
-    table = decision.compressed_transitions(moves).assign(context="league")
-    values = decision.SignalValues(table, {"league": lookups(t, [])["league"]}, tolerance=1e-8)
+    values = decision.PolicyValues(moves.cache(), decision.by_signal({"league": lookups(t, [])["league"]}), tolerance=1e-8)
     return rounded(spark.createDataFrame(values.frame()))
 
 
-@query("m10_frozen_evaluation")
+@query("m10_frozen_evaluation", f"WITH RECURSIVE {T}, {frozen_sql()} SELECT role, round(sum(ch), 5) AS challenges, round(sum(won), 5) AS successes, round(sum(ch) - sum(won), 5) AS failures, round(sum(cap), 3) AS captured FROM r WHERE pitch_order > 0 GROUP BY role")
 def frozen_evaluation(spark, sf):
     """Thresholds fixed before the truth is joined; replayed and summed by role."""
     clock, truth = public_clock(timeline(spark, sf))
     out = policy.frozen_evaluation(clock, truth, SIGMA)
-    return rounded(out.groupBy("role").agg(*[F.sum(f"state.{c}").alias(c) for c in ("challenges", "successes", "failures", "captured")]))
+    return out.groupBy("role").agg(*[F.round(F.sum(f"state.{c}"), n).alias(c) for c, n in (("challenges", 5), ("successes", 5), ("failures", 5), ("captured", 3))])
 
 
-@query("m12_bias_sensitivity")
+@query("m12_bias_sensitivity", f"WITH RECURSIVE {T}, n AS (SELECT * FROM (VALUES (0, -sqrt(3.0::DOUBLE), 1 / 6.0::DOUBLE), (1, 0::DOUBLE, 2 / 3.0::DOUBLE), (2, sqrt(3.0::DOUBLE), 1 / 6.0::DOUBLE)) x(node, z0, w)), nb AS (SELECT t.*, node, z0 FROM t CROSS JOIN n), {frozen_sql('team * 10 + node', 'z0 * 0.5::DOUBLE', 'nb')} SELECT role, round(sum(cap * w), 3) AS captured FROM r JOIN n ON n.node = team % 10 WHERE pitch_order > 0 GROUP BY role")
 def bias_sensitivity(spark, sf):
     """Captured value under a normal bias of all signals, by quadrature nodes side by side."""
     clock, truth = public_clock(timeline(spark, sf))
-    return rounded(policy.bias_sensitivity(clock, truth, SIGMA, 0.5, 3))
+    return rounded(policy.bias_sensitivity(clock, truth, SIGMA, 0.5, 3), 3)
 
 
 @query("m6_policy_search")
 def policy_search(spark, sf):
-    """Maximin pattern search over losses; a round is one job."""
-    t = timeline(spark, sf).select(*KEYS, *ORDER, "inning", F.round("p", 1).alias("p"), "stake", "success", "role")
-    found = policy.search(t, KEYS, "role", rounds=2)
+    """M6: maximin pattern search over losses, until the pattern is narrower than its tolerance; a round is one job."""
+    t = timeline(spark, sf).select(*KEYS, *ORDER, "inning", "p", "stake", "success", "role")
+    found = policy.search(t.cache(), KEYS, "role", tolerance=0.02)
     return rounded(spark.createDataFrame([(found["l1"], found["l2"], found["worst"], found["binding"])], "l1 double, l2 double, worst double, binding string"))
 
 
 @query("g4_probit_width")
 def probit_width(spark, sf):
-    """Common width and threshold of simulated choices, by Newton steps on sums. No SQL: a fit."""
+    """Common width and threshold of simulated choices, by Newton steps on sums. No SQL: a fit."""
     t = timeline(spark, sf).select("event_id", "margin", F.lit("all").alias("player"))
     players = spark.createDataFrame([("all", 0.4, 1.6)], "player string, threshold double, sigma double")
     drawn = models.simulated_choices(t, players, "margin", "player", 3)
@@ -145,7 +152,7 @@ def probit_width(spark, sf):
 
 @query("g2_propensity")
 def propensity(spark, sf):
-    """Cross-fitted probability by whole-game folds."""
+    """Cross-fitted probability by whole-game folds."""
     t = timeline(spark, sf).select("event_id", "game", "inning", "margin", F.col("outcome").isNotNull().cast("int").alias("hit"))
     out = models.cross_fitted(t, "game", 3, "hit", ["inning", "margin"])
     return out.select("event_id", "fold", F.round("prediction", 4).alias("prediction"))
@@ -160,19 +167,23 @@ def count_rate(spark, sf):
     return rounded(spark.createDataFrame([(n, float(b)) for n, b in fit["coefficients"].items()], "term string, coefficient double"), 3)
 
 
-@query("c16_thinned_draws")
+@query("c16_thinned_draws", f"WITH d AS (SELECT o_custkey % 400 AS source_draw, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT * FROM d ORDER BY {HASH.format('4, source_draw')}, source_draw LIMIT 50) SELECT row_number() OVER (ORDER BY source_draw) AS draw, source_draw, n FROM k")
 def thinned_draws(spark, sf):
     """A thinned sample of draws, with their source ids."""
-    draws = spark.range(2000).select((F.col("id") % 400).cast("int").alias("draw"), F.col("id").alias("parameter"))
+    draws = table(spark, sf, "orders").select((F.col("o_custkey") % 400).alias("draw"), F.col("o_orderkey").alias("parameter"))
     return rounded(policy.thinned(draws, "draw", 50, 4).groupBy("draw").agg(F.min("source_draw").alias("source_draw"), F.count("*").alias("n")))
 
 
-@query("q6_bootstrap_of_frozen_policy")
+FROZEN_DRAWS = f"""gm AS (SELECT game, row_number() OVER (ORDER BY game) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT game FROM t)), w AS (SELECT r.replicate, h.game, count(*) AS weight FROM gm CROSS JOIN (SELECT unnest(range(1, 5001)) AS replicate) r JOIN gm h ON h.place = {HASH.format("6, r.replicate, gm.place")} % gm.n GROUP BY ALL),
+    sums AS (SELECT game, role, sum(cap) AS s, count(*) AS c FROM r WHERE pitch_order > 0 GROUP BY ALL), draws AS (SELECT replicate, role, sum(s * weight) / sum(c * weight) AS m FROM sums JOIN w USING (game) GROUP BY ALL), pt AS (SELECT role, sum(s) / sum(c) AS e FROM sums GROUP BY role)"""
+
+
+@query("q6_bootstrap_of_frozen_policy", f"WITH RECURSIVE {T}, {frozen_sql()}, {FROZEN_DRAWS} SELECT role, round(any_value(e), 5) AS estimate, round(quantile_cont(m, 0.025), 5) AS lower, round(median(m), 5) AS median, round(quantile_cont(m, 0.975), 5) AS upper FROM draws JOIN pt USING (role) GROUP BY role")
 def bootstrap_of_frozen_policy(spark, sf):
-    """Interval of a frozen policy's captured value, by whole games."""
+    """Interval of a frozen policy's captured value, by whole games."""
     clock, truth = public_clock(timeline(spark, sf))
     out = policy.frozen_evaluation(clock, truth, SIGMA).select("game_pk", "role", F.col("state.captured").alias("captured"))
-    return rounded(resample.bootstrap_interval(out, "game_pk", ["role"], "captured", 40, 6), 5)
+    return rounded(resample.bootstrap_interval(out, "game_pk", ["role"], "captured", 5000, 6), 5)
 
 
 @query("n15_mean_above_threshold")
@@ -196,8 +207,6 @@ CONTEXT = """x AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_li
 )
 def selection_context(spark, sf):
     """Count, matchup, speed and margin strata."""
-    from stakewise.plans.base import table
-
     p = F.col("l_partkey")
     rows = table(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_linenumber") - 1).alias("balls_before"), (F.col("l_suppkey") % 4).alias("strikes_before"), (p % 4).alias("outs_before"),

@@ -91,7 +91,7 @@ def inventory_replay(spark, sf):
     SELECT game, team, pitch_order, round(m0, 8) AS m0, round(m1, 8) AS m1, round(m2, 8) AS m2, round(ch, 8) AS challenges, round(cap, 6) AS captured FROM r WHERE pitch_order > 0""",
 )
 def expected_mass_replay(spark, sf):
-    """Q4, Q5, Q6: probability mass over inventories, with what is expected to happen."""
+    """Q4, Q5: probability mass over inventories, with what is expected to happen."""
     rows = timeline(spark, sf).select(*KEYS, *ORDER, "inning", (F.col("p") * 0.5).alias("p1"), F.col("p").alias("p2"), "success", "stake")
     out = sequential.mass_replay(rows, KEYS, ORDER).select(*KEYS, *ORDER, *[F.round(f"state.{m}", 8).alias(m) for m in ("m0", "m1", "m2", "challenges")], F.round("state.captured", 6).alias("captured"))
     return out.withColumn("pitch_order", F.col("pitch_order").cast("long"))
@@ -153,12 +153,11 @@ def future_totals(spark, sf):
 
 @query("m2_bellman_values")
 def bellman_values(spark, sf):
-    """Transition counts on Spark, the fixed point over the states in numpy. No SQL: a fixed point."""
-    t = timeline(spark, sf).select(*KEYS, *ORDER, "inning", "role", F.round("p", 1).alias("p_hat"), F.round("stake", -1).alias("stake"))
+    """Policy iteration over the rows with their own stakes; a linear system over the states. No SQL: a fixed point."""
+    t = timeline(spark, sf).select(*KEYS, *ORDER, "inning", "role", F.col("p").alias("p_hat"), "stake")
     t = t.withColumn("raw", (F.col("inning") - 1) * 6 + F.col("pitch_order") % 2 * 3).withColumn("stage", F.when(F.col("raw") < 54, F.col("raw")).otherwise(54 + (F.col("raw") - 54) % 6))
     moves = sequential.transitions(t, KEYS, ORDER, ["stage", "role", "raw"]).withColumn("delta", F.coalesce(F.col("next_raw") - F.col("raw"), F.lit(0)))
-    values = decision.StateValues(decision.compressed_transitions(moves))
-    return rounded(spark.createDataFrame(values.frame()))
+    return rounded(spark.createDataFrame(decision.PolicyValues(moves.cache()).frame()))
 
 
 @query("m3_actions", f"WITH {T} SELECT event_id, round(p * stake - (1 - p) * inning / 10.0::DOUBLE, 6) AS advantage, round(CASE WHEN stake > 0 THEN (inning / 10.0::DOUBLE) / (stake + inning / 10.0::DOUBLE) END, 6) AS threshold, p * stake - (1 - p) * inning / 10.0::DOUBLE > 0 AND stake > 0 AS act FROM t")
@@ -175,7 +174,7 @@ def actions(spark, sf):
     SELECT candidate, arg_min(scenario, value) AS binding, round(min(value), 4) AS worst, round(avg(value), 4) AS mean FROM v GROUP BY candidate ORDER BY min(value) DESC, avg(value) DESC, candidate LIMIT 1""",
 )
 def policy_maximin(spark, sf):
-    """Candidates across scenarios, the best worst case."""
+    """Candidates across scenarios, the best worst case."""
     t = timeline(spark, sf).select("inning", "p", "success", "stake", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))).alias("candidate"))
     value = F.when(F.col("p") > F.col("candidate"), F.when(F.col("success"), F.col("stake")).otherwise(-0.3 * F.col("stake"))).otherwise(0.0)
     return rounded(decision.maximin(t.groupBy("candidate", F.col("inning").alias("scenario")).agg(F.sum(value).alias("value")), "candidate", "scenario", "value"), 4)
@@ -270,12 +269,12 @@ def temporal_split(spark, sf):
     return e.crossJoin(F.broadcast(first)).groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.countDistinct("day").alias("games"))
 
 
-@query("c9_replicate_summary", f"WITH {T}, gm AS (SELECT game, row_number() OVER (ORDER BY game) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT game FROM t)), w AS (SELECT r.replicate, h.game, count(*) AS weight FROM gm CROSS JOIN (SELECT unnest(range(1, 21)) AS replicate) r JOIN gm h ON h.place = ('0x' || substr(md5(concat_ws('|', 5, r.replicate, gm.place)), 1, 12))::BIGINT % gm.n GROUP BY ALL), s AS (SELECT game, role, sum(p * stake) AS e, sum(success::INT * stake) AS o FROM t GROUP BY ALL) SELECT replicate, role, round(sum(e * weight), 4) AS e, round(sum(o * weight), 4) AS o FROM s JOIN w USING (game) GROUP BY ALL")
+@query("c9_replicate_summary", f"WITH {T}, gm AS (SELECT game, row_number() OVER (ORDER BY game) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT game FROM t)), w AS (SELECT r.replicate, h.game, count(*) AS weight FROM gm CROSS JOIN (SELECT unnest(range(1, 501)) AS replicate) r JOIN gm h ON h.place = ('0x' || substr(md5(concat_ws('|', 5, r.replicate, gm.place)), 1, 12))::BIGINT % gm.n GROUP BY ALL), s AS (SELECT game, role, sum(p * stake) AS e, sum(success::INT * stake) AS o FROM t GROUP BY ALL) SELECT replicate, role, round(sum(e * weight), 4) AS e, round(sum(o * weight), 4) AS o FROM s JOIN w USING (game) GROUP BY ALL")
 def replicate_summary(spark, sf):
-    """Weighted replicates of group sums."""
+    """Weighted replicates of group sums."""
     t = timeline(spark, sf)
     sums = t.groupBy("game", "role").agg(F.sum(F.col("p") * F.col("stake")).alias("e"), F.sum(F.col("success").cast("int") * F.col("stake")).alias("o"))
-    return rounded(resample.bootstrap_totals(sums, resample.bootstrap_weights(t, "game", 20, 5), "game", ["role"], ["e", "o"]), 4)
+    return rounded(resample.bootstrap_totals(sums, resample.bootstrap_weights(t, "game", 500, 5), "game", ["role"], ["e", "o"]), 4)
 
 
 @query("j13_first_differences", f"WITH {T} SELECT a.event_id, round(b.stake - a.stake, 6) AS change FROM t a JOIN t b ON b.game = a.game AND b.team = a.team AND b.pitch_order = a.pitch_order + 1")

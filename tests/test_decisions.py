@@ -102,3 +102,37 @@ def test_families_recover_their_coefficients(spark):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_queries_without_sql_give_rows(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+def test_policy_iteration_on_rows_equals_iteration_over_a_table(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for game in range(40):
+        stages = sorted(rng.integers(0, 70, 12).tolist())
+        roles = rng.choice(["offense", "defense"], 12).tolist()
+        for i, (raw, role) in enumerate(zip(stages, roles, strict=True)):
+            after = stages[i + 1] if i < 11 else None
+            fold = lambda x: x if x < 54 else 54 + (x - 54) % 6
+            rows.append((fold(raw), role, float(rng.integers(0, 101)) / 100, float(rng.normal(0.3, 1)), None if after is None else fold(after), roles[i + 1] if i < 11 else None, 0 if after is None else after - raw, i == 11, after is not None and after // 6 > max(8, raw // 6), "league"))
+    names = ["stage", "role", "p_hat", "stake", "next_stage", "next_role", "delta", "terminal", "extra_grant", "context"]
+    frame = pd.DataFrame(rows, columns=names)
+    df = spark.createDataFrame(rows, "stage int, role string, p_hat double, stake double, next_stage int, next_role string, delta int, terminal boolean, extra_grant boolean, context string")
+    want, got = decision.StateValues(frame.assign(weight=1)), decision.PolicyValues(df)
+    assert got.rounds < 30 and (got.states.to_numpy() == want.states.to_numpy()).all()
+    assert got.arrival == pytest.approx(want.arrival, abs=1e-7) and got.continuation == pytest.approx(want.continuation, abs=1e-7)
+    _, _, table = look()
+    want, got = decision.SignalValues(frame.assign(weight=1), {"league": table}), decision.PolicyValues(df, decision.by_signal({"league": table}))
+    assert got.arrival == pytest.approx(want.arrival, abs=1e-4)
+
+
+def test_too_many_distinct_transitions_do_not_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(decision, "MOST_ROWS", 3)
+    df = spark.range(9).selectExpr("cast(id AS int) AS stage", "'offense' AS role", "cast(NULL AS int) AS next_stage", "cast(NULL AS string) AS next_role", "0 AS delta", "true AS terminal", "false AS extra_grant")
+    with pytest.raises(ValueError, match="distinct transitions"):
+        decision.compressed_transitions(df)
+
+
+def test_search_ends_below_its_tolerance(spark):
+    rows = [(g, "t", i, i, 0.9 if i == 3 else 0.3, 1.0, i == 3, "x") for g in ("a", "b") for i in range(1, 4)]
+    t = spark.createDataFrame(rows, "game string, team string, pitch_order int, inning int, p double, stake double, success boolean, scenario string")
+    assert policy.search(t, ["game", "team"], "scenario", start=(0.0, 0.0), radius=0.5, tolerance=0.2)["worst"] == pytest.approx(2.0)
