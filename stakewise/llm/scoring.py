@@ -1,24 +1,32 @@
 """Log-bilinear language model: counted on Spark, trained in numpy with noise-contrastive estimation, scored in batches.
 
-Words become units: the most frequent ones are units of their own, the rest share units by their last two bytes, and
-the end of a text is a unit. The model gives P(unit | unit before) and, inside a shared unit, the add-one share
-of the word, so every word has a probability and all of them sum to one.
-
-1. One pass counts words, one counts pairs of neighbouring units, both over all training texts. The first table
-   grows with the corpus and stays distributed; the second has at most ``UNITS`` squared rows.
-2. The pairs are all that the estimate needs from the corpus: the model's score of a pair is the product of two
-   vectors plus a bias, and noise-contrastive estimation compares observed pairs with ``NOISE`` noise draws each. As
-   both are counts, numpy takes the expectation over the noise exactly, with products of whole matrices. The scores
-   are then normalised, once for every unit before.
-3. One pass scores all texts. Counts of at most ``LEXICON`` words travel with the tasks (a memory bound, not a cap:
-   rarer words are joined to the counts table by word).
-
-Null texts count as empty: the end alone. Repeated rows are scored each. Without training texts every known count
-is zero and the model is uniform.
+Words become units. The ``own_words`` most frequent ones, four times the corpus' tokens to the power 0.4, have units of
+their own; rarer ones share units by their last two bytes, and the end of a text is a unit. Units, by falling frequency,
+are cut into about as many classes as a class has units. The model is log-bilinear in two factors:
+
+    P(unit | context) = P(class | context) * P(unit | class, context)
+
+The context's vector is the sum of the vectors of the units before, each weighted by its distance; there are more of
+them the larger the corpus is. A class or unit scores the product of its vector with the context's, plus a bias. Inside a shared
+unit a word has its add-one share, so every word has a probability and all of them sum to one.
+
+1. One pass counts words over all training texts. The table grows with the corpus and stays distributed.
+2. ``ROUNDS`` passes, each over another part of the training texts, train the model: every task goes through its texts
+   in minibatches, contrasts each observed class and unit with ``NOISE`` draws from their frequencies, and adds up its
+   vectors, weighted by how often it met their unit. Spark adds these sums by blocks, and the means start the next round.
+3. One pass scores all texts with products of whole batches, normalised over classes and over the units of a class.
+
+What travels with the tasks is bounded by ``LEXICON`` words: their counts (rarer ones are joined to the counts table by
+word) and, as far as they have units of their own, their vectors. Below 5e12 training tokens the bound on own words is
+not reached; beyond, the rest of the words share units as all rare ones do.
+
+Null texts count as empty: the end alone. Repeated rows are scored each, and ids may be of any type or null (as the text
+''). Without training texts every known count is zero and all units are alike but for the class they are in.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from itertools import repeat
 
@@ -26,35 +34,69 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stakewise.llm.common import bounded_batches, byte_words, stored
 
-OWN, SHARED = 768, 255
-#: Units: frequent words, shared ones, the end.
-UNITS = OWN + SHARED + 1
-END = UNITS - 1
-LEXICON = 200_000
-RANK, NOISE, STEPS = 48, 16, 150
-#: Weight of the vectors' squared length against one observed pair.
-PRIOR = 5.0
+#: Units that rare words share.
+SHARED = 255
+#: Words that travel with the tasks at most.
+LEXICON = 500_000
+RANK, NOISE, ROUNDS = 24, 16, 2
+RATE = 0.05
 #: Words that a task counts before it hands them on.
 COUNTED = 300_000
-#: Pairs that a task adds up at once.
-PAIRS = 2_000_000
+#: Tokens that a task holds for training, and tokens of a product of matrices.
+HELD, SLICE = 200_000, 16_384
+#: Tokens that training should see; smaller corpora are gone through as often as that takes, ``PASSES`` times at most.
+SEEN, PASSES = 4_000_000, 10
+
+
+def own_words(tokens: int) -> int:
+    return min(LEXICON, int(4 * tokens**0.4))
 
 
-def shared_unit(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-2:]) % SHARED
+def context_length(tokens: int) -> int:
+    """Units before that the model sees: one more for ten times the tokens."""
+    return max(2, int(math.log10(max(tokens, 1))) - 4)
 
 
-class Units:
-    """The lexicon's words and counts, and the unit of any word."""
+def suffix(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % SHARED
 
-    def __init__(self, words: list[bytes], counts: list[int]):
+
+class Vocabulary:
+    """The lexicon's words and counts, and the unit of any word; units are numbered by falling frequency.
+
+    ``shared`` has the tokens and types of each suffix, over all words of the corpus.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[int], shared: np.ndarray, tokens: int):
         order = sorted(range(len(words)), key=lambda i: (words[i] != b"", -counts[i], words[i]))
         self.words = [words[i] for i in order]
         self.counts = np.array([counts[i] for i in order] + [0], np.int64)
-        self.units = np.array([END if w == b"" else i - 1 if 0 < i <= OWN else shared_unit(w) for i, w in enumerate(self.words)] + [0], np.int64)
+        first = 1 if self.words and self.words[0] == b"" else 0
+        own = [i for i in range(first, min(len(self.words), first + own_words(tokens))) if self.counts[i] > 1]
+        left = shared.astype(np.float64).copy()
+        for i in own:
+            left[suffix(self.words[i])] -= self.counts[i], 1
+        #: frequencies of the end, the shared units and the own ones, as they are before they are numbered
+        raw = np.concatenate([[self.counts[0] if first else 0], left[:, 0], self.counts[own]])
+        number = np.empty(len(raw), np.int64)
+        number[np.argsort(-raw, kind="stable")] = np.arange(len(raw))
+        self.size = len(raw)
+        self.frequency = np.sort(raw)[::-1] + 1
+        self.end, self.of_suffix = int(number[0]), number[1 : SHARED + 1]
+        self.units = np.zeros(len(self.words) + 1, np.int64)
+        self.units[: len(self.words)] = self.of_suffix[[suffix(w) for w in self.words]]
+        self.units[own] = number[SHARED + 1 :]
+        if first:
+            self.units[0] = self.end
+        self.is_shared = np.zeros(self.size, bool)
+        self.is_shared[self.of_suffix] = True
+        #: log10 of a shared unit's words, each counted once more, and one for all that were never seen
+        self.share = np.zeros(self.size)
+        self.share[self.of_suffix] = np.log10(left.sum(1) + 1)
         self.places: dict[bytes, int] | None = None
 
     def __getstate__(self):
@@ -67,10 +109,154 @@ class Units:
         at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
         units = self.units[at]
         missing = np.flatnonzero(at < 0)
-        units[missing] = [shared_unit(words[i]) for i in missing]
+        units[missing] = self.of_suffix[[suffix(words[i]) for i in missing]]
         return at, units
 
 
+def run_sums(ordered: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+    """Distinct values of a sorted array, and the sums of each one's rows."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return [ordered[starts], *[np.add.reduceat(r, starts, axis=0) for r in rows]]
+
+
+def segments(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, behind) of the runs of a sorted array."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    return list(zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True))
+
+
+class Model:
+    """Vectors and biases; ``unit`` rows are (context vector, vector, bias), ``kind`` rows (vector, bias) of classes."""
+
+    def __init__(self, frequency: np.ndarray, context: int, rank: int = RANK, noise: int = NOISE, seed: int = 1):
+        rng = np.random.default_rng(seed)
+        self.rank, self.noise, self.context = rank, noise, context
+        self.width = math.isqrt(max(len(frequency) - 1, 0)) + 1
+        kinds = -(-len(frequency) // self.width)
+        mass = np.add.reduceat(frequency, np.arange(0, len(frequency), self.width))
+        self.share_kind = mass / mass.sum()
+        self.share_unit = frequency / np.repeat(mass, self.width)[: len(frequency)]
+        self.log_kind, self.log_unit = np.log(self.share_kind).astype(np.float32), np.log(self.share_unit).astype(np.float32)
+        self.log_noise = np.float32(math.log(noise))
+        self.unit = np.zeros((len(frequency), 2 * rank + 1), np.float32)
+        self.unit[:, :rank] = rng.normal(0, 0.3, (len(frequency), rank))
+        self.unit[:, -1] = self.log_unit
+        self.kind = np.zeros((kinds, rank + 1), np.float32)
+        self.kind[:, -1] = self.log_kind
+        self.weight = np.repeat((1 / np.arange(1, context + 1))[:, None], rank, axis=1).astype(np.float32)
+        #: tables by name, and what their rows weigh in a mean: how often a task met them
+        self.tables = ("unit", "kind", "weight")
+
+    def rows_of(self, kind: int) -> slice:
+        return slice(kind * self.width, min((kind + 1) * self.width, len(self.unit)))
+
+    def hidden(self, units: np.ndarray, places: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Context units (nearest first), their vectors, and the context's vector, of ``places`` in ``units``."""
+        before = [units[places - k] for k in range(1, self.context + 1)]
+        vectors = [self.unit[x, : self.rank] for x in before]
+        h = vectors[0] * self.weight[0]
+        for v, w in zip(vectors[1:], self.weight[1:], strict=True):
+            h += v * w
+        return before, vectors, h
+
+    def log_probabilities(self, units: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Natural log P(unit | units before) at ``places`` of ``units``, normalised."""
+        out = np.empty(len(places))
+        for at in range(0, len(places), SLICE):
+            part = places[at : at + SLICE]
+            target = units[part]
+            order = np.argsort(target // self.width, kind="stable")
+            target = target[order]
+            kind = target // self.width
+            _, _, h = self.hidden(units, part[order])
+            logs = picked(h @ self.kind[:, :-1].T + self.kind[:, -1], kind)
+            for k, a, b in segments(kind):
+                rows = self.unit[self.rows_of(k), self.rank :]
+                logs[a:b] += picked(h[a:b] @ rows[:, :-1].T + rows[:, -1], target[a:b] - k * self.width)
+            out[at + order] = logs
+        return out
+
+    def contrast(self, h: np.ndarray, rows: np.ndarray, logs: np.ndarray, share: np.ndarray, target: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes by ``h`` and by ``rows`` (vectors, bias) of the noise-contrastive objective: each target, in order,
+        against ``noise`` draws from the distribution ``share`` (its log in ``logs``), shared by the batch."""
+        drawn = rng.multinomial(self.noise, share)
+        among = np.flatnonzero(drawn)
+        kept = rows[among]
+        noise = sigmoid(h @ kept[:, :-1].T + (kept[:, -1] - logs[among] - self.log_noise))
+        noise *= -drawn[among].astype(np.float32)
+        own = rows[target]
+        data = 1 - sigmoid(np.einsum("bd,bd->b", h, own[:, :-1]) + own[:, -1] - logs[target] - self.log_noise)
+        slope = np.zeros_like(rows)
+        slope[among, :-1] = noise.T @ h
+        slope[among, -1] = noise.sum(0)
+        index, vectors, biases = run_sums(target, h * data[:, None], data)
+        slope[index, :-1] += vectors
+        slope[index, -1] += biases
+        by_h = own[:, :-1]
+        by_h *= data[:, None]
+        by_h += noise @ kept[:, :-1]
+        return by_h, slope
+
+    def learn(self, units: np.ndarray, places: np.ndarray, steps: dict[str, np.ndarray], rng) -> None:
+        """One minibatch: the slopes' steps, divided by the roots of the sums of squares in ``steps``."""
+        target = units[places]
+        order = np.argsort(target)
+        target, places = target[order], places[order]
+        kind = target // self.width
+        before, vectors, h = self.hidden(units, places)
+        by_h, slope = self.contrast(h, self.kind, self.log_kind, self.share_kind, kind, rng)
+        self.step("kind", steps, slice(None), slope)
+        for k, a, b in segments(kind):
+            rows = self.rows_of(k)
+            more, slope = self.contrast(h[a:b], self.unit[rows, self.rank :], self.log_unit[rows], self.share_unit[rows], target[a:b] - k * self.width, rng)
+            by_h[a:b] += more
+            self.step("unit", steps, rows, slope, slice(self.rank, None))
+        sums = np.zeros((len(self.unit), self.rank), np.float32)
+        by_weight = np.empty_like(self.weight)
+        for k, (units_k, v) in enumerate(zip(before, vectors, strict=True)):
+            order = np.argsort(units_k)
+            index, found = run_sums(units_k[order], by_h[order])
+            sums[index] += found * self.weight[k]
+            by_weight[k] = np.einsum("bd,bd->d", by_h, v) / len(places)
+        index = np.flatnonzero(sums.any(1))
+        self.step("weight", steps, slice(None), by_weight)
+        self.step("unit", steps, index, sums[index], slice(0, self.rank))
+
+    def step(self, table: str, steps: dict[str, np.ndarray], rows, slope: np.ndarray, columns: slice = slice(None)) -> None:
+        values, squares = getattr(self, table), steps[table]
+        squares[rows, columns] += slope * slope
+        values[rows, columns] += np.float32(RATE) * slope / np.sqrt(squares[rows, columns])
+
+    def fresh_steps(self) -> dict[str, np.ndarray]:
+        return {t: np.full(getattr(self, t).shape, 1e-6, np.float32) for t in self.tables}
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """Of ``x``, which is used up; beyond 60 it is as good as 0 or 1."""
+    np.clip(x, -60, 60, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def picked(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the normalised score of each row's target."""
+    scores -= scores.max(1, keepdims=True)
+    own = scores[np.arange(len(target)), target].astype(np.float64)
+    return own - np.log(np.exp(scores).sum(1, dtype=np.float64))
+
+
+def joined_paths(paths: list[np.ndarray], end: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all texts in a row, each behind ``context`` ends and before one, and the places to predict."""
+    lead = np.full(context, end, np.int64)
+    whole = np.concatenate([x for path in paths for x in (lead, path, lead[:1])])
+    predicted = np.ones(len(whole), bool)
+    starts = np.cumsum([0, *[len(path) + context + 1 for path in paths[:-1]]])
+    predicted[(starts[:, None] + np.arange(context)).ravel()] = False
+    return whole, np.flatnonzero(predicted)
+
+
 def is_training(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
@@ -100,8 +286,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(counts: DataFrame, most: int) -> Units:
-    """The words above the least count that at most ``most`` words reach, and the end."""
+def lexicon(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    """The words above the least count that at most ``most`` words reach, and the end, with their counts."""
     sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
     least, total = None, 0
     for row in sizes:
@@ -111,62 +297,70 @@ def lexicon(counts: DataFrame, most: int) -> Units:
         least = row["n"]
     chosen = (F.col("n") >= least) if least is not None else F.lit(False)
     rows = counts.filter(chosen | (F.length("word") == 0)).collect()
-    return Units([bytes(r["word"]) for r in rows], [r["n"] for r in rows])
-
-
-def count_pairs(docs: DataFrame, units: Units) -> np.ndarray:
-    """How often each unit follows each other one: UNITS x UNITS, from all texts."""
-
-    def count(frames):
-        total, batch, size = np.zeros(UNITS * UNITS, np.int64), [], 0
-        for frame in frames:
-            for text in frame["text"]:
-                _, own = units.found(byte_words(text or ""))
-                path = np.concatenate([[END], own, [END]])
-                batch.append(path[:-1] * UNITS + path[1:])
-                size += len(path)
-                if size > PAIRS:
-                    total += np.bincount(np.concatenate(batch), minlength=UNITS * UNITS)
-                    batch, size = [], 0
-        if batch:
-            total += np.bincount(np.concatenate(batch), minlength=UNITS * UNITS)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": seen, "n": total[seen]})
-
-    rows = docs.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(UNITS * UNITS)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return out.reshape(UNITS, UNITS)
-
-
-def train(pairs: np.ndarray, rank: int = RANK, noise: int = NOISE, steps: int = STEPS, seed: int = 1, prior: float = PRIOR) -> np.ndarray:
-    """Natural log P(unit | unit before), row by row, of the log-bilinear model of ``pairs``.
-
-    The objective is the noise-contrastive one, summed over the noise, less a penalty on long vectors that fades as
-    pairs grow in number; Adam steps on the two tables of vectors and the biases.
-    """
-    size, decay = len(pairs), prior / max(pairs.sum(), 1)
-    rng = np.random.default_rng(seed)
-    noise_p = (pairs.sum(0) + 1) / (pairs.sum() + size)
-    data = (pairs / max(pairs.sum(), 1)).astype(np.float32)
-    drawn = (noise * data.sum(1, keepdims=True) * noise_p).astype(np.float32)
-    offset = np.log(noise * noise_p).astype(np.float32)
-    values = [rng.normal(0, 0.1, (size, rank)).astype(np.float32), rng.normal(0, 0.1, (size, rank)).astype(np.float32), np.log(noise_p).astype(np.float32)]
-    first, second = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
-    for step in range(1, steps + 1):
-        before, after, bias = values
-        data_share = 1 / (1 + np.exp(np.clip(offset - (before @ after.T + bias), -30, 30)))
-        slope = data * (1 - data_share) - drawn * data_share
-        slopes = [slope @ after - decay * before, slope.T @ before - decay * after, slope.sum(0)]
-        rate = 0.1 * (1 - step / (steps + 1))
-        for i, g in enumerate(slopes):
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.99 * second[i] + 0.01 * g * g
-            values[i] = values[i] + rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-9)
-    before, after, bias = values
-    scores = (before @ after.T + bias).astype(np.float64)
-    scores -= scores.max(1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(1, keepdims=True))
+    return [bytes(r["word"]) for r in rows], [r["n"] for r in rows]
+
+
+SUMS = "part string, first int, sums binary"
+
+
+def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int = ROUNDS) -> Model:
+    """The model of all texts in ``taught`` (text)."""
+    model = Model(vocabulary.frequency, context_length(tokens))
+    #: no task below ``HELD`` tokens, and so few that their sums stay small against the corpus
+    tasks = max(1, min(tokens // HELD, max(8, math.isqrt(tokens) // 400)))
+    passes = min(PASSES, max(1, -(-SEEN // max(tokens, 1))))
+    size = min(8192, max(256, tokens * passes // (tasks * rounds * 200)))
+    #: rows of a block, so that the sums of all tasks for it are a few MB
+    block = max(16, min(4096, 8_000_000 // (tasks * (2 * RANK + 2))))
+
+    for turn in range(rounds):
+
+        def learn(batches, model=model, turn=turn):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            rng = np.random.default_rng((turn, TaskContext.get().partitionId()))
+            steps, met, paths, held = model.fresh_steps(), np.zeros(len(model.unit)), [], 0
+
+            def use():
+                units, places = joined_paths(paths, vocabulary.end, model.context)
+                met[:] += np.bincount(units[places], minlength=len(met))
+                for _ in range(passes):
+                    shuffled = rng.permutation(places)
+                    for at in range(0, len(shuffled), size):
+                        model.learn(units, shuffled[at : at + size], steps, rng)
+                paths.clear()
+
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    paths.append(vocabulary.found(byte_words(text or ""))[1])
+                    held += len(paths[-1]) + 1
+                    if held >= HELD:
+                        use()
+                        held = 0
+            if paths:
+                use()
+            kinds = np.add.reduceat(met, np.arange(0, len(met), model.width))
+            rows = []
+            for name, weights in (("unit", met), ("kind", kinds), ("weight", np.full(model.context, met.sum()))):
+                values = getattr(model, name)
+                for first in range(0, len(values) if met.any() else 0, block):
+                    w = weights[first : first + block, None]
+                    rows.append((name, first, np.concatenate([values[first : first + block] * w, w], axis=1).astype(np.float64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["part", "first", "sums"])
+
+        def added(frame: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x) for x in frame["sums"])
+            return pd.DataFrame({"part": frame["part"].iloc[:1], "first": frame["first"].iloc[:1], "sums": [total.tobytes()]})
+
+        part = taught.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(tasks)
+        sums = part.mapInArrow(learn, SUMS).groupBy("part", "first").applyInPandas(added, SUMS)
+        for row in sums.collect():
+            values = getattr(model, row["part"])
+            got = np.frombuffer(row["sums"]).reshape(-1, values.shape[1] + 1)
+            some = np.flatnonzero(got[:, -1])
+            values[row["first"] + some] = got[some, :-1] / got[some, -1:]
+    return model
 
 
 def score_documents(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,53 +373,55 @@ def score_documents(docs: DataFrame, training: Column | None = None, id_col: str
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), learn.alias("learn"))
     taught = named.filter("learn")
     counts = stored(count_words(taught), "counts")
-    of_unit = (F.crc32(F.substring("word", -2, 2)) % SHARED).cast("int")
-    sums = counts.filter(F.length("word") > 0).groupBy(of_unit.alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    units = lexicon(counts, LEXICON)
-    has_end = bool(units.words) and units.words[0] == b""
-    held = np.zeros((SHARED, 2))
+    of_suffix = (F.crc32(F.substring("word", -2, 2)) % SHARED).cast("int")
+    sums = counts.groupBy(F.when(F.length("word") > 0, of_suffix).alias("suffix")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    shared = np.zeros((SHARED, 2))
     for r in sums:
-        held[r["unit"]] = r["n"], r["v"]
-    train_tokens = int(held[:, 0].sum()) + (int(units.counts[0]) if has_end else 0)
-    types = int(held[:, 1].sum()) + has_end
-    for word, n in zip(units.words[1 : OWN + 1] if has_end else [], units.counts[1:].tolist(), strict=False):
-        held[shared_unit(word) - OWN] -= n, 1
-    #: log10 of a shared unit's words, each counted once more, and one for all that were never seen
-    share = np.zeros(UNITS)
-    share[OWN:END] = np.log10(held.sum(1) + 1)
-    table = (train(count_pairs(taught, units)) / np.log(10)).astype(np.float32).ravel()
-    logs = np.log10(units.counts + 1.0)
+        if r["suffix"] is not None:
+            shared[r["suffix"]] = r["n"], r["v"]
+    train_tokens, types = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
+    vocabulary = Vocabulary(*lexicon(counts, LEXICON), shared, train_tokens)
+    model = trained(taught, vocabulary, train_tokens)
+    has_end = bool(vocabulary.words) and vocabulary.words[0] == b""
+    logs = np.log10(vocabulary.counts + 1.0)
     per_token = np.log10(train_tokens + types + 1)
     end_log = logs[0] if has_end else 0.0
+    schema = T.StructType([named.schema["doc_id"], *T._parse_datatype_string("uid long, learn boolean, n_tokens long, n_known long, base double, score double, word binary, tf long").fields])
 
-    def score(frames):
+    def score(batches):
         from collections import Counter
 
+        import pyarrow as pa
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 36
-        names = ["uid", "doc_id", "learn", "n_tokens", "n_known", "base", "score", "word", "tf"]
-        for frame in frames:
-            heads, rare = [], []
-            for doc_id, learn, text in zip(frame["doc_id"], frame["learn"], frame["text"], strict=True):
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
+        for batch in batches:
+            owners, rows, paths = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 words = byte_words(text or "")
-                at, own = units.found(words)
-                path = np.concatenate([[END], own, [END]])
-                model = float(table[path[:-1] * UNITS + path[1:]].sum(dtype=np.float64)) - float(share[own].sum())
-                model += float(logs[at][own >= OWN].sum())
+                at, own = vocabulary.found(words)
+                paths.append(own)
+                within = float(logs[at][vocabulary.is_shared[own]].sum()) - float(vocabulary.share[own].sum())
                 base = float(logs[at].sum()) + end_log - per_token * (len(words) + 1)
-                heads.append((uid, doc_id, learn, len(words) + 1, int(np.count_nonzero(at >= 0)) + has_end, base, model, None, None))
-                missing = Counter([words[i] for i in np.flatnonzero(at < 0)])
-                rare.append(pd.DataFrame({"uid": uid, "word": list(missing.keys()), "tf": list(missing.values())}))
-                uid += 1
-            out = pd.DataFrame(heads, columns=names).astype({"doc_id": "Int64", "tf": "Int64"})
-            yield out
-            found = pd.concat(rare) if rare else pd.DataFrame(columns=["uid", "word", "tf"])
-            if len(found):
-                yield pd.DataFrame({n: found[n] if n in found else None for n in names}).astype({"doc_id": "Int64", "n_tokens": "Int64", "n_known": "Int64", "base": "float64", "score": "float64"})
-
-    schema = "uid long, doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
-    rows = stored(named.select(F.col("doc_id").cast("long").alias("doc_id"), "learn", "text").mapInPandas(score, schema), "scored")
+                owners.append(k)
+                rows.append((uid + k, None, len(words) + 1, int(np.count_nonzero(at >= 0)) + has_end, base, within, None, None))
+                for word, n in Counter([words[i] for i in np.flatnonzero(at < 0)]).items():
+                    owners.append(None)
+                    rows.append((uid + k, None, None, None, None, None, word, n))
+            if not paths:
+                continue
+            units, places = joined_paths(paths, vocabulary.end, model.context)
+            owner = np.repeat(np.arange(len(paths)), [len(path) + 1 for path in paths])
+            found = np.bincount(owner, model.log_probabilities(units, places), len(paths)) / math.log(10)
+            take = pa.array(owners, pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            columns[1] = batch.column("learn").take(take)
+            columns[5] = pa.array([None if k is None else r[5] + found[k] for k, r in zip(owners, rows, strict=True)], pa.float64())
+            uid += len(paths)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *columns], names=schema.names)
+
+    rows = stored(named.select("doc_id", "learn", "text").mapInArrow(score, schema), "scored")
     rare = rows.filter("word IS NOT NULL").select("uid", "word", "tf").join(counts, "word")
     more = rare.groupBy("uid").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("log"))
     out = rows.filter("word IS NULL").drop("word", "tf").join(more, "uid", "left")

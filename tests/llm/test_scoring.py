@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 from stakewise.llm import scoring
-from stakewise.llm.scoring import UNITS, Units, score_documents, shared_unit, train
+from stakewise.llm.scoring import SHARED, Model, Vocabulary, joined_paths, own_words, score_documents, suffix, trained
 
 
 def words(text):
@@ -56,13 +56,77 @@ def test_base_matches_brute_force_and_held_out_texts_gain(spark, monkeypatch):
             assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.3 * sum(r.n_tokens for r in held)
 
 
-def test_rows_of_the_model_sum_to_one_and_words_to_their_unit(spark):
+def vocabulary(docs):
+    counts = Counter()
+    for _, t in docs:
+        counts.update([*words(t), b""])
+    shared = np.zeros((SHARED, 2))
+    for w, n in counts.items():
+        if w:
+            shared[suffix(w)] += n, 1
+    return counts, Vocabulary(list(counts), list(counts.values()), shared, sum(counts.values()))
+
+
+def test_units_of_words_and_masses_of_shared_units(spark):
+    docs = [(1, "common common common rare"), (2, "common odd")]
+    counts, v = vocabulary(docs)
+    at, own = v.found([b"rare", b"common", b"new", b""])
+    assert at[2] == -1 and own[2] == v.of_suffix[suffix(b"new")] and own[0] == v.of_suffix[suffix(b"rare")]
+    assert own[3] == v.end and not v.is_shared[own[1]] and len({*own.tolist()}) == 4
+    for s in range(SHARED):
+        alike = [n for w, n in counts.items() if w and w != b"common" and suffix(w) == s]
+        assert abs(10 ** v.share[v.of_suffix[s]] - sum(n + 1 for n in alike) - 1) < 1e-9
+    assert v.frequency.tolist() == sorted(v.frequency, reverse=True)
+
+
+def test_probabilities_are_normalised_and_equal_plain_loops(spark):
     rng = np.random.default_rng(2)
-    log = train(rng.integers(0, 5, (UNITS, UNITS)).astype(float), steps=5)
-    assert np.allclose(np.exp(log).sum(1), 1)
-    units = Units([b"", b"common", b"rare"], [3, 9, 1])
-    at, own = units.found([b"rare", b"common", b"new"])
-    assert at.tolist() == [2, 1, -1] and own.tolist()[1:] == [0, shared_unit(b"new")]
+    model = Model(np.sort(rng.integers(1, 500, 23))[::-1].astype(float), 3, rank=5)
+    for table in model.tables:
+        values = getattr(model, table)
+        values += rng.normal(0, 0.5, values.shape).astype(np.float32)
+    path = rng.integers(0, 23, 40)
+    units, places = joined_paths([path, path[:0]], 7, 3)
+    assert [*units] == [7, 7, 7, *path, 7, 7, 7, 7, 7] and [*places] == [*range(3, 44), 47]
+    got = model.log_probabilities(units, places)
+    for place, value in zip(places, got, strict=True):
+        h = sum(model.unit[units[place - k], :5].astype(float) * model.weight[k - 1] for k in (1, 2, 3))
+        kinds = np.exp(model.kind[:, :-1].astype(float) @ h + model.kind[:, -1])
+        every = []
+        for k in range(len(kinds)):
+            rows = model.unit[model.rows_of(k), 5:].astype(float)
+            inside = np.exp(rows[:, :-1] @ h + rows[:, -1])
+            every += (kinds[k] / kinds.sum() * inside / inside.sum()).tolist()
+        assert abs(sum(every) - 1) < 1e-9 and len(every) == 23
+        assert abs(math.log(every[units[place]]) - value) < 1e-4
+
+
+def test_scores_equal_a_plain_sum_over_words(spark):
+    docs = texts(random.Random(8), 60)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    taught = [x for x in docs if zlib.crc32(str(x[0]).encode()) % 7 != 2]
+    counts, v = vocabulary(taught)
+    kept = [x[0] for x in taught]
+    model = trained(frame.filter(frame.doc_id.isin(kept)), v, sum(counts.values()))
+    for d, r in scored(spark, docs).items():
+        own = words(dict(docs)[d])
+        units, places = joined_paths([v.found(own)[1]], v.end, model.context)
+        want = model.log_probabilities(units, places).sum() / math.log(10)
+        for w in own:
+            u = v.found([w])[1][0]
+            want += (math.log10(counts[w] + 1) - v.share[u]) if v.is_shared[u] else 0
+        assert abs(want - r.score) < 0.02 * abs(want) + 0.5
+
+
+def test_what_is_learned_grows_with_the_corpus(spark):
+    assert [own_words(n) for n in (0, 10**6, 10**8, 10**10)] == [0, 1004, 6339, 40000]
+
+
+def test_ids_of_any_kind_and_repeats(spark):
+    big = 2**53 + 1
+    frame = spark.createDataFrame([(None, "a b"), (big, "a b"), (big, "c"), (None, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in score_documents(frame).collect()) == sorted([("None", 3), (str(big), 3), (str(big), 2), ("None", 1)])
+    assert {r.doc_id for r in score_documents(frame.selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()} == {None, f"d{big}"}
 
 
 def test_nothing_to_learn_from(spark):
