@@ -235,10 +235,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool
     by_doc = stored(by_doc.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), gone.alias("__gone"), degree.alias("__degree")), "removed")
     joined = docs.withColumns({"__r1": r1, "__r2": r2}).join(by_doc, ["__r1", "__r2"], "left")
     text = F.col(text_col)
-    own = F.split(text, "\n")
-    bounds = F.concat(F.array(F.lit(-1)), F.transform("__gone", lambda g: g["line"]), F.array(F.size(own)))
-    runs = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda k: F.slice(own, bounds[k] + 2, bounds[k + 1] - bounds[k] - 1))
-    kept = F.when(F.size("__gone") > 0, F.array_join(F.flatten(runs), "\n")).otherwise(text)
+    #: what stands in a lambda is computed for every element, so the lines and the bounds of what stays are made before
+    ends = F.concat(F.array(F.lit(-1)), F.transform("__gone", lambda g: g["line"]), F.array(F.lit(1 << 30)))
+    parts = F.array(F.struct(F.split(text, "\n").alias("lines"), ends.alias("ends")))
+    runs = F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.size(p["ends"]) - 2), lambda k: F.slice(p["lines"], p["ends"][k] + 2, p["ends"][k + 1] - p["ends"][k] - 1)))
+    kept = F.when(F.size("__gone") > 0, F.array_join(F.flatten(runs[0]), "\n")).otherwise(text)
     removed = F.coalesce("__gone", F.array().cast("array<struct<line: int, home_doc: long, home_line: int>>"))
     found = F.struct(F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__degree", F.lit(0).cast("long")).alias("n_links"), removed.alias("removed"))
     return joined.select(*own_columns(docs, {text_col: kept}), found.alias(out))
