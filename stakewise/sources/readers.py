@@ -167,3 +167,22 @@ def export_bundle(tables: dict[str, tuple[DataFrame, list[str]]], folder: str) -
     for name, (df, columns) in tables.items():
         write_table(df.select(*columns), f"{folder}/{name}")
     return manifest(next(iter(tables.values()))[0].sparkSession, folder).filter("path LIKE '%.parquet'")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the session's ``spark.checkpoint.dir``, which driver and executors share; a local session without
+    the setting gets a temporary one. It goes when the driver's JVM ends."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="stakewise-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

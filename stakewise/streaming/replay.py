@@ -1,4 +1,4 @@
-"""The inventory replay as a stream: one state per key, updated as rows arrive, equal to the batch fold."""
+"""Replays as streams: one state per key, updated as rows arrive, equal to the batch folds."""
 
 from __future__ import annotations
 
@@ -38,3 +38,32 @@ def stream_inventory(rows: DataFrame, keys: list[str], order: list[str], initial
         yield frame.astype({"before": "int32", "after": "int32", "invalid": "bool"})
 
     return rows.groupBy(*keys).applyInPandasWithState(update, schema, STATE, "append", "NoTimeout")
+
+
+MASSES = "m0 double, m1 double, m2 double, inning int"
+
+
+def stream_mass(rows: DataFrame, keys: list[str], order: list[str], initial: int = 2) -> DataFrame:
+    """(keys, order, m0, m1, m2, challenges, captured) of a stream of (keys, order, inning, p1, p2, success, stake): the
+    expected replay of a policy, appended as rows arrive. The order of rows is as for ``stream_inventory``."""
+    out = ("m0", "m1", "m2", "challenges", "captured")
+    schema = T.StructType([*[rows.schema[c] for c in (*keys, *order)], *[T.StructField(c, T.DoubleType()) for c in out]])
+
+    def update(key, frames, state):
+        m0, m1, m2, last = state.get if state.exists else (*[float(k == initial) for k in range(3)], None)
+        rows = pd.concat(list(frames)).sort_values(order)
+        made = []
+        for inning, p1, p2, success, stake in zip(*[rows[c] for c in ("inning", "p1", "p2", "success", "stake")], strict=True):
+            if inning > REGULATION and (last is None or inning > last):
+                m0, m1 = 0.0, m1 + m0
+            c1, c2 = m1 * p1, m2 * p2
+            made.append((m0, m1, m2, c1 + c2, (c1 + c2) * stake if success else 0.0))
+            if not success:
+                m0, m1, m2 = m0 + c1, m1 - c1 + c2, m2 - c2
+            last = int(inning)
+        state.update((float(m0), float(m1), float(m2), last))
+        frame = rows[[*keys, *order]].reset_index(drop=True)
+        frame[list(out)] = made
+        yield frame
+
+    return rows.groupBy(*keys).applyInPandasWithState(update, schema, MASSES, "append", "NoTimeout")
