@@ -55,10 +55,10 @@ def own_columns(docs: DataFrame, replaced: dict[str, Column] | None = None) -> l
 
 
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` hinted for broadcast if its counted rows are within the bound, otherwise unchanged."""
+    """``df`` hinted for broadcast if its counted rows are within the bound, otherwise for a join by shuffle and sort."""
     if rows is None:
         rows = df.count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ removed from their documents. Lines shorter than ``MIN_CHARS`` are left alone, o
 their exact copies if they have a word: one grouping, without segments.
 
 A null text has no lines and stays null; an empty one has one empty line. Rows that agree in id and text are one
-document to this operator and get the same result. Only DataFrame functions are used.
+document to this operator and get the same result. Ids may be of any ordered type; null comes first. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool
     ``short_copies``, shorter lines than ``min_chars`` with a word form classes of exact copies.
     """
     r1, r2 = fingerprint(F.col(id_col), F.col(text_col))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), r1.alias("r1"), r2.alias("r2"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), r1.alias("r1"), r2.alias("r2"))
     fp1, fp2 = fingerprint(F.col("line"))
     wanted, keys = is_long(min_chars), line_keys(F.col("line"), F.col("n"))
     if short_copies:
@@ -240,6 +240,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool
     parts = F.array(F.struct(F.split(text, "\n").alias("lines"), ends.alias("ends")))
     runs = F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.size(p["ends"]) - 2), lambda k: F.slice(p["lines"], p["ends"][k] + 2, p["ends"][k + 1] - p["ends"][k] - 1)))
     kept = F.when(F.size("__gone") > 0, F.array_join(F.flatten(runs[0]), "\n")).otherwise(text)
-    removed = F.coalesce("__gone", F.array().cast("array<struct<line: int, home_doc: long, home_line: int>>"))
+    removed = F.coalesce("__gone", F.array().cast(f"array<struct<line: int, home_doc: {named.schema['doc_id'].dataType.simpleString()}, home_line: int>>"))
     found = F.struct(F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__degree", F.lit(0).cast("long")).alias("n_links"), removed.alias("removed"))
     return joined.select(*own_columns(docs, {text_col: kept}), found.alias(out))

@@ -2,8 +2,8 @@
 
 Each task tokenizes its documents, cuts only those longer than a sequence, and packs its pieces best-fit,
 largest first. Bins that are nearly full are final. The underfull ones become items themselves: groups of
-bounded size are packed again, round after round, until one group is left. What is shuffled is a few numbers
-a bin, never tokens.
+bounded size are packed again, round after round, until one group is left or a round saves less than a hundredth of
+the bins. What is shuffled is a few numbers a bin, never tokens.
 
 A null text counts as empty, and an empty text is its end token alone. Equal lengths are taken in the order
 of the input, so a packing is repeatable. Ids may be of any type, null or repeated: each row is packed for itself.

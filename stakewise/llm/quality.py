@@ -7,8 +7,8 @@ tail behind the last of them, each with the band of its own length: a long docum
 the first test and fails the others. Chunks and tail count by their bytes. Hexadecimal noise compresses as prose
 does, so no ratio tells it apart; a piece with a large share of hexadecimal words is out as well.
 
-Empty or null texts have zero counts and fail the base rule. Every other column of the input is untouched:
-the result is one struct column.
+Empty or null texts have zero counts and fail the base rule. Rows are judged one by one, so ids don't matter: null,
+repeated or of any type. Every other column of the input is untouched: the result is one struct column.
 """
 
 from __future__ import annotations

@@ -176,18 +176,19 @@ def chain_entries(scan: DataFrame) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ranges = scan.filter("at = -1").select("file", "block", "size")
     ranges = stored(ranges.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))), "ranges")
-    based = scan.filter("at >= 0").join(ranges.select("file", "block", "base"), ["file", "block"])
+    n = ranges.count()
+    based = scan.filter("at >= 0").join(small_or_shuffled(ranges.select("file", "block", "base"), n), ["file", "block"])
     jumps = stored(based.select("file", "block", *[(F.col(x) + F.col("base")).alias(y) for x, y in (("at", "at"), ("succ", "to"), ("last", "last"))]), "jumps")
     reached = jumps.filter("at = 0").select("file", "at")
     starts = jumps.select("file", F.col("at").alias("to"))
-    links = stored(jumps.select("file", "at", "to").join(starts, ["file", "to"], "left_semi").select("file", "at", "to"), "links")
+    links = stored(jumps.select("file", "at", "to").join(small_or_shuffled(starts), ["file", "to"], "left_semi").select("file", "at", "to"), "links")
     while not links.isEmpty():
-        onward = links.join(reached, ["file", "at"]).select("file", F.col("to").alias("at"))
+        onward = links.join(small_or_shuffled(reached), ["file", "at"]).select("file", F.col("to").alias("at"))
         reached = stored(reached.union(onward).distinct(), "reached")
         second = links.select("file", F.col("at").alias("to"), F.col("to").alias("to2"))
-        links = stored(links.join(second, ["file", "to"]).select("file", "at", F.col("to2").alias("to")), "links")
-    entries = jumps.join(reached, ["file", "at"]).select("file", "block", F.col("at").alias("entry"), F.struct("last", "to").alias("open"))
-    joined = ranges.join(entries, ["file", "block"], "left").withColumn("open", F.last("open", ignorenulls=True).over(before))
+        links = stored(links.join(small_or_shuffled(second), ["file", "to"]).select("file", "at", F.col("to2").alias("to")), "links")
+    entries = jumps.join(small_or_shuffled(reached), ["file", "at"]).select("file", "block", F.col("at").alias("entry"), F.struct("last", "to").alias("open"))
+    joined = ranges.join(small_or_shuffled(stored(entries, "entered"), n), ["file", "block"], "left").withColumn("open", F.last("open", ignorenulls=True).over(before))
     reaches = F.col("open.to") > F.col("base")
     return stored(joined.select("file", "block", "base", "entry", F.when(reaches, F.col("open.last")).alias("carry"), F.when(reaches, F.col("open.to")).alias("carry_end")), "entries")
 

@@ -127,3 +127,9 @@ def test_the_query_and_the_pipeline_leave_no_copies_of_short_lines(spark, tmp_pa
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     for out in (QUERIES["op10_lines"](spark, str(tmp_path)), corpus_pipeline.lines(spark, frame, str(tmp_path))):
         assert sum(r.text.startswith("And ornd.") for r in out.collect()) == 1
+
+
+def test_string_ids(spark):
+    frame = spark.createDataFrame([("b", "a line of twenty and more\nother"), ("a", "a line of twenty and more"), (None, "third")], "doc_id string, text string")
+    rows = {r.doc_id: r for r in dedup_lines(frame, short_copies=True).collect()}
+    assert rows["b"].text == "other" and [tuple(x) for x in rows["b"].line_dedup.removed] == [(0, "a", 0)] and rows["a"].text and rows[None].text == "third"

@@ -4,7 +4,9 @@ import base64
 import random
 import re
 
-from stakewise.llm.quality import CHUNK_BYTES, quality_rules
+import zstandard
+
+from stakewise.llm.quality import BANDS, CHUNK_BYTES, CHUNK_SHARE, LEVEL, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,3 +83,41 @@ def test_junk_tails_and_short_noise_are_rejected(spark):
     found = {r.doc_id: r.rules for r in rows}
     assert all(found[i].tail_out and found[i].chunks == 1 for i in range(len(rows) - 3, len(rows)))
     assert found[5].tail_out is False
+
+
+def brute_verdict(text):
+    """(ratio, whole chunks out, tail out, kept) by plain slices, one chunk after another."""
+    data = (text or "").encode()
+    if not data:
+        return None, 0, False, False
+
+    def out(piece):
+        band = [b for b in BANDS if b[0] <= len(piece)][-1]
+        ratio = len(zstandard.ZstdCompressor(level=LEVEL).compress(piece)) / len(piece)
+        hexadecimal = sum(len(w) for w in re.findall(rb"[0-9A-Za-z]+", piece) if re.fullmatch(rb"[0-9A-Fa-f]+", w) and re.search(rb"[0-9]", w) and re.search(rb"[A-Fa-f]", w))
+        digits = sum(48 <= c <= 57 for c in piece)
+        return not band[1] <= ratio <= band[2] or (10 * digits >= len(piece) and hexadecimal >= 0.3 * len(piece))
+
+    pieces = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+    bad = sum(len(p) for p in pieces if out(p))
+    whole = [p for p in pieces if len(p) == CHUNK_BYTES]
+    tail_out = len(pieces[-1]) < CHUNK_BYTES and out(pieces[-1])
+    kept = not brute(text)[-1] and not out(data) and bad <= CHUNK_SHARE * len(data)
+    return len(zstandard.ZstdCompressor(level=LEVEL).compress(data)) / len(data), sum(map(out, whole)), tail_out, kept
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randrange(2, 10))) for _ in range(2000)]
+    made = texts()
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            n, kind = rng.randrange(10, 700), rng.randrange(5)
+            parts.append(" ".join({0: lambda: rng.choice(vocabulary), 1: lambda: rng.choice(vocabulary), 2: lambda: rng.randbytes(3).hex(), 3: lambda: base64.b64encode(rng.randbytes(6)).decode(), 4: lambda: "spam"}[kind]() for _ in range(n)))
+        made.append("\n".join(parts))
+    docs = dict(enumerate(made))
+    rows = quality_rules(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.rules.ratio, r.rules.chunks_out, bool(r.rules.tail_out), r.rules.kept) for r in rows}
+    assert got == {d: brute_verdict(t) for d, t in docs.items()}
+    assert 5 < sum(x[-1] for x in got.values()) < len(docs) - 5
