@@ -86,7 +86,7 @@ def role_prior_rows(rows: DataFrame) -> DataFrame:
 
 def role_margin(role: Column, margin: Column) -> Column:
     """A margin as the role sees it: beyond zero the call was wrong for it."""
-    return F.when(role == "defense", -margin).otherwise(margin)
+    return F.when(role == "defense", F.lit(0.0) - margin).otherwise(margin)
 
 
 def decision_units(rows: DataFrame) -> DataFrame:

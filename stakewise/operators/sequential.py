@@ -114,7 +114,7 @@ def mass_replay(rows: DataFrame, keys: list[str], order: list[str], initial: int
         c1, c2 = m1 * row["p1"], m2 * row["p2"]
         fails = (~row["success"]).cast("double")
         a0, a1, a2 = m0 + c1 * fails, m1 - c1 * fails + c2 * fails, m2 - c2 * fails
-        total = a0 + a1 + a2
+        total = m0 + m1 + m2
         after = [F.greatest(F.lit(0.0), a) / total for a in (a0, a1, a2)]
         won = (c1 + c2) * row["success"].cast("double")
         out = F.struct(

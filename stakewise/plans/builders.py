@@ -102,13 +102,13 @@ def margin_prior_rows(spark, sf):
     return rounded(builders.margin_prior_rows(model_rows(timeline(spark, sf))))
 
 
-@query("b11_role_prior_rows", f"WITH {T} SELECT event_id, role, margin AS physical_margin, CASE WHEN role = 'defense' THEN -margin ELSE margin END AS role_margin, concat_ws('__', {_COUNT}, CASE event_id % 4 WHEN 0 THEN 'fastball' WHEN 1 THEN 'breaking' WHEN 2 THEN 'offspeed' ELSE 'other' END) AS context FROM t WHERE event_id % 9 > 0 AND event_id % 11 > 0".replace("SELECT event_id, role", "SELECT game AS game_pk, pitch_order, role"))
+@query("b11_role_prior_rows", f"WITH {T} SELECT event_id, role, margin AS physical_margin, CASE WHEN role = 'defense' THEN 0 - margin ELSE margin END AS role_margin, concat_ws('__', {_COUNT}, CASE event_id % 4 WHEN 0 THEN 'fastball' WHEN 1 THEN 'breaking' WHEN 2 THEN 'offspeed' ELSE 'other' END) AS context FROM t WHERE event_id % 9 > 0 AND event_id % 11 > 0".replace("SELECT event_id, role", "SELECT game AS game_pk, pitch_order, role"))
 def role_prior_rows(spark, sf):
     """Prior rows of both roles, margins signed for each, by count and pitch family."""
     return rounded(builders.role_prior_rows(model_rows(timeline(spark, sf))))
 
 
-@query("b15_decision_units", f"WITH {T} SELECT event_id, CASE WHEN role = 'offense' THEN user_id ELSE team END::VARCHAR AS decision_unit_id, CASE WHEN role = 'offense' THEN team ELSE user_id % 7 END::VARCHAR AS team_context_id, CASE WHEN role = 'defense' THEN -margin ELSE margin END AS role_margin_inches FROM t")
+@query("b15_decision_units", f"WITH {T} SELECT event_id, CASE WHEN role = 'offense' THEN user_id ELSE team END::VARCHAR AS decision_unit_id, CASE WHEN role = 'offense' THEN team ELSE user_id % 7 END::VARCHAR AS team_context_id, CASE WHEN role = 'defense' THEN 0 - margin ELSE margin END AS role_margin_inches FROM t")
 def decision_units(spark, sf):
     """Both roles' width rows under the same names."""
     t = timeline(spark, sf).select("event_id", "role", F.col("user_id").alias("batter_id"), F.col("team").alias("defensive_team_id"), F.col("team").alias("bat_team_id"), (F.col("user_id") % 7).alias("opponent_team_id"), F.col("margin").alias("margin_inches"))

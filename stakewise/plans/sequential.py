@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stakewise.operators import decision, governance, ledger, resample, sequential, stats, tables, transitions
-from stakewise.plans.base import KEYS, ORDER, T, query, rounded, table, timeline
+from stakewise.plans.base import KEYS, ORDER, T, nearest, query, rounded, table, timeline
 
 PLATE = """plate AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS balls, cast(l_quantity AS BIGINT) % 3 AS strikes, l_suppkey % 3 AS outs, l_partkey % 2 AS b1, (l_partkey // 2) % 2 AS b2, (l_partkey // 4) % 2 AS b3, (l_orderkey % 5 = 0)::INT AS ro, l_returnflag = 'R' AS ball, l_extendedprice / 1e5 AS runs, l_linestatus = 'O' AS batting FROM lineitem)"""
 BRANCH = """SELECT *, ball AND balls >= 3 AS walk, NOT ball AND strikes >= 2 AS so, outs + ro AS o0 FROM {0}"""
@@ -93,7 +93,7 @@ def inventory_replay(spark, sf):
 def expected_mass_replay(spark, sf):
     """Q4, Q5: probability mass over inventories, with what is expected to happen."""
     rows = timeline(spark, sf).select(*KEYS, *ORDER, "inning", (F.col("p") * 0.5).alias("p1"), F.col("p").alias("p2"), "success", "stake")
-    out = sequential.mass_replay(rows, KEYS, ORDER).select(*KEYS, *ORDER, *[F.round(f"state.{m}", 8).alias(m) for m in ("m0", "m1", "m2", "challenges")], F.round("state.captured", 6).alias("captured"))
+    out = sequential.mass_replay(rows, KEYS, ORDER).select(*KEYS, *ORDER, *[nearest(F.col(f"state.{m}"), 8).alias(m) for m in ("m0", "m1", "m2", "challenges")], nearest(F.col("state.captured"), 6).alias("captured"))
     return out.withColumn("pitch_order", F.col("pitch_order").cast("long"))
 
 

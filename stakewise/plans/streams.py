@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stakewise.plans import sequential  # noqa: F401  registers the folds whose SQL holds here too
-from stakewise.plans.base import KEYS, ORDER, SQL, query, rounded, timeline
+from stakewise.plans.base import KEYS, ORDER, SQL, nearest, query, rounded, timeline
 from stakewise.sources.readers import scratch
 from stakewise.streaming.replay import stream_inventory, stream_mass
 
@@ -32,4 +32,4 @@ def mass_stream(spark, sf):
     """ST2: the expected replay with its state kept between runs of a stream."""
     rows = timeline(spark, sf).select(*KEYS, *ORDER, "inning", (F.col("p") * 0.5).alias("p1"), F.col("p").alias("p2"), "success", "stake")
     out = streamed(spark, rows, stream_mass)
-    return out.select(*KEYS, F.col("pitch_order").cast("long").alias("pitch_order"), *[F.round(c, 8).alias(c) for c in ("m0", "m1", "m2", "challenges")], F.round("captured", 6).alias("captured"))
+    return out.select(*KEYS, F.col("pitch_order").cast("long").alias("pitch_order"), *[nearest(F.col(c), 8).alias(c) for c in ("m0", "m1", "m2", "challenges")], nearest(F.col("captured"), 6).alias("captured"))

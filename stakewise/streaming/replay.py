@@ -58,8 +58,10 @@ def stream_mass(rows: DataFrame, keys: list[str], order: list[str], initial: int
                 m0, m1 = 0.0, m1 + m0
             c1, c2 = m1 * p1, m2 * p2
             made.append((m0, m1, m2, c1 + c2, (c1 + c2) * stake if success else 0.0))
+            total = m0 + m1 + m2
             if not success:
                 m0, m1, m2 = m0 + c1, m1 - c1 + c2, m2 - c2
+            m0, m1, m2 = (max(0.0, m) / total for m in (m0, m1, m2))
             last = int(inning)
         state.update((float(m0), float(m1), float(m2), last))
         frame = rows[[*keys, *order]].reset_index(drop=True)

@@ -56,3 +56,15 @@ def test_inventory_equals_a_plain_loop(rows, monkeypatch):
         k -= r.outcome == "upheld" and not bad
         assert got[r.g, r.i] == [before, k, bad]
         last = r.inning
+
+
+def test_mass_stream_equals_batch(spark, rows):
+    from stakewise.plans.streams import streamed
+    from stakewise.streaming.replay import stream_mass
+
+    part = rows.select("g", "i", "inning", "p1", "p2", "success", "stake")
+    named = part.withColumnsRenamed({"g": "game", "i": "pitch_order"}).withColumn("team", F.lit(0).cast("long"))
+    got = {(r.game, r.pitch_order): [r.m0, r.m1, r.m2, r.challenges, r.captured] for r in streamed(spark, named, stream_mass).collect()}
+    want = {(r.g, r.i): [r.state.m0, r.state.m1, r.state.m2, r.state.challenges, r.state.captured] for r in sequential.mass_replay(part, KEYS, ORDER).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
