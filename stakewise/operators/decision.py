@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stakewise.functions.kernels import payoff
 from stakewise.functions.scalar import OUTS_PER_INNING, REGULATION_INNINGS, softplus
+from stakewise.operators.governance import fetched
 
 LAST = REGULATION_INNINGS * OUTS_PER_INNING
 STEPS = ["stage", "role", "next_stage", "next_role", "delta", "terminal", "extra_grant"]
@@ -23,15 +24,10 @@ STEPS = ["stage", "role", "next_stage", "next_role", "delta", "terminal", "extra
 MOST_ROWS = 1_000_000
 
 
-def compressed_transitions(rows: DataFrame, by: list[str] | None = None) -> pd.DataFrame:
+def compressed_transitions(rows: DataFrame, by: tuple[str, ...] = ("p_hat", "stake")) -> pd.DataFrame:
     """Distinct transitions (by ``STEPS`` and ``by``) with their weight, counted before they are fetched."""
-    counts = rows.groupBy(*STEPS, *(by or [])).agg(F.count("*").alias("weight")).cache()
-    try:
-        if (n := counts.count()) > MOST_ROWS:
-            raise ValueError(f"{n} distinct transitions are more than {MOST_ROWS}")
-        return counts.toPandas()
-    finally:
-        counts.unpersist()
+    counts = rows.groupBy(*STEPS, *by).agg(F.count("*").alias("weight"))
+    return fetched(counts, MOST_ROWS, "distinct transitions")
 
 
 class Chain:
@@ -154,7 +150,7 @@ class PolicyValues(Chain):
     """
 
     def __init__(self, rows: DataFrame, evaluate=None, prior: float = 30.0, tolerance: float = 1e-10, most: int = 100):
-        super().__init__(compressed_transitions(rows), prior)
+        super().__init__(compressed_transitions(rows, ()), prior)
         evaluate = evaluate or by_known_chance
         size, n = len(self.states), self.states["n"].to_numpy()
         family: dict[tuple, list[int]] = {}

@@ -33,6 +33,17 @@ def require_none(bad: DataFrame, rule: str) -> None:
         raise CheckFailed(f"{rule}: {example[0].asDict()}")
 
 
+def fetched(df: DataFrame, most: int, label: str):
+    """``df`` as a pandas frame, counted first: more than ``most`` rows raise instead of filling the driver."""
+    held = df.cache()
+    try:
+        if (n := held.count()) > most:
+            raise CheckFailed(f"{n} {label} are more than {most}")
+        return held.toPandas()
+    finally:
+        held.unpersist()
+
+
 def require_unique(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     require_none(df.groupBy(*keys).count().filter("count > 1"), f"{label} repeats a key")
     return df

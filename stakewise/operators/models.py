@@ -146,15 +146,19 @@ def threshold_bias(rows: DataFrame, outcome: str, margin: str, threshold: str, w
 
 def choice_probability(rows: DataFrame, draws: DataFrame, margin: str, player: str) -> DataFrame:
     """Mean over posterior draws (player, draw, threshold, log_sigma) of Phi((margin - threshold) / sigma); players
-    without draws take the population's, kept under a null player."""
-    population = draws.filter(F.col(player).isNull()).select("draw", F.col("threshold").alias("__t"), F.col("log_sigma").alias("__s"))
-    known = draws.filter(F.col(player).isNotNull())
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    has = keyed.join(known.select(player).distinct().withColumn("__known", F.lit(True)), player, "left")
-    one = has.filter("__known").join(known, player).select("__row", margin, "threshold", "log_sigma")
-    two = has.filter("__known IS NULL").crossJoin(F.broadcast(population)).select("__row", margin, F.col("__t").alias("threshold"), F.col("__s").alias("log_sigma"))
-    p = one.union(two).groupBy("__row").agg(F.avg(normal_cdf((F.col(margin) - F.col("threshold")) / F.exp("log_sigma"))).alias("probability"))
-    return keyed.join(p, "__row").drop("__row")
+    without draws take the population's, kept under a null player.
+
+    A player's draws travel as one array, some hundred pairs, so rows are never multiplied by draws.
+    """
+    arrays = draws.groupBy(player).agg(F.collect_list(F.struct("threshold", "log_sigma")).alias("__draws"))
+    population = arrays.filter(F.col(player).isNull()).select(F.col("__draws").alias("__all"))
+    joined = rows.join(arrays.filter(F.col(player).isNotNull()), player, "left").crossJoin(F.broadcast(population))
+
+    def add(total: Column, d: Column) -> Column:
+        return total + normal_cdf((F.col(margin) - d["threshold"]) / F.exp(d["log_sigma"]))
+
+    held = F.coalesce("__draws", "__all")
+    return joined.withColumn("probability", F.aggregate(held, F.lit(0.0), add) / F.size(held)).drop("__draws", "__all")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -165,25 +169,61 @@ def exact_normal_cdf(x: pd.Series) -> pd.Series:
     return pd.Series([0.5 * erfc(-v / 2**0.5) if v == v else None for v in x.to_numpy(float)], dtype="float64")
 
 
-def mixture(values: np.ndarray, k: int, rounds: int = 500, floor: float = 0.05, ridge: float = 1e-3, tolerance: float = 1e-9) -> dict[str, np.ndarray]:
-    """Gaussian mixture by deterministic expectation-maximisation: starts on a grid of quantiles, ends sorted by mean."""
-    mean = np.quantile(values, (np.arange(k) + 0.5) / k)
-    sd, weight = np.full(k, max(values.std() / k, floor)), np.full(k, 1 / k)
-    last = -np.inf
+def mixture(values: np.ndarray, k: int, rounds: int = 500, floor: float = 0.05, ridge: float = 1e-3, tolerance: float = 1e-9, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gaussian mixture by deterministic expectation-maximisation: starts on a grid of quantiles, ends sorted by mean.
+
+    With ``counts``, each value stands for so many rows: Spark counts rows by fine bins, and only the bins come here.
+    """
+    order = np.argsort(values)
+    values, counts = values[order], (np.ones(len(values)) if counts is None else counts.astype(float)[order])
+    below = (np.cumsum(counts) - counts / 2) / counts.sum()
+    mean = np.quantile(values, (np.arange(k) + 0.5) / k) if (counts == 1).all() else np.interp((np.arange(k) + 0.5) / k, below, values)
+    centre = np.average(values, weights=counts)
+    sd, weight = np.full(k, max(np.sqrt(np.average((values - centre) ** 2, weights=counts)) / k, floor)), np.full(k, 1 / k)
+    last, converged = -np.inf, False
     for _ in range(rounds):
         log = -(((values[:, None] - mean) / sd) ** 2) / 2 - np.log(sd) + np.log(weight) - 0.9189385332046727
         top = log.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(log - top).sum(1))
-        share = np.exp(log - total[:, None])
+        share = np.exp(log - total[:, None]) * counts[:, None]
         n = share.sum(0) + ridge
         weight, mean = n / n.sum(), (share * values[:, None]).sum(0) / n
         sd = np.maximum(np.sqrt((share * (values[:, None] - mean) ** 2).sum(0) / n), floor)
-        value = total.sum()
-        if abs(value - last) <= tolerance * (1 + abs(value)):
+        value = (total * counts).sum()
+        if converged := abs(value - last) <= tolerance * (1 + abs(value)):
             break
         last = value
     order = np.argsort(mean)
-    return {"weight": weight[order], "mean": mean[order], "sd": sd[order], "log_likelihood": np.array(value)}
+    return {"weight": weight[order], "mean": mean[order], "sd": sd[order], "log_likelihood": np.array(value), "converged": np.array(converged)}
+
+
+def mixture_log_density(values: np.ndarray, parts: dict[str, np.ndarray]) -> np.ndarray:
+    log = -(((values[:, None] - parts["mean"]) / parts["sd"]) ** 2) / 2 - np.log(parts["sd"]) + np.log(parts["weight"]) - 0.9189385332046727
+    top = log.max(1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(log - top).sum(1))
+
+
+def nested_mixtures(rows: DataFrame, group: str, fold: str, value: str, most: int, width: float = 0.1) -> DataFrame:
+    """Held-out log loss of mixtures of 1 to ``most`` components by group: (k, group, n, loss, converged).
+
+    Rows are counted once by fold, group and bins of ``width``; each fold's mixture is fitted to the other folds' bins.
+    What comes to the driver are the bins of each fold, whose number is measured first.
+    """
+    from stakewise.operators.governance import fetched
+
+    cells = rows.groupBy(fold, group, F.round(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n")).cache()
+    bins = fetched(cells.groupBy(fold, "bin").agg(F.sum("n").alias("n")), 1_000_000, "bins of folds")
+    out = []
+    for f in sorted(bins[fold].unique()):
+        train = bins[bins[fold] != f].groupby("bin")["n"].sum()
+        at = np.sort(bins["bin"].unique())
+        for k in range(1, most + 1):
+            parts = mixture(train.index.to_numpy() * width, k, counts=train.to_numpy())
+            loss = -mixture_log_density(at * width, parts)
+            out += [(int(f), int(b), k, float(x), bool(parts["converged"])) for b, x in zip(at, loss, strict=True)]
+    table = rows.sparkSession.createDataFrame(out, f"{fold} int, bin long, k int, loss double, converged boolean")
+    scored = cells.join(F.broadcast(table), [fold, "bin"])
+    return scored.groupBy("k", group).agg(F.sum("n").alias("n"), (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), F.bool_and("converged").alias("converged"))
 
 
 def mixture_posterior(signal: Column, parts: dict[str, np.ndarray], sigma: float) -> Column:

@@ -22,7 +22,7 @@ def binned_prior(rows: DataFrame, context: str, margin: str, width: float, stren
     bins = cells.groupBy("bin").agg(F.sum("n").alias("n_bin"))
     contexts = cells.groupBy(context).agg(F.sum("n").alias("n_context"))
     total = bins.agg(F.sum("n_bin").alias("total"))
-    grid = contexts.crossJoin(F.broadcast(bins)).crossJoin(F.broadcast(total)).join(cells, [context, "bin"], "left")
+    grid = contexts.crossJoin(bins).crossJoin(F.broadcast(total)).join(cells, [context, "bin"], "left")
     share = F.col("n_bin") / F.col("total")
     return grid.select(context, "bin", ((F.coalesce("n", F.lit(0)) + strength * share) / (F.col("n_context") + strength)).alias("weight"))
 

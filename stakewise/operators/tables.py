@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def full_grid(domains: list[DataFrame]) -> DataFrame:
-    """Every combination of the domains' rows. Domains are small and given (states, scenarios), so each is broadcast."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), domains)
+    """Every combination of the domains' rows. Spark broadcasts a domain if it is small."""
+    return reduce(DataFrame.crossJoin, domains)
 
 
 def shrunken_cells(rows: DataFrame, grid: DataFrame, parent: list[str], child: list[str], value: str, strength: float = 20.0, weight: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stakewise.operators import decision, models, policy, prior, resample, selection, sequential
+from stakewise.operators import decision, governance, models, policy, prior, resample, selection, sequential
 from stakewise.operators.ledger import CLOCK
 from stakewise.plans.base import KEYS, ORDER, T, query, rounded, table, timeline
 from stakewise.plans.builders import _PHI, _RUN
@@ -91,8 +91,8 @@ def signal_lookup(spark, sf):
 
 
 def lookups(t, contexts: list[int]) -> dict:
-    """One lookup per inning and for the league, from a prior of a few hundred rows."""
-    table = margin_prior(t).toPandas()
+    """One lookup per inning and for the league, from a prior whose rows are counted before they are fetched."""
+    table = governance.fetched(margin_prior(t), 100_000, "rows of a prior")
     out = {str(c): prior.signal_lookup(*table[table["inning"] == c].sort_values("bin")[["bin", "weight"]].to_numpy().T, 0.5, 1.2) for c in contexts}
     league = table.groupby("bin")["weight"].mean().reset_index()
     return out | {"league": prior.signal_lookup(*league.to_numpy().T, 0.5, 1.2)}
@@ -158,6 +158,19 @@ def propensity(spark, sf):
     return out.select("event_id", "fold", F.round("prediction", 4).alias("prediction"))
 
 
+@query("c2_nested_components")
+def nested_components(spark, sf):
+    """Components of a margin mixture by held-out loss over whole-game folds, the fewest within one clustered
+    error of the best, of those whose fits all converged. No SQL: an iterative fit."""
+    t = resample.dense_folds(timeline(spark, sf), "game", 3)
+    scored = models.nested_mixtures(t, "game", "fold", "margin", 4).cache()
+    usable = scored.groupBy("k").agg(F.bool_and("converged").alias("all")).filter("all").select("k")
+    rows = scored.join(F.broadcast(usable), "k")
+    best = policy.smallest_within_one_error(rows, "k", "loss", "game")
+    means = rows.groupBy("k").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
+    return rounded(means.crossJoin(F.broadcast(best)).select("k", "loss", "best", "selected"), 5)
+
+
 @query("g5_count_rate")
 def count_rate(spark, sf):
     """A Poisson rate in context; a proxy for the over-dispersed fit with random effects."""

@@ -129,10 +129,29 @@ def test_too_many_distinct_transitions_do_not_come_to_the_driver(spark, monkeypa
     monkeypatch.setattr(decision, "MOST_ROWS", 3)
     df = spark.range(9).selectExpr("cast(id AS int) AS stage", "'offense' AS role", "cast(NULL AS int) AS next_stage", "cast(NULL AS string) AS next_role", "0 AS delta", "true AS terminal", "false AS extra_grant")
     with pytest.raises(ValueError, match="distinct transitions"):
-        decision.compressed_transitions(df)
+        decision.compressed_transitions(df, ())
 
 
 def test_search_ends_below_its_tolerance(spark):
     rows = [(g, "t", i, i, 0.9 if i == 3 else 0.3, 1.0, i == 3, "x") for g in ("a", "b") for i in range(1, 4)]
     t = spark.createDataFrame(rows, "game string, team string, pitch_order int, inning int, p double, stake double, success boolean, scenario string")
     assert policy.search(t, ["game", "team"], "scenario", start=(0.0, 0.0), radius=0.5, tolerance=0.2)["worst"] == pytest.approx(2.0)
+
+
+def test_mixture_on_counts_equals_mixture_on_rows(spark):
+    rng = np.random.default_rng(8)
+    values = np.round(np.concatenate([rng.normal(-1, 0.4, 900), rng.normal(2, 0.6, 600)]), 1)
+    bins, counts = np.unique(values, return_counts=True)
+    one, two = models.mixture(values, 2), models.mixture(bins, 2, counts=counts)
+    for name in ("mean", "sd", "weight"):
+        assert two[name] == pytest.approx(one[name], abs=5e-3)
+    frame = spark.createDataFrame([(float(v), f"g{i % 12}", i % 12 % 3 + 1) for i, v in enumerate(values)], "margin double, game string, fold int")
+    scored = models.nested_mixtures(frame, "game", "fold", "margin", 3)
+    assert policy.smallest_within_one_error(scored, "k", "loss", "game").first().selected == 2
+
+
+def test_choice_probability_averages_over_draws(spark):
+    draws = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 1.0, 0.0), (None, 1, 0.5, 0.0)], "player string, draw int, threshold double, log_sigma double")
+    rows = spark.createDataFrame([("a", 1.0), ("z", 0.5)], "player string, margin double")
+    got = {r.player: r.probability for r in models.choice_probability(rows, draws, "margin", "player").collect()}
+    assert got["a"] == pytest.approx((K.phi(1.0) + 0.5) / 2, abs=1e-6) and got["z"] == pytest.approx(0.5, abs=1e-6)
