@@ -6,9 +6,10 @@ are cut into about as many classes as a class has units. The model is log-biline
 
     P(unit | context) = P(class | context) * P(unit | class, context)
 
-The context's vector is the sum of the vectors of the units before, each weighted by its distance; there are more of
-them the larger the corpus is. A class or unit scores the product of its vector with the context's, plus a bias. Inside a shared
-unit a word has its add-one share, so every word has a probability and all of them sum to one.
+The context's vector is the sum of the vectors of the units before, each weighted by its distance; from 100 million tokens
+on there is one more of them for ten times the tokens. A class or unit scores the product of its vector with the
+context's, plus a bias. Inside a shared unit a word has its add-one share, so every word has a probability and all of
+them sum to one.
 
 1. One pass counts words over all training texts. The table grows with the corpus and stays distributed.
 2. ``ROUNDS`` passes, each over another part of the training texts, train the model: every task goes through its texts
@@ -58,7 +59,7 @@ def own_words(tokens: int) -> int:
 
 def context_length(tokens: int) -> int:
     """Units before that the model sees: one more for ten times the tokens."""
-    return max(2, int(math.log10(max(tokens, 1))) - 4)
+    return max(2, int(math.log10(max(tokens, 1))) - 5)
 
 
 def suffix(word: bytes) -> int:
@@ -113,10 +114,10 @@ class Vocabulary:
         return at, units
 
 
-def run_sums(ordered: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+def run_sums(ordered: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array, and the sums of each one's rows."""
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return [ordered[starts], *[np.add.reduceat(r, starts, axis=0) for r in rows]]
+    return ordered[starts], np.add.reduceat(rows, starts, axis=0)
 
 
 def segments(values: np.ndarray) -> list[tuple[int, int, int]]:
@@ -126,37 +127,35 @@ def segments(values: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 class Model:
-    """Vectors and biases; ``unit`` rows are (context vector, vector, bias), ``kind`` rows (vector, bias) of classes."""
+    """Vectors and biases. Rows of ``unit`` and ``kind`` (the classes) are (vector, bias), so a context's vector with a one
+    behind it gives their scores; ``context`` has the vectors of units as context, ``weight`` those of distances."""
+
+    tables = ("context", "unit", "kind", "weight")
 
     def __init__(self, frequency: np.ndarray, context: int, rank: int = RANK, noise: int = NOISE, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.rank, self.noise, self.context = rank, noise, context
-        self.width = math.isqrt(max(len(frequency) - 1, 0)) + 1
-        kinds = -(-len(frequency) // self.width)
-        mass = np.add.reduceat(frequency, np.arange(0, len(frequency), self.width))
-        self.share_kind = mass / mass.sum()
-        self.share_unit = frequency / np.repeat(mass, self.width)[: len(frequency)]
-        self.log_kind, self.log_unit = np.log(self.share_kind).astype(np.float32), np.log(self.share_unit).astype(np.float32)
-        self.log_noise = np.float32(math.log(noise))
-        self.unit = np.zeros((len(frequency), 2 * rank + 1), np.float32)
-        self.unit[:, :rank] = rng.normal(0, 0.3, (len(frequency), rank))
-        self.unit[:, -1] = self.log_unit
-        self.kind = np.zeros((kinds, rank + 1), np.float32)
-        self.kind[:, -1] = self.log_kind
+        size = len(frequency)
+        self.rank, self.noise = rank, noise
+        self.width = math.isqrt(max(size - 1, 0)) + 1
+        mass = np.add.reduceat(frequency, np.arange(0, size, self.width))
+        self.share = {"kind": mass / mass.sum(), "unit": frequency / np.repeat(mass, self.width)[:size]}
+        logs = {k: np.log(x).astype(np.float32) for k, x in self.share.items()}
+        #: what a score has to exceed for the data to be likelier than ``noise`` draws
+        self.bar = {k: x + np.float32(math.log(noise)) for k, x in logs.items()}
+        self.context = np.random.default_rng(seed).normal(0, 0.3, (size, rank)).astype(np.float32)
+        self.unit, self.kind = (np.concatenate([np.zeros((len(logs[k]), rank), np.float32), logs[k][:, None]], axis=1) for k in ("unit", "kind"))
         self.weight = np.repeat((1 / np.arange(1, context + 1))[:, None], rank, axis=1).astype(np.float32)
-        #: tables by name, and what their rows weigh in a mean: how often a task met them
-        self.tables = ("unit", "kind", "weight")
 
     def rows_of(self, kind: int) -> slice:
         return slice(kind * self.width, min((kind + 1) * self.width, len(self.unit)))
 
     def hidden(self, units: np.ndarray, places: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Context units (nearest first), their vectors, and the context's vector, of ``places`` in ``units``."""
-        before = [units[places - k] for k in range(1, self.context + 1)]
-        vectors = [self.unit[x, : self.rank] for x in before]
-        h = vectors[0] * self.weight[0]
+        """Context units (nearest first), their vectors, and the context's vector and a one, of ``places`` in ``units``."""
+        before = [units[places - k] for k in range(1, len(self.weight) + 1)]
+        vectors = [self.context[x] for x in before]
+        h = np.ones((len(places), self.rank + 1), np.float32)
+        h[:, :-1] = vectors[0] * self.weight[0]
         for v, w in zip(vectors[1:], self.weight[1:], strict=True):
-            h += v * w
+            h[:, :-1] += v * w
         return before, vectors, h
 
     def log_probabilities(self, units: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -164,55 +163,48 @@ class Model:
         out = np.empty(len(places))
         for at in range(0, len(places), SLICE):
             part = places[at : at + SLICE]
-            target = units[part]
-            order = np.argsort(target // self.width, kind="stable")
-            target = target[order]
+            order = np.argsort(units[part])
+            target = units[part[order]]
             kind = target // self.width
-            _, _, h = self.hidden(units, part[order])
-            logs = picked(h @ self.kind[:, :-1].T + self.kind[:, -1], kind)
+            h = self.hidden(units, part[order])[2]
+            logs = picked(h @ self.kind.T, kind)
             for k, a, b in segments(kind):
-                rows = self.unit[self.rows_of(k), self.rank :]
-                logs[a:b] += picked(h[a:b] @ rows[:, :-1].T + rows[:, -1], target[a:b] - k * self.width)
+                logs[a:b] += picked(h[a:b] @ self.unit[self.rows_of(k)].T, target[a:b] - k * self.width)
             out[at + order] = logs
         return out
 
-    def contrast(self, h: np.ndarray, rows: np.ndarray, logs: np.ndarray, share: np.ndarray, target: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Slopes by ``h`` and by ``rows`` (vectors, bias) of the noise-contrastive objective: each target, in order,
-        against ``noise`` draws from the distribution ``share`` (its log in ``logs``), shared by the batch."""
-        drawn = rng.multinomial(self.noise, share)
+    def contrast(self, table: str, chosen: slice, h: np.ndarray, target: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes by ``h`` and by the ``chosen`` rows of a table of the noise-contrastive objective: each target, in order,
+        against ``noise`` draws from the rows' frequencies, shared by the batch."""
+        rows, bar = getattr(self, table)[chosen], self.bar[table][chosen]
+        drawn = rng.multinomial(self.noise, self.share[table][chosen])
         among = np.flatnonzero(drawn)
-        kept = rows[among]
-        noise = sigmoid(h @ kept[:, :-1].T + (kept[:, -1] - logs[among] - self.log_noise))
-        noise *= -drawn[among].astype(np.float32)
-        own = rows[target]
-        data = 1 - sigmoid(np.einsum("bd,bd->b", h, own[:, :-1]) + own[:, -1] - logs[target] - self.log_noise)
+        kept, own = rows[among], rows[target]
+        noise = sigmoid(h @ kept.T - bar[among]) * -drawn[among].astype(np.float32)
+        data = 1 - sigmoid(np.einsum("bd,bd->b", h, own) - bar[target])
         slope = np.zeros_like(rows)
-        slope[among, :-1] = noise.T @ h
-        slope[among, -1] = noise.sum(0)
-        index, vectors, biases = run_sums(target, h * data[:, None], data)
-        slope[index, :-1] += vectors
-        slope[index, -1] += biases
-        by_h = own[:, :-1]
-        by_h *= data[:, None]
-        by_h += noise @ kept[:, :-1]
-        return by_h, slope
+        slope[among] = noise.T @ h
+        index, sums = run_sums(target, h * data[:, None])
+        slope[index] += sums
+        own *= data[:, None]
+        own += noise @ kept
+        return own, slope
 
     def learn(self, units: np.ndarray, places: np.ndarray, steps: dict[str, np.ndarray], rng) -> None:
         """One minibatch: the slopes' steps, divided by the roots of the sums of squares in ``steps``."""
+        places = places[np.argsort(units[places])]
         target = units[places]
-        order = np.argsort(target)
-        target, places = target[order], places[order]
         kind = target // self.width
         before, vectors, h = self.hidden(units, places)
-        by_h, slope = self.contrast(h, self.kind, self.log_kind, self.share_kind, kind, rng)
+        by_h, slope = self.contrast("kind", slice(None), h, kind, rng)
         self.step("kind", steps, slice(None), slope)
         for k, a, b in segments(kind):
             rows = self.rows_of(k)
-            more, slope = self.contrast(h[a:b], self.unit[rows, self.rank :], self.log_unit[rows], self.share_unit[rows], target[a:b] - k * self.width, rng)
+            more, slope = self.contrast("unit", rows, h[a:b], target[a:b] - k * self.width, rng)
             by_h[a:b] += more
-            self.step("unit", steps, rows, slope, slice(self.rank, None))
-        sums = np.zeros((len(self.unit), self.rank), np.float32)
-        by_weight = np.empty_like(self.weight)
+            self.step("unit", steps, rows, slope)
+        by_h = np.ascontiguousarray(by_h[:, :-1])
+        sums, by_weight = np.zeros_like(self.context), np.empty_like(self.weight)
         for k, (units_k, v) in enumerate(zip(before, vectors, strict=True)):
             order = np.argsort(units_k)
             index, found = run_sums(units_k[order], by_h[order])
@@ -220,22 +212,21 @@ class Model:
             by_weight[k] = np.einsum("bd,bd->d", by_h, v) / len(places)
         index = np.flatnonzero(sums.any(1))
         self.step("weight", steps, slice(None), by_weight)
-        self.step("unit", steps, index, sums[index], slice(0, self.rank))
+        self.step("context", steps, index, sums[index])
 
-    def step(self, table: str, steps: dict[str, np.ndarray], rows, slope: np.ndarray, columns: slice = slice(None)) -> None:
-        values, squares = getattr(self, table), steps[table]
-        squares[rows, columns] += slope * slope
-        values[rows, columns] += np.float32(RATE) * slope / np.sqrt(squares[rows, columns])
+    def step(self, table: str, steps: dict[str, np.ndarray], rows, slope: np.ndarray) -> None:
+        squares = steps[table][rows] + slope * slope
+        steps[table][rows] = squares
+        getattr(self, table)[rows] += np.float32(RATE) * slope / np.sqrt(squares)
 
     def fresh_steps(self) -> dict[str, np.ndarray]:
         return {t: np.full(getattr(self, t).shape, 1e-6, np.float32) for t in self.tables}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of ``x``, which is used up; beyond 60 it is as good as 0 or 1."""
-    np.clip(x, -60, 60, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+    """Of ``x``, which is used up."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -309,9 +300,9 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
     #: no task below ``HELD`` tokens, and so few that their sums stay small against the corpus
     tasks = max(1, min(tokens // HELD, max(8, math.isqrt(tokens) // 400)))
     passes = min(PASSES, max(1, -(-SEEN // max(tokens, 1))))
-    size = min(8192, max(256, tokens * passes // (tasks * rounds * 200)))
+    size = min(SLICE, max(256, tokens * passes // (tasks * rounds * 100)))
     #: rows of a block, so that the sums of all tasks for it are a few MB
-    block = max(16, min(4096, 8_000_000 // (tasks * (2 * RANK + 2))))
+    block = max(16, min(4096, 1_000_000 // (tasks * (2 * RANK + 2))))
 
     for turn in range(rounds):
 
@@ -323,7 +314,7 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
             steps, met, paths, held = model.fresh_steps(), np.zeros(len(model.unit)), [], 0
 
             def use():
-                units, places = joined_paths(paths, vocabulary.end, model.context)
+                units, places = joined_paths(paths, vocabulary.end, len(model.weight))
                 met[:] += np.bincount(units[places], minlength=len(met))
                 for _ in range(passes):
                     shuffled = rng.permutation(places)
@@ -342,15 +333,15 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
                 use()
             kinds = np.add.reduceat(met, np.arange(0, len(met), model.width))
             rows = []
-            for name, weights in (("unit", met), ("kind", kinds), ("weight", np.full(model.context, met.sum()))):
+            for name, weights in (("context", met), ("unit", met), ("kind", kinds), ("weight", np.full(len(model.weight), met.sum()))):
                 values = getattr(model, name)
                 for first in range(0, len(values) if met.any() else 0, block):
                     w = weights[first : first + block, None]
-                    rows.append((name, first, np.concatenate([values[first : first + block] * w, w], axis=1).astype(np.float64).tobytes()))
+                    rows.append((name, first, np.concatenate([values[first : first + block] * w, w], axis=1).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["part", "first", "sums"])
 
         def added(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in frame["sums"])
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in frame["sums"])
             return pd.DataFrame({"part": frame["part"].iloc[:1], "first": frame["first"].iloc[:1], "sums": [total.tobytes()]})
 
         part = taught.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(tasks)
@@ -411,7 +402,7 @@ def score_documents(docs: DataFrame, training: Column | None = None, id_col: str
                     rows.append((uid + k, None, None, None, None, None, word, n))
             if not paths:
                 continue
-            units, places = joined_paths(paths, vocabulary.end, model.context)
+            units, places = joined_paths(paths, vocabulary.end, len(model.weight))
             owner = np.repeat(np.arange(len(paths)), [len(path) + 1 for path in paths])
             found = np.bincount(owner, model.log_probabilities(units, places), len(paths)) / math.log(10)
             take = pa.array(owners, pa.int64())

@@ -90,11 +90,11 @@ def test_probabilities_are_normalised_and_equal_plain_loops(spark):
     assert [*units] == [7, 7, 7, *path, 7, 7, 7, 7, 7] and [*places] == [*range(3, 44), 47]
     got = model.log_probabilities(units, places)
     for place, value in zip(places, got, strict=True):
-        h = sum(model.unit[units[place - k], :5].astype(float) * model.weight[k - 1] for k in (1, 2, 3))
+        h = sum(model.context[units[place - k]].astype(float) * model.weight[k - 1] for k in (1, 2, 3))
         kinds = np.exp(model.kind[:, :-1].astype(float) @ h + model.kind[:, -1])
         every = []
         for k in range(len(kinds)):
-            rows = model.unit[model.rows_of(k), 5:].astype(float)
+            rows = model.unit[model.rows_of(k)].astype(float)
             inside = np.exp(rows[:, :-1] @ h + rows[:, -1])
             every += (kinds[k] / kinds.sum() * inside / inside.sum()).tolist()
         assert abs(sum(every) - 1) < 1e-9 and len(every) == 23
@@ -110,7 +110,7 @@ def test_scores_equal_a_plain_sum_over_words(spark):
     model = trained(frame.filter(frame.doc_id.isin(kept)), v, sum(counts.values()))
     for d, r in scored(spark, docs).items():
         own = words(dict(docs)[d])
-        units, places = joined_paths([v.found(own)[1]], v.end, model.context)
+        units, places = joined_paths([v.found(own)[1]], v.end, len(model.weight))
         want = model.log_probabilities(units, places).sum() / math.log(10)
         for w in own:
             u = v.found([w])[1][0]
