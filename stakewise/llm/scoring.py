@@ -49,6 +49,8 @@ RATE = 0.05
 COUNTED = 300_000
 #: Tokens that a task holds for training, and tokens of a product of matrices.
 HELD, SLICE = 200_000, 16_384
+#: Contexts whose scores are normalised at once.
+CACHED = 1024
 #: Tokens that training should see; smaller corpora are gone through as often as that takes, ``PASSES`` times at most.
 SEEN, PASSES = 4_000_000, 10
 
@@ -167,9 +169,9 @@ class Model:
             target = units[part[order]]
             kind = target // self.width
             h = self.hidden(units, part[order])[2]
-            logs = picked(h @ self.kind.T, kind)
+            logs = picked(h, self.kind, kind)
             for k, a, b in segments(kind):
-                logs[a:b] += picked(h[a:b] @ self.unit[self.rows_of(k)].T, target[a:b] - k * self.width)
+                logs[a:b] += picked(h[a:b], self.unit[self.rows_of(k)], target[a:b] - k * self.width)
             out[at + order] = logs
         return out
 
@@ -231,11 +233,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def picked(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the normalised score of each row's target."""
-    scores -= scores.max(1, keepdims=True)
-    own = scores[np.arange(len(target)), target].astype(np.float64)
-    return own - np.log(np.exp(scores).sum(1, dtype=np.float64))
+def picked(h: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the normalised score of each context's target among ``rows``, by blocks that stay in the processor's cache."""
+    out = np.empty(len(h))
+    for at in range(0, len(h), CACHED):
+        scores = h[at : at + CACHED] @ rows.T
+        scores -= scores.max(1, keepdims=True)
+        own = scores[np.arange(len(scores)), target[at : at + CACHED]]
+        np.exp(scores, out=scores)
+        out[at : at + CACHED] = own - np.log(scores.sum(1))
+    return out
 
 
 def joined_paths(paths: list[np.ndarray], end: int, context: int) -> tuple[np.ndarray, np.ndarray]:
