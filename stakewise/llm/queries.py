@@ -141,5 +141,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True).select("doc_id", "text", "line_dedup.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakewise.llm.toxicity import toxicity
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), taught_if=~held_out)
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines, op13_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_minhash": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL}
