@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,9 +51,9 @@ SPELLED = 50_000
 STOPS = ".,;:!?\"'()[]"
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct words of a text, lower-cased and without the stops around them."""
-    return {w.strip(STOPS) or w for w in (text or "").lower().split()}
+def words_of(text: str | None) -> list[str]:
+    """The distinct words of a text in their order, lower-cased and without the stops around them."""
+    return list(dict.fromkeys(w.strip(STOPS) or w for w in (text or "").lower().split()))
 
 
 def taught(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
@@ -114,15 +115,12 @@ def shared_chances(full: DataFrame, order: int = ORDER, discount: float = DISCOU
     A shorter gram counts in how many grams of one letter more it ends. Nothing comes before a word's start, so short
     grams there have their plain counts, which back off like those of whole grams.
     """
-    kinds = {order: full.filter(F.char_length("gram") == order)}
-    for length in range(order - 1, 0, -1):
-        ends = kinds[length + 1].groupBy(behind().alias("gram")).agg(F.count("*").alias("c"))
-        starts = full.filter(F.char_length("gram") == length).select("gram")
-        kinds[length] = stored(ends.join(starts, "gram", "full_outer").select("gram", F.coalesce("c", F.lit(0)).alias("c")), "grams")
-    letters = kinds[1].count()
+    ends = full.select(F.explode(F.expr("transform(sequence(1, char_length(gram)), i -> substring(gram, i))")).alias("gram")).distinct()
+    kinds = stored(ends.filter(F.char_length("gram") > 1).groupBy(behind().alias("gram")).agg(F.count("*").alias("c")), "grams")
+    letters = kinds.filter(F.char_length("gram") == 1).count()
     low = lower = None
     for length in range(1, order):
-        low = stored(smoothed(kinds[length].filter("c > 0"), "c", low, letters, discount), "chances")
+        low = stored(smoothed(kinds.filter(F.char_length("gram") == length), "c", low, letters, discount), "chances")
         lower = low if lower is None else lower.union(low)
     return smoothed(full, "f", lower, letters, discount)
 
@@ -148,7 +146,7 @@ def log_ratios(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT
     full = stored(places.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("f", F.col("n0") + F.col("n1")), "full")
     shared = shared_chances(full.select("gram", "f"), order, discount)
     types = [F.count(F.when(F.col(n) > 0, 1)).alias(f"types{n}") for n in ("n0", "n1")]
-    contexts = stored(full.groupBy(before().alias("context")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), *types), "contexts")
+    contexts = full.groupBy(before().alias("context")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), *types)
 
     def saved(c: str) -> Column:
         return strength + discount * F.col(f"typesn{c}")
@@ -228,14 +226,17 @@ def text_means(rows: DataFrame, model, text: str = "text") -> DataFrame:
             sets = [words_of(t) for t in texts]
             if len(known) > CACHED_WORDS:
                 known.clear()
-            new = list(set().union(*sets).difference(known))
+            new = list({w for words in sets for w in words if w not in known})
             for at in range(0, len(new), SPELLED):
                 known.update(zip(new[at : at + SPELLED], word_ratios(new[at : at + SPELLED], grams, contexts).tolist(), strict=True))
-            out = []
-            for words in sets:
-                r = np.sort(np.fromiter((known[w] for w in words), float, len(words)))
-                out.append([float(r.mean()), *[float(np.maximum(r - t, 0).mean()) for t in PASSED]] if len(r) else [0.0] * (1 + len(PASSED)))
-            yield pd.Series(out)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            values = np.fromiter(map(known.__getitem__, chain.from_iterable(sets)), float, sizes.sum())
+            out, some = np.zeros((len(sets), 1 + len(PASSED))), sizes > 0
+            if some.any():
+                starts = (np.cumsum(sizes) - sizes)[some]
+                for i, part in enumerate([values, *[np.maximum(values - t, 0) for t in PASSED]]):
+                    out[some, i] = np.add.reduceat(part, starts) / sizes[some]
+            yield pd.Series(list(out))
 
     return rows.withColumn("means", means(F.col(text)))
 
@@ -275,7 +276,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     if not (counted[0] and counted[1] and weighted):
         return named.select("id", F.lit(float(rate)).alias("score"))
     sample = rows.filter((F.col("toxic") == 0) & F.col("bucket").isin(counted[0]) | (F.col("toxic") == 1) & F.col("bucket").isin(counted[1]))
-    grams, contexts = log_ratios(stored(word_counts(sample), "words"))
+    grams, contexts = log_ratios(word_counts(sample))
     model = hashed_table(grams), hashed_table(contexts, ORDER - 1)
     held = text_means(rows.filter(F.col("bucket").isin(weighted)), model).select("means", "toxic").toPandas()
     if held["toxic"].nunique() < 2:
