@@ -141,6 +141,29 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True).select("doc_id", "text", "line_dedup.*")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakewise.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # a component that is not a finite number stays one, so that its row takes no part
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x) < float("inf"), F.floor(256 * x.cast("double")).cast("double")))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", label, whole)
+
+
+OP12_SQL = r"""
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.toxicity import toxicity
 
@@ -149,5 +172,5 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines, op13_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_minhash": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines, op12_negatives, op13_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_minhash": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL, "op12_negatives": OP12_SQL}
