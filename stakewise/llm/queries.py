@@ -141,6 +141,31 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True).select("doc_id", "text", "line_dedup.*")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stakewise.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).withColumnRenamed("group", "lang")
+
+
+OP11_SQL = rf"""
+WITH p AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+grams AS (
+    SELECT lang, words[i : i + s - 1] AS phrase, count(*) AS f FROM (SELECT lang, words, s, unnest(range(1, len(words) - s + 2)) AS i FROM p CROSS JOIN range(1, 6) t(s) WHERE len(words) >= s)
+    GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (SELECT *, ' ' || array_to_string(phrase, ' ') || ' ' AS spaced FROM grams WHERE len(phrase) > 1),
+kept AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates b WHERE b.lang = c.lang AND len(b.phrase) > len(c.phrase) AND 100 * b.f >= 100 * c.f AND contains(b.spaced, c.spaced))),
+cuts AS (
+    SELECT c.lang, array_to_string(c.phrase, ' ') AS phrase, c.f AS a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM kept) c JOIN n ON n.lang = c.lang
+    JOIN grams l ON l.lang = c.lang AND l.phrase = c.phrase[1:k] JOIN grams r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:]
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest QUALIFY rank <= 2000
+"""
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakewise.llm.negatives import hard_negatives
 
@@ -172,5 +197,5 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines, op12_negatives, op13_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_minhash": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL, "op12_negatives": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_decontamination, op5_sharding, op6_pseudonyms, op7_packing, op8_scoring, op9_chat, op10_lines, op11_phrases, op12_negatives, op13_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_minhash": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL, "op11_phrases": OP11_SQL, "op12_negatives": OP12_SQL}
