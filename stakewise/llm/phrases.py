@@ -188,7 +188,7 @@ def runs(rows: DataFrame, pairs: Bitmap) -> DataFrame:
 
 def dealt(table: DataFrame, prefix_rows: int) -> DataFrame:
     """``table`` with ``unit``, the hash of the prefix by which rows are dealt: the pair, or as many words more as it takes
-    for a unit to have at most ``prefix_rows`` rows."""
+    for a unit to have at most ``prefix_rows`` rows; ``depth`` is their number."""
     out = table.withColumn("unit", F.xxhash64("w1", "w2")).withColumn("depth", F.lit(2))
     for depth in range(3, LONGEST):
         large = out.groupBy("unit").count().filter(F.col("count") > prefix_rows).select("unit", F.lit(True).alias("large"))
@@ -230,8 +230,13 @@ def longer_phrases(table: DataFrame, least: int, prefix_rows: int = PREFIX_ROWS)
             if len(part):
                 yield _grown_units(part, least)
 
-    rows = dealt(table, prefix_rows).repartition(F.col("unit")).sortWithinPartitions("unit", *RUN)
-    return rows.mapInArrow(grow, "words array<long>, a long")
+    rows = dealt(table, prefix_rows)
+    found = rows.repartition(F.col("unit")).sortWithinPartitions("unit", *RUN).mapInArrow(grow, "words array<long>, a long")
+    for depth in range(4, LONGEST):
+        # no task sees all of a prefix whose rows were dealt by the word behind it
+        shared = rows.filter(F.col("depth") >= depth).groupBy(*RUN[: depth - 1]).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        found = found.union(shared.select(F.array(*RUN[: depth - 1]).alias("words"), "a"))
+    return found
 
 
 def _grown_units(part: pa.Table, least: int) -> pa.RecordBatch:
