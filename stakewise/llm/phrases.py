@@ -5,10 +5,11 @@ A text is cut into pieces at stops and line ends and pieces into words. For each
 pair are its projected table, rows of pointers to the words behind it; a task takes one prefix after the other, and grows
 each to the right, depth first, by narrowing its range of sorted rows.
 
-Three passes over the texts, each handing on sums only. The first counts words; the second counts pairs of frequent words;
-the third gives for each place at which frequent pairs follow one another the run of up to ``LONGEST`` words, and adds
-equal runs up. Frequent words and pairs reach the tasks as a bitmap of at most ``MOST_BITS`` bits; where it errs it lets an
-infrequent one pass, whose count decides later. A prefix with more than ``PREFIX_ROWS`` different runs is dealt by its
+Three passes over the texts, each handing on sums only. The first counts words; the second counts pairs of frequent words
+by 32 bits of their hash, which leaves most infrequent pairs out; the third counts the pairs left, and gives where such
+pairs follow one another the run of up to ``LONGEST`` words, adding equal runs up. Frequent words and pairs reach the tasks
+as a bitmap of at most ``MOST_BITS`` bits; where it or the 32 bits err, they let an infrequent pair pass, whose own count
+decides later. A prefix with more than ``PREFIX_ROWS`` different runs is dealt by its
 third word, then by its fourth, so a task's rows are bounded, and a full run is one row.
 
 Words go by 64-bit hashes of group and word; the chance that any two of 10 million frequent words share one is 3 in a
@@ -140,8 +141,13 @@ def summed(keys: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([*(pa.array(c[at].view(np.int64)) for c in columns), pa.array(n.astype(np.int64))], names=[*names, "n"])
 
 
-def pair_counts(rows: DataFrame, words: Bitmap) -> DataFrame:
-    """(w1, w2, p, n): pairs of words that may be frequent; p is their hash."""
+def pair_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of words by 32 bits of their hash: enough to leave most infrequent ones out."""
+    return pair_hash(a, b) >> np.uint64(32)
+
+
+def frequent_places(rows: DataFrame, words: Bitmap, least: int) -> DataFrame:
+    """(p): the places of pairs that may be frequent, as all pairs of a place together are."""
     sent = rows.sparkSession.sparkContext.broadcast(words)
 
     def counted(batches):
@@ -150,27 +156,30 @@ def pair_counts(rows: DataFrame, words: Bitmap) -> DataFrame:
                 h = word_keys(group, found)
                 fine = (h != 0) & sent.value.has(h)
                 at = np.flatnonzero(fine[:-1] & fine[1:])
-                a, b = h[at], h[at + 1]
-                p = pair_hash(a, b)
-                yield summed(p, [a, b, p], ["w1", "w2", "p"])
+                p, n = np.unique(pair_places(h[at], h[at + 1]).astype(np.uint32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int32)), pa.array(n.astype(np.int64))], names=["p", "n"])
 
-    found = rows.mapInArrow(counted, "w1 long, w2 long, p long, n long")
-    return found.groupBy("w1", "w2", "p").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(counted, "p int, n long")
+    return found.groupBy("p").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("p")
 
 
-def runs(rows: DataFrame, pairs: Bitmap) -> DataFrame:
-    """(w1 .. w5, n): what follows each place at which a pair that may be frequent is followed by another one; 0 where the
-    run has ended. Equal runs are one row."""
-    sent = rows.sparkSession.sparkContext.broadcast(pairs)
+def runs(rows: DataFrame, places: Bitmap) -> DataFrame:
+    """(w1 .. w5, n): pairs that may be frequent, with w3 = 0, and apart from them what follows each at which another one
+    follows; 0 where a run has ended. Equal rows are one, so the pairs' numbers are their exact counts."""
+    sent = rows.sparkSession.sparkContext.broadcast(places)
 
     def found(batches):
         for batch in batches:
             for group, words in by_group(batch):
                 h = word_keys(group, words)
-                if len(h) < 3:
+                if len(h) < 2:
                     continue
                 good = np.zeros(len(h) + LONGEST, bool)
-                good[: len(h) - 1] = (h[:-1] != 0) & (h[1:] != 0) & sent.value.has(pair_hash(h[:-1], h[1:]))
+                good[: len(h) - 1] = (h[:-1] != 0) & (h[1:] != 0) & sent.value.has(pair_places(h[:-1], h[1:]))
+                at = np.flatnonzero(good)
+                a, b = h[at], h[at + 1]
+                none = np.zeros(len(at), np.uint64)
+                yield summed(pair_hash(a, b), [a, b, none, none, none], RUN)
                 at = np.flatnonzero(good[:-1] & good[1:])
                 h = np.append(h, np.zeros(LONGEST, np.uint64))
                 columns, alive = [h[at], h[at + 1]], np.ones(len(at), bool)
@@ -269,9 +278,10 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", least
     words = stored(word_counts(rows), "words")
     sizes = words.groupBy("group").agg(F.sum("n").alias("total"))
     frequent = stored(words.filter(F.col("n") >= least), "frequent")
-    pairs = stored(pair_counts(rows, Bitmap(frequent, F.col("h"))).filter(F.col("n") >= least), "pairs")
-    whole = stored(runs(rows, Bitmap(pairs, F.col("p"))), "runs")
-    longer = longer_phrases(whole, least, prefix_rows)
+    places = stored(frequent_places(rows, Bitmap(frequent, F.col("h")), least), "pairs")
+    whole = stored(runs(rows, Bitmap(places, F.col("p").cast("long"))), "runs")
+    longer = longer_phrases(whole.filter("w3 <> 0"), least, prefix_rows)
+    pairs = whole.filter((F.col("w3") == 0) & (F.col("n") >= least))
     phrases = stored(pairs.select(F.array("w1", "w2").alias("words"), F.col("n").alias("a")).union(longer), "phrases")
     counts = frequent.select(F.array("h").alias("words"), F.col("n").alias("a")).union(phrases)
     # a candidate within one of a word more, of the same count, lies in it wherever it occurs
