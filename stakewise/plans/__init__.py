@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from stakewise.plans import builders, decisions, relational, sequential, sources, statistics, streams
+from stakewise.plans import builders, decisions, relational, sequential, smooths, sources, statistics, streams
 from stakewise.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "builders", "decisions", "relational", "sequential", "sources", "statistics", "streams"]
+__all__ = ["QUERIES", "SQL", "builders", "decisions", "relational", "sequential", "smooths", "sources", "statistics", "streams"]
