@@ -7,7 +7,7 @@ coefficients, few numbers for any number of rows, and Spark adds up the tasks' s
 coefficients and sets every penalty's strength by restricted maximum likelihood (generalised Fellner-Schall steps).
 
 Sums are over the plain bases, of which a row has few that are not zero. That smooths add up to zero over the rows, and
-interactions over each margin, is arranged afterwards: by a change of basis on the driver.
+that the margins of interactions do, is arranged afterwards: by a change of basis on the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from stakewise.operators.governance import CheckFailed, fetched
 #: Coefficients of a model at most; the driver holds a square matrix of them.
 MOST = 4000
 SUMS = "i int, j int, value double"
+#: Sums beside the products: square of the working response, deviance, rows, and four for a dispersion.
+REST = 7
 LOOSEST, STRICTEST = 1e-8, 1e10
 
 
@@ -163,6 +165,7 @@ class Model:
     strengths: list[float] = field(default_factory=list)
     freedom: list[float] = field(default_factory=list)
     deviance: float = float("nan")
+    dispersion: float = 1.0
     rounds: int = 0
     converged: bool = False
 
@@ -265,7 +268,7 @@ class Sums:
         self.response = np.zeros(model.size)
         self.mixed = [np.zeros((t.size, self.width)) for t in model.effects]
         self.crossed: dict[tuple[int, int], dict[tuple[int, int], float]] = {}
-        self.rest = np.zeros(3)
+        self.rest = np.zeros(REST)
 
     def add(self, x: dict[str, np.ndarray], y: np.ndarray, family: str, dispersion: float) -> None:
         eta, design, places = self.model.linear(x, len(y))
@@ -273,7 +276,10 @@ class Sums:
         weighted = design * w[:, None]
         self.dense += design.T @ weighted
         self.response[: self.width] += weighted.T @ z
-        self.rest += (w * z * z).sum(), deviance.sum(), len(y)
+        self.rest[:3] += (w * z * z).sum(), deviance.sum(), len(y)
+        if family == "negative_binomial":
+            above = np.exp(np.clip(eta, -20, 20)) + dispersion
+            self.rest[3:] += np.log(above).sum(), ((y + dispersion) / above).sum(), (1 / above).sum(), ((y + dispersion) / above**2).sum()
         for e, at in enumerate(places):
             fine = at >= 0
             np.add.at(self.mixed[e], at[fine], weighted[fine])
@@ -300,14 +306,16 @@ class Sums:
             parts.append((self.low[e] + key // MOST, self.low[f] + key % MOST, np.array(list(held.values()))))
         filled = np.flatnonzero(self.response)
         parts.append((filled, np.full(len(filled), -1), self.response[filled]))
-        parts.append((np.full(3, -1), np.arange(3), self.rest))
+        kept = np.flatnonzero((np.arange(REST) < 3) | (self.rest != 0))
+        parts.append((np.full(len(kept), -1), kept, self.rest[kept]))
         i, j, value = (np.concatenate([np.asarray(p[c]) for p in parts]) for c in range(3))
         return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(value.astype(float))], names=["i", "j", "value"])
 
 
 def design_sums(rows: DataFrame, outcome: str, model: Model, family: str = "unit", dispersion: float = 1.0) -> DataFrame:
     """(i, j, value): the weighted cross products of the plain bases under the model's coefficients, upper triangle, with
-    (i, -1) for those with the working response and (-1, 0..2) for its square, the deviance and the number of rows. Rows
+    (i, -1) for those with the working response and (-1, 0..2) for its square, the deviance and the number of rows, and more
+    for a dispersion. Rows
     that lack a value or the outcome are left out; a missing level counts nothing."""
     numbers = [c for t in model.terms if not isinstance(t, Levels) for c in t.columns]
     taken = rows.select(*[(F.col(c).cast("double") if c in numbers else F.col(c).cast("string")).alias(c) for c in model.columns], F.col(outcome).cast("double").alias("__y"))
@@ -329,7 +337,7 @@ def fetched_sums(rows: DataFrame, outcome: str, model: Model, family: str, dispe
     """Cross products, their responses and the rest as arrays."""
     got = fetched(design_sums(rows, outcome, model, family, dispersion), MOST * (MOST + 3), "sums")
     i, j, value = got["i"].to_numpy(), got["j"].to_numpy(), got["value"].to_numpy()
-    gram, response, rest = np.zeros((model.size, model.size)), np.zeros(model.size), np.zeros(3)
+    gram, response, rest = np.zeros((model.size, model.size)), np.zeros(model.size), np.zeros(REST)
     upper = (i >= 0) & (j >= 0)
     gram[i[upper], j[upper]] = value[upper]
     gram[j[upper], i[upper]] = value[upper]
@@ -393,22 +401,52 @@ def settled_strengths(gram: np.ndarray, response: np.ndarray, penalties: list, s
     return beta, strengths, inverse
 
 
-def fitted(rows: DataFrame, outcome: str, model: Model, family: str = "probit", rounds: int = 40, tolerance: float = 1e-8, dispersion: float = 1.0) -> Model:
-    """``model`` with coefficients, by scoring rounds of one pass each until the penalised deviance rests."""
+def exceeding(rows: DataFrame, outcome: str) -> np.ndarray:
+    """How many rows have a count above 0, 1, 2 and so on, from the counts of counts."""
+    counts = fetched(rows.filter(F.col(outcome).isNotNull()).groupBy(F.col(outcome).cast("long").alias("y")).agg(F.count("*").alias("n")), 1_000_000, "different counts")
+    if (counts["y"] < 0).any():
+        raise CheckFailed("a count is negative")
+    n = np.zeros(int(counts["y"].max() if len(counts) else 0) + 1)
+    n[counts["y"].to_numpy()] = counts["n"]
+    return n.sum() - np.cumsum(n)[:-1]
+
+
+def dispersion_step(dispersion: float, above: np.ndarray, rest: np.ndarray) -> float:
+    """One Newton step for the log of a negative-binomial dispersion, at the means that ``rest`` was summed at.
+
+    A digamma at y + dispersion less that at the dispersion is the sum of 1 / (dispersion + k) over k below y, so the rows'
+    digammas come from the counts of counts.
+    """
+    k = dispersion + np.arange(len(above))
+    n, logs, ratios, inverses, squares = rest[2:]
+    slope = (above / k).sum() + n * np.log(dispersion) + n - logs - ratios
+    curve = -(above / k**2).sum() + n / dispersion - 2 * inverses + squares
+    # in the log: d/dt = x d/dx, and a step against the slope where the curve isn't concave
+    first, second = dispersion * slope, dispersion**2 * curve + dispersion * slope
+    step = -first / second if second < 0 else np.sign(first)
+    return float(np.clip(dispersion * np.exp(np.clip(step, -1.5, 1.5)), 1e-3, 1e7))
+
+
+def fitted(rows: DataFrame, outcome: str, model: Model, family: str = "probit", rounds: int = 40, tolerance: float = 1e-8, dispersion: float = 1.0, learn_dispersion: bool = False) -> Model:
+    """``model`` with coefficients, by scoring rounds of one pass each until they or the deviance rest. With
+    ``learn_dispersion`` a round also takes a step for the dispersion of a negative binomial, from the same pass."""
     plain, *_ = fetched_sums(rows, outcome, Model(model.terms), "unit")
     if not plain[0, 0]:
         raise ValueError("no rows to fit")
     change = changed_basis(model, plain[0])
     penalties = penalties_of(model, change)
+    above = exceeding(rows, outcome) if learn_dispersion else None
     strengths, last = np.ones(len(penalties)), np.inf
-    model = Model(model.terms)
+    model = Model(model.terms, dispersion=dispersion)
     for model.rounds in range(1, rounds + 1):
-        gram, response, rest = fetched_sums(rows, outcome, model, family, dispersion)
+        gram, response, rest = fetched_sums(rows, outcome, model, family, model.dispersion)
+        spread = dispersion_step(model.dispersion, above, rest) if learn_dispersion and model.rounds > 1 else model.dispersion
+        still = abs(np.log(spread / model.dispersion)) < 1e-6 or spread in (1e-3, 1e7)
         beta, strengths, inverse = settled_strengths(change.T @ gram @ change, change.T @ response, penalties, strengths)
         moved = change @ beta - (0 if model.coefficients is None else model.coefficients)
-        model.coefficients = change @ beta
+        model.coefficients, model.dispersion = change @ beta, spread
         model.deviance = float(rest[1])
-        model.converged = bool(model.rounds > 1 and (np.abs(moved).max() < tolerance or abs(model.deviance - last) < tolerance * (1 + abs(last))))
+        model.converged = bool(model.rounds > 1 + learn_dispersion and still and (np.abs(moved).max() < tolerance or abs(model.deviance - last) < tolerance * (1 + abs(last))))
         if model.converged:
             break
         last = model.deviance
@@ -418,6 +456,17 @@ def fitted(rows: DataFrame, outcome: str, model: Model, family: str = "probit",
     return model
 
 
+def effects(model: Model) -> list[tuple[str, str, float]]:
+    """(term, level, coefficient) of the intercept, linear terms and levels."""
+    out = [("intercept", "", float(model.coefficients[0]))]
+    for t, low, high in model.spans():
+        if isinstance(t, Linear):
+            out.append((t.column, "", float(model.coefficients[low])))
+        elif isinstance(t, Levels):
+            out += [(t.column, level, float(b)) for level, b in zip(t.levels, model.coefficients[low:high], strict=True)]
+    return out
+
+
 def scored(rows: DataFrame, model: Model, out: str = "linear") -> DataFrame:
     """``rows`` with the model's linear predictor; levels that it hasn't seen count nothing, nor do missing ones. Null where a
     number is missing."""

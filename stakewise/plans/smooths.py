@@ -65,3 +65,17 @@ def g3_selection_gam(spark, sf):
     slope = float(local.coefficients[1])
     width = F.lit(1 / slope if slope > 0 else None).cast("double")
     return rounded(losses.select("*", width.alias("width"), F.lit(float(sum(full.freedom))).alias("freedom"), F.lit(full.converged and local.converged).alias("converged")), 4)
+
+
+@query("g5_negative_binomial")
+def g5_negative_binomial(spark, sf):
+    """Counts in context with a learnt dispersion and crossed random effects: what an order's first lines are is the
+    state, its year the season. Effects of levels and the dispersion. No SQL: a fit."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.floor(F.sum("l_quantity") / 20).alias("runs"), F.concat_ws("|", F.min("l_returnflag"), F.min("l_linestatus")).alias("state"), (F.year(F.min("l_shipdate")) - 1998).cast("double").alias("season"),
+        (F.max("l_suppkey") % 30).cast("string").alias("park"), F.floor(4 * F.log2(1 + F.min("l_partkey"))).cast("string").alias("batter"), (F.min("l_suppkey") % 50).cast("string").alias("pitcher"),
+    )
+    rows = rows.cache()
+    model = gam.fitted(rows, "runs", gam.learnt_terms(rows, linear=["season"], fixed=["state"], random=["park", "batter", "pitcher"]), "negative_binomial", dispersion=5.0, learn_dispersion=True, tolerance=1e-8)
+    found = [*gam.effects(model), ("dispersion", "", model.dispersion)]
+    return rounded(spark.createDataFrame(found, "term string, level string, effect double"), 3)
