@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stakewise.operators import gam
+from stakewise.operators import gam, hierarchy, models
 from stakewise.plans.base import query, rounded, table
 
 LARGE = 40
@@ -79,3 +79,16 @@ def g5_negative_binomial(spark, sf):
     model = gam.fitted(rows, "runs", gam.learnt_terms(rows, linear=["season"], fixed=["state"], random=["park", "batter", "pitcher"]), "negative_binomial", dispersion=5.0, learn_dispersion=True, tolerance=1e-8)
     found = [*gam.effects(model), ("dispersion", "", model.dispersion)]
     return rounded(spark.createDataFrame(found, "term string, level string, effect double"), 3)
+
+
+@query("g6_hierarchical_probit")
+def g6_hierarchical_probit(spark, sf):
+    """players' thresholds and widths from a Gibbs sampler over two chains, how far the chains agree, and held-out
+    choices scored by the draws, players without draws as the mean player. No SQL: a sampler."""
+    rows = choices(spark, sf).select("l_orderkey", "fold", F.col("challenged"), (F.col("margin") / 50).alias("margin"), F.col("unit").alias("player"), "team").cache()
+    draws = hierarchy.sampled(rows.filter("fold > 1"), "challenged", "margin", "player", "team", "l_orderkey", burn=20, keep=40)
+    agreement = float(hierarchy.split_scale_reduction(draws.population()).max())
+    scored = models.choice_probability(rows.filter("fold = 1"), hierarchy.player_draws(spark, draws), "margin", "player")
+    held = scored.groupBy("player").agg(F.count("*").alias("n"), F.avg("challenged").alias("observed"), F.avg("probability").alias("expected"))
+    players = spark.createDataFrame(hierarchy.player_summary(draws))
+    return rounded(held.join(players, "player", "left").withColumn("agreement", F.lit(agreement)), 3)
