@@ -180,8 +180,9 @@ class PolicyValues(Chain):
             raise RuntimeError(f"state values did not settle in {most} rounds: {self.residual}")
         self.marginal = worth
 
-    def solved(self, gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
-        """Values with x_0 = wait_0 and x_k = wait_k + gain_k - loss_k * (wait_k - wait_(k-1))."""
+    def equations(self, gain: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix and constants of x = M x + c, inventory by inventory, with x_0 = wait_0 and
+        x_k = wait_k + gain_k - loss_k * (wait_k - wait_(k-1))."""
         size = len(gain)
         stay, granted = self.moves
         wait = np.zeros((3, size, 3, size))
@@ -191,8 +192,84 @@ class PolicyValues(Chain):
         equations = wait.copy()
         for k in (1, 2):
             equations[k] -= loss[:, k - 1, None, None] * (wait[k] - wait[k - 1])
-        fixed = np.concatenate([np.zeros(size), gain[:, 0], gain[:, 1]])
-        return np.linalg.solve(np.eye(3 * size) - equations.reshape(3 * size, 3 * size), fixed).reshape(3, size).T
+        return equations.reshape(3 * size, 3 * size), np.concatenate([np.zeros(size), gain[:, 0], gain[:, 1]])
+
+    def solved(self, gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        """Values that satisfy the equations of all states."""
+        matrix, fixed = self.equations(gain, loss)
+        return np.linalg.solve(np.eye(len(fixed)) - matrix, fixed).reshape(3, len(gain)).T
+
+
+class SweptValues(PolicyValues):
+    """The same fixed point by reverse sweeps: fronts of states of one stage, from the last stage back, each solved with the
+    values that later fronts have just got, until a sweep changes nothing. The stages behind regulation lead to each other
+    and are one front.
+
+    A front's rows and those of its parents are added up in one aggregation; a unit is worth about as much as one front
+    later, which starts the front, and a few aggregations settle it. A further sweep changes something only where a state
+    without rows borrows the values of an earlier stage.
+    """
+
+    def __init__(self, rows: DataFrame, evaluate=None, prior: float = 30.0, tolerance: float = 1e-10, most: int = 50):
+        Chain.__init__(self, compressed_transitions(rows, ()), prior)
+        self.rows, self.evaluate, self.tolerance, self.most = rows, evaluate or by_known_chance, tolerance, most
+        self.keys, self.evaluations = list(self.index), 0
+        self.arrival, self.continuation = np.zeros((2, len(self.keys), 3))
+        worth = np.zeros((len(self.keys), 2))
+        for self.rounds in range(1, most + 1):
+            before, later = self.arrival.copy(), {}
+            for stage in sorted({min(s, LAST) for s, _ in self.keys}, reverse=True):
+                front = [i for i, (s, _) in enumerate(self.keys) if min(s, LAST) == stage]
+                if self.rounds == 1:
+                    worth[front] = [later.get(self.keys[i][1], (0.0, 0.0)) for i in front]
+                self.settle(front, worth)
+                later |= {self.keys[i][1]: worth[i].copy() for i in front}
+            if np.abs(self.arrival - before).max() <= tolerance * max(1.0, np.abs(self.arrival).max()):
+                break
+        else:
+            raise RuntimeError(f"state values did not settle in {most} sweeps")
+        self.marginal = np.maximum(np.diff(self.continuation, axis=1), 0)
+
+    def settle(self, front: list[int], worth: np.ndarray) -> None:
+        """Solve the states of a front, all others as they are; ``worth`` gets what units are worth there."""
+        size = len(self.keys)
+        places = np.concatenate([np.array(front) + k * size for k in range(3)])
+        others = np.setdiff1d(np.arange(3 * size), places)
+        for _ in range(self.most):
+            gain, loss = np.zeros((2, size, 2))
+            gain[front], loss[front] = self.payoffs(front, worth)
+            matrix, fixed = self.equations(gain, loss)
+            known = fixed[places] + matrix[np.ix_(places, others)] @ self.arrival.T.ravel()[others]
+            found = np.linalg.solve(np.eye(len(places)) - matrix[np.ix_(places, places)], known).reshape(3, len(front)).T
+            self.arrival[front] = found
+            self.continuation = self.waiting(self.arrival)
+            new = np.maximum(np.diff(self.continuation[front], axis=1), 0)
+            self.residual = np.abs(new - worth[front]).max()
+            worth[front] = new
+            if self.residual <= self.tolerance * max(1.0, np.abs(found).max()):
+                return
+        raise RuntimeError(f"a front did not settle: {self.residual}")
+
+    def payoffs(self, front: list[int], worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the front's states gain and lose at their worths: means over their own rows, shrunk to those of their parents."""
+        self.evaluations += 1
+        families: dict[tuple, list[int]] = {}
+        for i in front:
+            families.setdefault(self.parent(*self.keys[i]), []).append(i)
+        cuts = {f: np.sort(worth[own].ravel()) for f, own in families.items()}
+        members = {f: [i for i, key in enumerate(self.keys) if self.parent(*key) == f] for f in families}
+        wanted = F.lit(False)
+        for phase, place, role in families:
+            wanted = wanted | (((F.col("stage") < LAST) == phase) & (F.pmod(F.col("stage"), F.lit(OUTS_PER_INNING)) == place) & (F.col("role") == role))
+        sums = self.evaluate(self.rows.filter(wanted), {self.keys[i]: cuts[f] for f in families for i in members[f]})
+        n, out = self.states["n"].to_numpy(), np.zeros((2, len(front), 2))
+        for f, own in families.items():
+            tables = {i: sums.get(self.keys[i], np.zeros((2, len(cuts[f])))) for i in members[f]}
+            parents = sum(tables.values()) / n[members[f]].sum()
+            for i in own:
+                at, share = np.searchsorted(cuts[f], worth[i]), self.states["shrink"][i]
+                out[:, front.index(i)] = (share * tables[i] / n[i] + (1 - share) * parents)[:, at]
+        return out[0], out[1]
 
 
 def by_known_chance(rows: DataFrame, cuts: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:

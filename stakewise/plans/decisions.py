@@ -117,6 +117,18 @@ def joint_signal_values(spark, sf):
     return rounded(spark.createDataFrame(values.frame()))
 
 
+@query("m4_signal_values")
+def m4_signal_values(spark, sf):
+    """M4: state values of one role that decides by signals, by reverse sweeps over fronts of states, with updated values. No
+    SQL: a fixed point; it agrees with policy iteration."""
+    t = timeline(spark, sf).filter("role = 'offense'")
+    rows = t.select(*KEYS, *ORDER, "inning", "role", "stake", ((F.col("inning") - 1) * 6).alias("raw")).withColumn("context", F.lit("league"))
+    rows = rows.withColumn("stage", F.when(F.col("raw") < 54, F.col("raw")).otherwise(54))
+    moves = sequential.transitions(rows, KEYS, ORDER, ["stage", "role", "raw"]).withColumn("delta", F.coalesce(F.col("next_raw") - F.col("raw"), F.lit(0)))
+    values = decision.SweptValues(moves.cache(), decision.by_signal({"league": lookups(t, [])["league"]}), tolerance=1e-8)
+    return rounded(spark.createDataFrame(values.frame()))
+
+
 @query("m10_frozen_evaluation", f"WITH RECURSIVE {T}, {frozen_sql()} SELECT role, round(sum(ch), 5) AS challenges, round(sum(won), 5) AS successes, round(sum(ch) - sum(won), 5) AS failures, round(sum(cap), 3) AS captured FROM r WHERE pitch_order > 0 GROUP BY role")
 def frozen_evaluation(spark, sf):
     """Thresholds fixed before the truth is joined; replayed and summed by role."""

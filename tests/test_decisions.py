@@ -155,3 +155,19 @@ def test_choice_probability_averages_over_draws(spark):
     rows = spark.createDataFrame([("a", 1.0), ("z", 0.5)], "player string, margin double")
     got = {r.player: r.probability for r in models.choice_probability(rows, draws, "margin", "player").collect()}
     assert got["a"] == pytest.approx((K.phi(1.0) + 0.5) / 2, abs=1e-6) and got["z"] == pytest.approx(0.5, abs=1e-6)
+
+
+def test_reverse_sweeps_equal_policy_iteration(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(60):
+        raws = sorted((6 * rng.integers(0, 12, 6)).tolist())
+        roles = rng.choice(["offense", "defense"], 6).tolist()
+        for i, (raw, role) in enumerate(zip(raws, roles, strict=True)):
+            after = raws[i + 1] if i < 5 else None
+            fold = lambda x: x if x < 54 else 54 + (x - 54) % 6
+            rows.append((fold(raw), role, float(rng.integers(0, 101)) / 100, float(rng.normal(0.3, 1)), None if after is None else fold(after), roles[i + 1] if i < 5 else None, 0 if after is None else after - raw, i == 5, after is not None and after // 6 > max(8, raw // 6)))
+    df = spark.createDataFrame(rows, "stage int, role string, p_hat double, stake double, next_stage int, next_role string, delta int, terminal boolean, extra_grant boolean").repartition(2).cache()
+    want, got = decision.PolicyValues(df, tolerance=1e-10), decision.SweptValues(df, tolerance=1e-10)
+    assert got.arrival == pytest.approx(want.arrival, abs=1e-8) and got.marginal == pytest.approx(want.marginal, abs=1e-8)
+    assert (got.arrival[:, 2] >= got.arrival[:, 1]).all() and got.rounds <= 3 and got.evaluations < 120
