@@ -5,8 +5,10 @@ Null rules: ``is_true`` reads null as false, ``if_else`` gives null for a null t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,6 +203,27 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+def orthant_nodes(panels: int = 12, points: int = 8) -> list[tuple[float, float]]:
+    """Nodes and weights on [0, 1]: Gauss-Legendre panels that halve towards 1, where near-perfect correlations need them."""
+    x, w = np.polynomial.legendre.leggauss(points)
+    ends = [1 - 0.5**i for i in range(panels)] + [1.0]
+    return [(float(a + (b - a) * (t + 1) / 2), float((b - a) * v / 2)) for a, b in zip(ends[:-1], ends[1:], strict=True) for t, v in zip(x, w, strict=True)]
+
+
+def orthant(h: Column, k: Column, rho: Column) -> Column:
+    """P(X > h, Y > k) of standard normals with correlation ``rho``: independence plus the integral of the density over
+    correlations from 0 to ``rho``, in the arc sine of the correlation. Perfect correlations have their limits."""
+    nodes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in orthant_nodes()])
+    arc = F.asin(rho)
+
+    def add(total: Column, n: Column) -> Column:
+        s = F.sin(arc * n["t"])
+        return total + n["w"] * F.exp(-(h * h + k * k - 2 * h * k * s) / (2 * (1 - s * s)))
+
+    inner = normal_cdf(-h) * normal_cdf(-k) + arc * F.aggregate(nodes, F.lit(0.0), add) / (2 * math.pi)
+    return F.when(rho >= 1, normal_cdf(-F.greatest(h, k))).when(rho <= -1, F.greatest(normal_cdf(-h) - normal_cdf(k), F.lit(0.0))).otherwise(inner)
+
+
 def signal_probability(margin: Column, threshold: Column, sigma: Column) -> Column:
     """P(signal above threshold | margin) = Phi((m - r) / s); -Inf always acts, +Inf never, s = 0 compares."""
     inf = float("inf")

@@ -13,6 +13,14 @@ def full_grid(domains: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.crossJoin, domains)
 
 
+def literal_grid(spark, domains: dict[str, list]) -> DataFrame:
+    """Every combination of listed values, exploded from one row: no join, and its size is that of the lists."""
+    grid = spark.range(1).select()
+    for name, values in domains.items():
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return grid
+
+
 def shrunken_cells(rows: DataFrame, grid: DataFrame, parent: list[str], child: list[str], value: str, strength: float = 20.0, weight: str | None = None) -> DataFrame:
     """(sum + strength * parent mean) / (n + strength) in each cell of ``grid`` (parent + child columns).
 
@@ -20,7 +28,7 @@ def shrunken_cells(rows: DataFrame, grid: DataFrame, parent: list[str], child: l
     cells once; parents and the overall mean come from the cells.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    cells = rows.groupBy(*parent, *child).agg(F.sum(F.col(value) * w).alias("sum"), F.sum(w).alias("n"))
+    cells = rows.groupBy(*parent, *child).agg(F.sum(F.col(value) * w).alias("sum"), F.sum(w).alias("n")).cache()
     above = cells.groupBy(*parent).agg((F.sum("sum") / F.sum("n")).alias("parent_mean"))
     overall = cells.agg((F.sum("sum") / F.sum("n")).alias("overall"))
     joined = grid.join(cells, [*parent, *child], "left").join(above, parent, "left").crossJoin(F.broadcast(overall))

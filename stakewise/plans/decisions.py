@@ -8,7 +8,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stakewise.operators import decision, governance, models, policy, prior, resample, selection, sequential
+from stakewise.functions.scalar import orthant, orthant_nodes
+from stakewise.operators import decision, governance, models, policy, prior, quadrature, resample, selection, sequential
 from stakewise.operators.ledger import CLOCK
 from stakewise.plans.base import KEYS, ORDER, T, query, rounded, table, timeline
 from stakewise.plans.builders import _PHI, _RUN
@@ -211,15 +212,43 @@ def bootstrap_of_frozen_policy(spark, sf):
     return rounded(resample.bootstrap_interval(out, "game_pk", ["role"], "captured", 5000, 6), 5)
 
 
-@query("n15_mean_above_threshold")
+def logistic_quality(x: np.ndarray) -> np.ndarray:
+    """A posterior in closed form, which both engines can evaluate."""
+    return 1 / (1 + np.exp(-1.5 * x))
+
+
+@query(
+    "n15_mean_above_threshold",
+    f"""WITH {T}, c AS (SELECT DISTINCT margin, inning FROM t), n AS (SELECT unnest(range(0, 4001)) AS i), w AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM n),
+    z AS (SELECT margin, inning, w, greatest((inning / 5.0::DOUBLE - margin) / 1.2::DOUBLE, -9) AS z0, i FROM c CROSS JOIN w), y AS (SELECT margin, inning, w, z0, z0 + (greatest(z0, 0) + 9 - z0) * i / 4000 AS z FROM z),
+    m AS (SELECT margin, inning, sum(w * exp(-(z * z - greatest(z0, 0) ^ 2) / 2) / (1 + exp(-1.5 * (margin + 1.2::DOUBLE * z)))) / sum(w * exp(-(z * z - greatest(z0, 0) ^ 2) / 2)) AS q FROM y GROUP BY ALL)
+    SELECT event_id, round(q, 6) AS q_chosen, true AS exact FROM t JOIN m USING (margin, inning)""",
+)
 def mean_above_threshold(spark, sf):
-    """Mean posterior beyond thresholds and joint tails, by fixed quadrature on a small grid of cases."""
-    from stakewise.functions.kernels import mean_above, orthant
+    """The mean posterior over signals beyond each row's threshold, by adaptive quadrature with an estimate of its error."""
+    t = timeline(spark, sf)
+    out = quadrature.with_tail_means(t, logistic_quality, F.col("inning") / 5.0, F.col("margin"), F.lit(1.2), "q_chosen")
+    return out.select("event_id", F.round("q_chosen", 6).alias("q_chosen"), (F.col("q_chosen_error") < 1e-6).alias("exact"))
+
 
-    look = lookups(timeline(spark, sf), [])["league"]
-    q = lambda x: np.interp(x, look["signal"], look["q"])
-    rows = [(float(m), float(r), mean_above(q, r, m, 1.2), orthant(r, m, 0.5)) for m in (-1, 0, 1) for r in (-1, 0, 1)]
-    return rounded(spark.createDataFrame(rows, "mean double, threshold double, q_chosen double, orthant double"))
+_NODES = "[" + ", ".join(f"{{'t': {t!r}::DOUBLE, 'w': {w!r}::DOUBLE}}" for t, w in orthant_nodes()) + "]"
+
+
+def _phi_of(x: str) -> str:
+    return "(" + _PHI.replace("z", f"({x})") + ")"
+
+
+@query(
+    "n17_orthant_mass",
+    f"""WITH {T}, c AS (SELECT DISTINCT margin, inning FROM t), x AS (SELECT margin, inning, -margin / 0.9::DOUBLE AS h, (inning / 5.0::DOUBLE - margin) / 1.5::DOUBLE AS k, (inning - 6.5::DOUBLE) / 5.5::DOUBLE AS r FROM c), a AS (SELECT *, asin(r) AS arc FROM x),
+    m AS (SELECT margin, inning, CASE WHEN r >= 1 THEN {_phi_of("-greatest(h, k)")} WHEN r <= -1 THEN greatest({_phi_of("-h")} - {_phi_of("k")}, 0)
+        ELSE {_phi_of("-h")} * {_phi_of("-k")} + arc * list_sum(list_transform({_NODES}, lambda n: n.w * exp(-(h * h + k * k - 2 * h * k * sin(arc * n.t)) / (2 * (1 - sin(arc * n.t) ^ 2))))) / (2 * pi()) END AS mass FROM a)
+    SELECT event_id, round(mass, 6) AS mass FROM t JOIN m USING (margin, inning)""".replace("exp(", "exp("),
+)
+def orthant_mass(spark, sf):
+    """The chance that a margin is wrong and its signal passes, two correlated normals, at correlations from -1 to 1."""
+    h, k = -F.col("margin") / 0.9, (F.col("inning") / 5.0 - F.col("margin")) / 1.5
+    return timeline(spark, sf).select("event_id", F.round(orthant(h, k, (F.col("inning") - 6.5) / 5.5), 6).alias("mass"))
 
 
 CONTEXT = """x AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_linenumber - 1 AS b, l_suppkey % 4 AS s, l_partkey % 4 AS o, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS st, CASE WHEN l_linestatus = 'O' THEN l_linestatus END AS th, CASE WHEN l_partkey % 50 = 0 THEN 'EP' END AS kind, CASE WHEN l_partkey % 9 > 0 THEN 60 + l_quantity END AS speed, l_tax * 100 - 4 AS margin FROM lineitem),

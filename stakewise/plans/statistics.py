@@ -21,8 +21,8 @@ CELLS = """cell AS (SELECT l_returnflag, l_linestatus, l_linenumber, sum(l_quant
 def shrunken_cell_means(spark, sf):
     """Cell means shrunk to their parents on the full grid, which has a line number that does not occur."""
     rows = table(spark, sf, "lineitem")
-    axes = [spark.createDataFrame([(x,) for x in v], f"{c} {k}") for c, k, v in (("l_returnflag", "string", "ANR"), ("l_linestatus", "string", "FO"), ("l_linenumber", "int", range(1, 9)))]
-    return rounded(tables.shrunken_cells(rows, tables.full_grid(axes), ["l_returnflag", "l_linestatus"], ["l_linenumber"], "l_quantity"))
+    grid = tables.literal_grid(spark, {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"], "l_linenumber": list(range(1, 9))})
+    return rounded(tables.shrunken_cells(rows, grid, ["l_returnflag", "l_linestatus"], ["l_linenumber"], "l_quantity"))
 
 
 @query(
