@@ -6,7 +6,7 @@ are cut into about as many classes as a class has units. The model is log-biline
 
     P(unit | context) = P(class | context) * P(unit | class, context)
 
-The context's vector is the sum of the vectors of the units before, each weighted by its distance; from 100 million tokens
+The context's vector is the sum of the vectors of the units before, each weighted by its distance; from 10 million tokens
 on there is one more of them for ten times the tokens. A class or unit scores the product of its vector with the
 context's, plus a bias. Inside a shared unit a word has its add-one share, so every word has a probability and all of
 them sum to one.
@@ -61,7 +61,7 @@ def own_words(tokens: int) -> int:
 
 def context_length(tokens: int) -> int:
     """Units before that the model sees: one more for ten times the tokens."""
-    return max(2, int(math.log10(max(tokens, 1))) - 5)
+    return max(2, int(math.log10(max(tokens, 1))) - 4)
 
 
 def suffix(word: bytes) -> int:
@@ -307,7 +307,7 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
     #: no task below ``HELD`` tokens, and so few that their sums stay small against the corpus
     tasks = max(1, min(tokens // HELD, max(8, math.isqrt(tokens) // 400)))
     passes = min(PASSES, max(1, -(-SEEN // max(tokens, 1))))
-    size = min(SLICE, max(256, tokens * passes // (tasks * rounds * 100)))
+    size = min(8192, max(256, tokens * passes // (tasks * rounds * 200)))
     #: rows of a block, so that the sums of all tasks for it are a few MB
     block = max(16, min(4096, 1_000_000 // (tasks * (2 * RANK + 2))))
 
