@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +93,38 @@ def checkpointed(spark: SparkSession, folder: str, fingerprint: str, compute) ->
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def resumed(folder: str, keys: DataFrame, compute: Callable[[DataFrame], DataFrame], parts: int = 4, most_parts: int | None = None) -> DataFrame:
+    """The rows of ``compute`` for all ``keys``, kept below ``folder`` so that a later run fills gaps only.
+
+    Keys are dealt to ``parts`` by their hash. A part's rows are written to a folder of their own, and only then its keys are
+    appended to the table of finished ones with that folder's name: what a lost run left behind is in no such row and is
+    never read. A run starts from the keys that an anti-join with the finished ones leaves, whatever parts they were
+    dealt to before, and stops after ``most_parts`` of them if that is given. Rows must not depend on what other keys are
+    computed beside them.
+    """
+    import uuid
+
+    spark = keys.sparkSession
+    results, done = f"{folder}/results", f"{folder}/finished"
+    finished_schema = keys.select("*", F.lit("").alias("part")).schema
+
+    def finished() -> DataFrame:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(done)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(finished_schema).parquet(done) if there else spark.createDataFrame([], finished_schema)
+
+    missing = keys.join(finished().drop("part"), keys.columns, "left_anti").withColumn("part", F.pmod(F.xxhash64(*keys.columns), F.lit(parts)))
+    todo = sorted(r["part"] for r in missing.select("part").distinct().collect())
+    for at in todo[:most_parts]:
+        name = uuid.uuid4().hex
+        # the finished table changes below the plan of what is missing, so a part's keys are written first
+        missing.filter(F.col("part") == at).drop("part").write.parquet(f"{folder}/keys/part={name}")
+        own = spark.read.schema(keys.schema).parquet(f"{folder}/keys/part={name}")
+        compute(own).write.parquet(f"{results}/part={name}")
+        own.withColumn("part", F.lit(name)).write.mode("append").parquet(done)
+    parts_done = [r["part"] for r in finished().select("part").distinct().collect()]
+    empty = compute(keys.limit(0))
+    return spark.read.schema(empty.schema).parquet(*[f"{results}/part={p}" for p in parts_done]) if parts_done else empty.limit(0)

@@ -11,6 +11,7 @@ from stakewise.operators import builders, governance, resample, selection, trans
 from stakewise.plans.base import KEYS, ORDER, T, query, rounded, table, timeline
 from stakewise.plans.sequential import AFTER, BRANCH, PLATE, plate
 from stakewise.plans.statistics import HASH, PRIOR, margin_prior
+from stakewise.sources.readers import scratch
 
 
 @query("p1_renamed_columns", "SELECT p_partkey AS item_id, p_name AS label, p_brand AS family FROM part")
@@ -208,7 +209,7 @@ def draw_thresholds(spark, sf):
     return rounded(out.groupBy("inning", "gain").agg(F.avg("r_star").alias("mean"), F.min("r_star").alias("least"), F.max("r_star").alias("greatest")), 5)
 
 
-REPLICATES, SEED = 200, 17
+REPLICATES, SEED = 300, 17
 _OFFSET = {name: 9176 * sum(ord(c) * i for i, c in enumerate(name, 1)) for name in ("clock", "history", "width")}
 
 
@@ -224,26 +225,36 @@ SOURCES = f"""{_weights("clock", "SELECT DISTINCT game AS g FROM t")}, {_weights
     "c8_coordinated_refits",
     f"""WITH {T}, {SOURCES}, ms AS (SELECT strftime(o_orderdate, '%Y-%m') AS g, o_orderstatus AS parent, o_orderpriority AS cell, sum(o_totalprice / 1e5) AS s, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
     tot AS (SELECT replicate, parent, cell, sum(s * weight) AS s, sum(n * weight) AS n FROM ms JOIN w_history USING (g) GROUP BY ALL), par AS (SELECT replicate, parent, sum(s) / sum(n) AS m FROM tot GROUP BY ALL), re AS (SELECT replicate, avg((s + 20 * m) / (n + 20)) AS re FROM tot JOIN par USING (replicate, parent) GROUP BY replicate),
-    wd AS (SELECT replicate, sqrt(greatest(0, sum(ss * weight) / sum(n * weight) - (sum(s * weight) / sum(n * weight)) ^ 2)) AS width FROM (SELECT game AS g, count(*)::DOUBLE AS n, sum(margin) AS s, sum(margin * margin) AS ss FROM t GROUP BY game) JOIN w_width USING (g) GROUP BY replicate),
+    wd AS (SELECT replicate, sqrt(greatest(0, sum(ss * weight) / sum(n * weight) - (sum(s * weight) / sum(n * weight)) ^ 2)) AS width, sum(w * weight) / sum(n * weight) AS wrong FROM (SELECT game AS g, count(*)::DOUBLE AS n, sum(margin) AS s, sum(margin * margin) AS ss, sum((margin > 0)::INT)::DOUBLE AS w FROM t GROUP BY game) JOIN w_width USING (g) GROUP BY replicate),
     ck AS (SELECT replicate, sum(s * weight) / sum(n * weight) AS stake FROM (SELECT game AS g, sum(p * stake) AS s, count(*)::DOUBLE AS n FROM t GROUP BY game) JOIN w_clock USING (g) GROUP BY replicate)
-    SELECT replicate::BIGINT AS replicate, round(re, 6) AS re, round(width, 6) AS width, round(stake, 5) AS stake, round(re * width * stake, 4) AS value FROM re JOIN wd USING (replicate) JOIN ck USING (replicate)""",
+    SELECT replicate::BIGINT AS replicate, round(re, 6) AS re, round(width, 6) AS width, round(wrong, 6) AS wrong, round(stake, 5) AS stake, round(re * width * wrong * stake, 4) AS value FROM re JOIN wd USING (replicate) JOIN ck USING (replicate)""",
 )
 def coordinated_refits(spark, sf):
-    """Three sources resampled with seeds of their own, an expectation table and a width refitted by weighted
-    group sums in every replicate, and the evaluation scored with both."""
+    """Three sources resampled with seeds of their own; an expectation table, a width and a prior's rate
+    refitted by weighted group sums in every replicate, and the evaluation scored with all three. Finished replicates are
+    kept: the query stops halfway, starts again, and computes those that are missing."""
     t = timeline(spark, sf)
     orders = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("g"), F.col("o_orderstatus").alias("parent"), F.col("o_orderpriority").alias("cell"), (F.col("o_totalprice") / 1e5).alias("v"))
     named = t.select(F.col("game").alias("g"), "p", "stake", "margin")
     weights = builders.coordinated_weights({"clock": named, "history": orders, "width": named}, "g", REPLICATES, SEED)
-    of = lambda name: weights.filter(F.col("source") == name).drop("source")
-    sums = orders.groupBy("g", "parent", "cell").agg(F.sum("v").alias("s"), F.count("*").cast("double").alias("n"))
-    re = builders.refitted_cells(sums, of("history"), "g", ["cell"], ["parent"]).groupBy("replicate").agg(F.avg("estimate").alias("re"))
-    moments = named.groupBy("g").agg(F.count("*").cast("double").alias("n"), F.sum("margin").alias("s"), F.sum(F.col("margin") * F.col("margin")).alias("ss"))
-    widths = builders.refitted_widths(moments, of("width"), "g", [])
-    scored = named.groupBy("g").agg(F.sum(F.col("p") * F.col("stake")).alias("s"), F.count("*").cast("double").alias("n"))
-    clock = resample.bootstrap_totals(scored, of("clock"), "g", [], ["s", "n"]).select("replicate", (F.col("s") / F.col("n")).alias("stake"))
-    out = re.join(widths, "replicate").join(clock, "replicate")
-    return out.select(F.col("replicate").cast("long").alias("replicate"), F.round("re", 6).alias("re"), F.round("width", 6).alias("width"), F.round("stake", 5).alias("stake"), F.round(F.col("re") * F.col("width") * F.col("stake"), 4).alias("value"))
+    n, margin = F.count("*").cast("double").alias("n"), F.col("margin")
+    sums = orders.groupBy("g", "parent", "cell").agg(F.sum("v").alias("s"), n).cache()
+    moments = named.groupBy("g").agg(n, F.sum("margin").alias("s"), F.sum(margin * margin).alias("ss"), F.sum((margin > 0).cast("double")).alias("w"), F.sum(F.col("p") * F.col("stake")).alias("c")).cache()
+
+    def refitted(replicates):
+        of = lambda name: weights.filter(F.col("source") == name).drop("source").join(replicates, "replicate")
+        re = builders.refitted_cells(sums, of("history"), "g", ["cell"], ["parent"]).groupBy("replicate").agg(F.avg("estimate").alias("re"))
+        widths = builders.refitted_widths(moments, of("width"), "g", [])
+        prior = resample.bootstrap_totals(moments, of("width"), "g", [], ["w", "n"]).select("replicate", (F.col("w") / F.col("n")).alias("wrong"))
+        clock = resample.bootstrap_totals(moments, of("clock"), "g", [], ["c", "n"]).select("replicate", (F.col("c") / F.col("n")).alias("stake"))
+        return re.join(widths, "replicate").join(prior, "replicate").join(clock, "replicate").select("replicate", "re", "width", "wrong", "stake")
+
+    folder = scratch(spark, "replicates")
+    replicates = spark.range(1, REPLICATES + 1).select(F.col("id").cast("int").alias("replicate"))
+    resample.resumed(folder, replicates, refitted, parts=2, most_parts=1)
+    out = resample.resumed(folder, replicates, refitted, parts=2)
+    value = F.col("re") * F.col("width") * F.col("wrong") * F.col("stake")
+    return out.select(F.col("replicate").cast("long").alias("replicate"), *[F.round(c, 6).alias(c) for c in ("re", "width", "wrong")], F.round("stake", 5).alias("stake"), F.round(value, 4).alias("value"))
 
 
 @query(
