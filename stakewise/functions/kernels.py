@@ -82,6 +82,36 @@ def smoothed(y: np.ndarray, weight: np.ndarray, strength: float) -> np.ndarray:
     return np.linalg.solve(np.diag(weight) + strength * d.T @ d + 1e-12 * np.eye(len(y)), weight * y)
 
 
+def natural_spline(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strengths: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Values at x of the natural cubic smoothing spline that the generalised cross-validation score prefers among
+    ``strengths`` (by default, from almost interpolating to almost straight), and its strength.
+
+    x is strictly increasing. Second derivatives at the inner points solve a pentadiagonal system, whose eigenvectors give
+    fits and traces for all strengths at once. Two points or fewer are returned as they are.
+    """
+    x, y, weight = (np.asarray(a, float) for a in (x, y, weight))
+    n = len(x)
+    if n < 3:
+        return y.copy(), 0.0
+    h = np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    i = np.arange(n - 2)
+    q[i, i], q[i + 1, i], q[i + 2, i] = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]
+    r[i, i] = (h[:-1] + h[1:]) / 3
+    r[i[:-1], i[:-1] + 1] = r[i[:-1] + 1, i[:-1]] = h[1:-1] / 6
+    root = np.sqrt(weight)
+    # the roughness in weighted values: its eigenvalues shrink the values' parts by 1 / (1 + strength * eigenvalue)
+    rough = (q / root[:, None]) @ np.linalg.solve(r, (q / root[:, None]).T)
+    values, vectors = np.linalg.eigh((rough + rough.T) / 2)
+    values[:2] = 0
+    parts = vectors.T @ (root * y)
+    if strengths is None:
+        strengths = np.geomspace(1e-3 / values[-1], 1e3 / values[2], 241)
+    scores = [n * (((1 - 1 / (1 + k * values)) * parts) ** 2).sum() / max(n - (1 / (1 + k * values)).sum(), 1e-9) ** 2 for k in strengths]
+    best = float(strengths[int(np.argmin(scores))])
+    return vectors @ (parts / (1 + best * values)) / root, best
+
+
 def b_spline(x: np.ndarray, knots: np.ndarray, degree: int = 3) -> np.ndarray:
     """Basis at x for inner ``knots`` with repeated ends; columns add up to one inside."""
     t = np.concatenate([[knots[0]] * degree, knots, [knots[-1]] * degree]).astype(float)

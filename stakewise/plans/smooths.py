@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stakewise.operators import gam, hierarchy, models
-from stakewise.plans.base import query, rounded, table
+from stakewise.operators import gam, hierarchy, models, profiles, resample
+from stakewise.plans.base import T, query, rounded, table, timeline
 
 LARGE = 40
 
@@ -92,3 +92,24 @@ def g6_hierarchical_probit(spark, sf):
     held = scored.groupBy("player").agg(F.count("*").alias("n"), F.avg("challenged").alias("observed"), F.avg("probability").alias("expected"))
     players = spark.createDataFrame(hierarchy.player_summary(draws))
     return rounded(held.join(players, "player", "left").withColumn("agreement", F.lit(agreement)), 3)
+
+
+@query(
+    "g11_accepted_profiles",
+    f"""WITH {T}, f AS (SELECT role, inning, game, (dense_rank() OVER (ORDER BY game) - 1) % 3 + 1 AS fold, (outcome IS NOT NULL)::INT::DOUBLE AS y FROM t), c AS (SELECT role, inning, fold, game, count(*)::DOUBLE AS n, sum(y) AS s FROM f GROUP BY ALL),
+    o AS (SELECT role, inning, fold, sum(n) AS fn, sum(s) AS fs, sum(sum(n)) OVER (PARTITION BY role, inning) AS an, sum(sum(s)) OVER (PARTITION BY role, inning) AS s_all FROM c GROUP BY role, inning, fold), p AS (SELECT role, fold, sum(n) AS fn, sum(s) AS fs, sum(sum(n)) OVER (PARTITION BY role) AS an, sum(sum(s)) OVER (PARTITION BY role) AS s_all FROM c GROUP BY role, fold),
+    m AS (SELECT c.role, c.inning, c.n, c.s, (o.s_all - o.fs + 0.5::DOUBLE) / (o.an - o.fn + 1) AS own, (p.s_all - p.fs + 0.5::DOUBLE) / (p.an - p.fn + 1) AS pooled, (o.s_all + 0.5::DOUBLE) / (o.an + 1) AS all_own, (p.s_all + 0.5::DOUBLE) / (p.an + 1) AS all_pooled FROM c JOIN o USING (role, inning, fold) JOIN p USING (role, fold)),
+    d AS (SELECT *, (-(s * ln(own) + (n - s) * ln(1 - own)) + s * ln(pooled) + (n - s) * ln(1 - pooled)) / n AS d FROM m),
+    g AS (SELECT role, inning, sum(n) AS n, count(*) AS games, avg(d) AS difference, stddev_samp(d) / sqrt(count(*)) AS se, any_value(all_own) AS own, any_value(all_pooled) AS pooled FROM d GROUP BY role, inning)
+    SELECT role, inning, n, games, round(difference, 6) AS difference, round(se, 6) AS se, coalesce(difference + se < 0, false) AS accepted, round(CASE WHEN coalesce(difference + se < 0, false) THEN own ELSE pooled END, 6) AS rate FROM g""",
+)
+def g11_accepted_profiles(spark, sf):
+    """Profiles by role and inning that beat their role's out of fold by more than one paired error; the others fall back."""
+    rows = resample.dense_folds(timeline(spark, sf), "game", 3).withColumn("hit", F.col("outcome").isNotNull())
+    return rounded(profiles.accepted_profiles(rows, ["role", "inning"], ["role"], "fold", "game", "hit"))
+
+
+@query("n20_probit_curves")
+def n20_probit_curves(spark, sf):
+    """Smoothing splines of choice rates on the probit scale, one for each flag. No SQL: a fit with a chosen penalty."""
+    return rounded(profiles.probit_curves(choices(spark, sf), ["flag"], "speed", "challenged"), 4)
