@@ -297,25 +297,28 @@ def resolved_and_unique(spark, sf):
     return keys.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("bad").alias("unresolved"))
 
 
-@query("v6_geometry_agrees", f"WITH {T} SELECT role, count(*) AS challenges, count(*) FILTER ((outcome = 'overturned') = success) AS agreeing, round(count(*) FILTER ((outcome = 'overturned') = success) / count(*), 6) AS share FROM t WHERE outcome IS NOT NULL GROUP BY role")
+@query("v6_geometry_agrees", f"WITH {T} SELECT role, count(*) AS challenges, count(*) FILTER ((outcome = 'overturned') = (margin > 0)) AS agreeing, round(count(*) FILTER ((outcome = 'overturned') = (margin > 0)) / count(*), 6) AS share FROM t WHERE outcome IS NOT NULL GROUP BY role")
 def geometry_agrees(spark, sf):
-    """V6: rulings that the recorded truth confirms, by role; all must."""
+    """V6: rulings that geometry confirms, by role: a call was overturned where the margin is above zero. Over real tracking all
+    must agree; the stand-in's margins and rulings have nothing to do with each other."""
     t = timeline(spark, sf).filter("outcome IS NOT NULL")
-    agreeing = F.count_if((F.col("outcome") == "overturned") == F.col("success"))
+    agreeing = F.count_if((F.col("outcome") == "overturned") == (F.col("margin") > 0))
     return rounded(t.groupBy("role").agg(F.count("*").alias("challenges"), agreeing.alias("agreeing"), (agreeing / F.count("*")).alias("share")))
 
 
-@query("v17_masses_agree", f"WITH {T}, {PRIOR}, c AS (SELECT inning, sum(weight) AS w, sum(CASE WHEN bin >= 0 THEN weight ELSE 0 END) AS a FROM prior GROUP BY inning) SELECT inning, round(a, 6) AS analytic, round(w, 6) AS total FROM c")
+@query("v17_masses_agree", f"WITH {T}, {PRIOR}, z AS (SELECT inning, weight, (bin + 0.5::DOUBLE) * 0.5::DOUBLE / 1.2::DOUBLE AS z FROM prior) SELECT inning, round(sum(weight * {_PHI}), 6) AS analytic, round(sum(weight), 6) AS total FROM z GROUP BY inning")
 def masses_agree(spark, sf):
-    """Prior weights close, and a tail without noise is the mass beyond zero; both are checked before rows come out."""
+    """Prior weights close, and the mass of noisy signals beyond zero is the same by normal tails of the bins and
+    by fast convolution, within 0.002; both are checked before rows come out."""
     from stakewise.operators import prior
 
     held = margin_prior(timeline(spark, sf)).cache()
     selection.require_prior(held, "inning")
-    analytic = prior.wrong_rate(held, "inning")
-    numeric = prior.upper_tail(held.select("inning").distinct().withColumn("thr", F.lit(0.0)), held, "inning", "thr", 0.5, 0, []).select("inning", F.col("action").alias("wrong_rate"))
-    selection.require_masses_agree(analytic, numeric, ["inning"], "wrong_rate")
-    return rounded(analytic.withColumnRenamed("wrong_rate", "analytic").join(held.groupBy("inning").agg(F.sum("weight").alias("total")), "inning"))
+    analytic = prior.upper_tail(held.select("inning").distinct().withColumn("thr", F.lit(0.0)), held, "inning", "thr", 0.5, 1.2, []).select("inning", F.col("action").alias("mass"))
+    # the first signal above zero has all of them in its tail
+    numeric = prior.lookup_table(held, "inning", 0.5, 1.2, 0.01).filter("signal > 0").groupBy("inning").agg(F.min_by("action_tail", "signal").alias("mass"))
+    selection.require_masses_agree(analytic, numeric, ["inning"], "mass")
+    return rounded(analytic.withColumnRenamed("mass", "analytic").join(held.groupBy("inning").agg(F.sum("weight").alias("total")), "inning"))
 
 
 @query("v8_audit_sample", f"WITH {T}, c AS (SELECT *, CASE WHEN outcome = 'upheld' THEN 'upheld_challenge' WHEN outcome = 'overturned' THEN 'overturned_challenge' WHEN inning > 9 THEN 'extra_inning' ELSE 'other' END AS category FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {HASH.format('3, event_id')}, event_id) AS k FROM c) SELECT category, k AS audit_id, event_id FROM r WHERE k <= 10")
