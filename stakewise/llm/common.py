@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,15 @@ def own_columns(docs: DataFrame, replaced: dict[str, Column] | None = None) -> l
     return [F.col("`" + c.replace("`", "``") + "`") if new is None else new.alias(c) for c, new in named]
 
 
+def plain_columns(docs: DataFrame, used: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns other than those ``used`` named column_0, column_1 and so on, so that they can't meet the
+    names of intermediate columns; and what gives a result's columns their own names again."""
+    names = {f"column_{i}": c for i, c in enumerate(docs.columns) if c not in used}
+    own = {c: n for n, c in names.items()}
+    plain = docs.toDF(*[own.get(c, c) for c in docs.columns])
+    return plain, lambda out: out.toDF(*[names.get(c, c) for c in out.columns])
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` hinted for broadcast if its counted rows are within the bound, otherwise for a join by shuffle and sort."""
     if rows is None:

@@ -18,7 +18,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakewise.llm.common import own_columns
+from stakewise.llm.common import own_columns, plain_columns
 
 ROUNDS = 8
 KINDS = ("email", "phone", "date", "national_id", "host", "card", "secret")
@@ -212,7 +212,9 @@ def pseudonym(value: Column, kind: Column, digits: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with personal data in the text replaced, and the struct column ``out``: how many of each kind."""
+    """``docs`` with personal data in the text replaced, and the struct column ``out``: how many of each kind. Other columns are
+    kept as they are, whatever their names."""
+    docs, named = plain_columns(docs, [text_col])
     text = F.col(text_col)
     pattern = "|".join(PATTERNS.values())
     some = F.rlike(text, F.lit("[0-9@]"))
@@ -234,4 +236,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "
         return F.when(F.col("__found").isNull(), 0).otherwise(n).cast("long").alias(f"n_{kind}")
 
     counts = F.struct(*map(count, KINDS))
-    return found.select(*own_columns(docs, {text_col: text}), counts.alias(out))
+    return named(found.select(*own_columns(docs, {text_col: text}), counts.alias(out)))

@@ -147,3 +147,12 @@ def test_time_grows_with_the_text_not_with_matches_times_length(spark):
 
 def test_session_key_lasts_for_the_session(spark):
     assert session_key(spark) == session_key(spark) and len(session_key(spark)) == 64
+
+
+def test_columns_named_like_internal_ones_are_kept(spark):
+    from stakewise.llm.pii import pseudonymise
+
+    docs = spark.createDataFrame([("mail ann@example.org", "own", "new", "x")], "text string, __found string, __new string, column_1 string")
+    out = pseudonymise(docs, key="k").first()
+    assert out.asDict()["__found"] == "own" and out.asDict()["__new"] == "new" and out.column_1 == "x"
+    assert out.pii.n_email == 1 and "ann@" not in out.text

@@ -92,3 +92,19 @@ def test_stages_take_odd_columns_and_repeated_ids(spark, tmp_path):
     # 3 keeps its one new line; 7 loses all lines to 4, whose null id comes first; 8 is there twice; 5 holds the item; 9 has no text
     left = sorted(r["a.b"] for r in frame.collect())
     assert left == [1, 2, 3, 4, 6, 8], left
+
+
+def test_stages_keep_columns_named_like_internal_ones(spark, tmp_path):
+    documents, items = corpus()
+    extra = ["__rules", "__lines", "__r1", "__r2", "__row", "__gone", "__degree", "__found", "__new", "rules", "keep", "u", "v", "n", "column_3", "a.b"]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{c} {i}" for c in extra]) for i, t in documents]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", `{c}` string" for c in extra))
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got, name
+        for r in got:
+            assert list(r[5:]) == [f"{c} {r.doc_id}" for c in extra], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(rows)
