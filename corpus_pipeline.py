@@ -6,10 +6,12 @@ stage reads. All but the last keep the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakewise.llm.common import fingerprint, own_columns, small_or_shuffled, stored
+from stakewise.llm.common import fingerprint, own_columns, plain_columns, small_or_shuffled, stored
 from stakewise.llm.decontamination import contamination
 from stakewise.llm.lines import dedup_lines
 from stakewise.llm.minhash import one_of_each
@@ -50,7 +52,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("packing", packing)]
+def any_columns(stage):
+    """``stage`` for documents with columns of any names besides those that it reads: they pass under plain names."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain, named = plain_columns(docs, ("doc_id", "text", "n_chars"))
+        return named(stage(spark, plain, sf_dir))
+
+    return run
+
+
+STAGES = [(f.__name__, any_columns(f)) for f in (quality, lines, near, benchmark)] + [("packing", packing)]
 #: SQL has no Zstandard ratio, MinHash components or tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
