@@ -1,7 +1,7 @@
 """Models of choice: probit widths by Newton steps on aggregates, threshold bias, choice curves.
 
-Smoothing-spline and hierarchical Bayesian fits have no counterpart in Spark; ``probit`` is the plain likelihood with a
-ridge on chosen columns, and ``choice_probability`` scores given posterior draws. Results of either are proxies.
+``probit`` is the plain likelihood with a ridge on chosen columns, and ``choice_probability`` scores given posterior draws;
+``gam`` has smooths and random effects, ``hierarchy`` the sampler.
 """
 
 from __future__ import annotations

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def full_grid(domains: list[DataFrame]) -> DataFrame:
-    """Every combination of the domains' rows. Spark broadcasts a domain if it is small."""
-    return reduce(DataFrame.crossJoin, domains)
-
-
 def literal_grid(spark, domains: dict[str, list]) -> DataFrame:
     """Every combination of listed values, exploded from one row: no join, and its size is that of the lists."""
     grid = spark.range(1).select()
