@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("name", ["op1_quality", "op5_sharding", "op6_pseudonyms", "op8_scoring", "op10_lines"])
+@pytest.mark.parametrize("name", ["op1_quality", "op5_sharding", "op6_pseudonyms", "op8_scoring", "op10_lines", "op13_toxicity"])
 def test_one_row_per_document(spark, duck, name):
     ids = sorted(r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect())
     assert ids == [x for (x,) in duck.execute("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
