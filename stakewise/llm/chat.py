@@ -26,6 +26,8 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 _CONTROL = r"(\||/?s>|/?INST\])"
 ESCAPE, ESCAPED = r"(<|\[)(\\*)" + _CONTROL, r"$1$2\\$3"
 UNESCAPE, UNESCAPED = r"(<|\[)(\\*)\\" + _CONTROL, "$1$2$3"
+#: Code points of the blocks that a loss mask is read from.
+BLOCK = 1024
 
 
 def escaped(text: Column) -> Column:
@@ -72,33 +74,24 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return paths
 
 
-def formatted(turns: Column) -> Column:
-    """The text of an array of (role, text), escaped."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT), escaped(t["text"]), F.lit(END))), "")
-
-
-def loss_spans(turns: Column, trained: str = "assistant") -> Column:
-    """Code-point spans (start, length) of the trained role's texts in ``formatted(turns)``."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, length: long>>").alias("spans"))
-
-    def step(state: Column, t: Column) -> Column:
-        start = state["at"] + len(TURN) + F.char_length(escaped(t["role"])) + len(TEXT)
-        size = F.char_length(escaped(t["text"])).cast("long")
-        span = F.array(F.struct(start.alias("start"), size.alias("length")))
-        spans = F.when(t["role"] == trained, F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((start + size + len(END)).alias("at"), spans.alias("spans"))
-
-    return F.aggregate(turns, zero, step, lambda s: s["spans"])
-
-
 def format_paths(messages: DataFrame, branches: int = 1, trained: str = "assistant") -> DataFrame:
     """One row per chosen path of ``messages`` (tree, node, parent, score, role, text): tree, leaf, rank, formatted,
-    loss_spans."""
+    loss_spans.
+
+    ``loss_spans`` are the code-point spans (start, length) of the trained role's texts in ``formatted``. Places come
+    from running sums over a path's turns, so a path costs time in proportion to its length.
+    """
     words = messages.select("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = best_paths(messages, branches).join(words, "node")
-    turns = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "node", "role", "text")))
-    paths = rows.groupBy("tree", "leaf", "rank").agg(turns.alias("turns"))
-    return paths.select("tree", "leaf", "rank", formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns"), trained).alias("loss_spans"))
+    opening = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))
+    rows = rows.select("tree", "leaf", "rank", "back", opening.alias("opening"), escaped(F.col("text")).alias("body"), (F.col("role") == trained).alias("trained"))
+    before = Window.partitionBy("tree", "leaf", "rank").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.char_length(F.concat("opening", "body")) + len(END)).over(before), F.lit(0))
+    span = F.struct((passed + F.char_length("opening")).cast("long").alias("start"), F.char_length("body").cast("long").alias("length"))
+    placed = rows.select("tree", "leaf", "rank", passed.alias("at"), F.concat("opening", "body", F.lit(END)).alias("piece"), F.when(F.col("trained"), span).alias("span"))
+    paths = placed.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "piece", "span"))).alias("turns"))
+    spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull())
+    return paths.select("tree", "leaf", "rank", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(text: Column) -> Column:
@@ -114,8 +107,20 @@ def read_turns(text: Column) -> Column:
 
 
 def read_loss(text: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The text under the loss mask, unescaped.
+
+    The text is cut once into blocks of ``BLOCK`` code points. A span is taken out of the blocks it touches, so reading
+    costs time in proportion to the text, not to the text times its spans.
+    """
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), spans.alias("spans"))
+
+    def covered(blocks: Column, span: Column) -> Column:
+        first, last = F.floor(span["start"] / BLOCK), F.floor((span["start"] + span["length"] - 1) / BLOCK)
+        touched = F.array_join(F.slice(blocks, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), "")
+        return F.substr(touched, (span["start"] - first * BLOCK + 1).cast("int"), span["length"].cast("int"))
+
+    # The array of one binds the blocks to a variable; named twice as columns they would be cut again for each span.
+    return F.transform(F.array(cut), lambda c: F.array_join(F.transform(c["spans"], lambda s: unescaped(covered(c["blocks"], s))), ""))[0]
 
 
 def chained(conversations: DataFrame) -> DataFrame:

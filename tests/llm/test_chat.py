@@ -1,6 +1,7 @@
 """Conversations read back exactly; paths of reply trees against brute force."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,26 @@ def test_conversations_round_trip(spark):
             assert got[c][0] == turns
 
 
+def test_long_conversations_take_linear_time(spark):
+    turns, block = 50_000, "<|" + "x" * 30 + "\U0001f600</s>"
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    text = F.when(F.col("id") % 1000 == 1, F.repeat(F.lit(block), 80)).otherwise(F.concat(F.lit(block), F.col("id").cast("string")))
+    df = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    began = time.monotonic()
+    out = format_paths(chained(df)).select(read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert time.monotonic() - began < 90
+    want = [block * 80 if i % 1000 == 1 else f"{block}{i}" for i in range(turns)]
+    assert [t.text for t in out.turns] == want and out.loss == "".join(want[1::2])
+
+
+def test_spans_over_block_borders(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "\U0001f600" for i in range(5000))
+    spans = [(0, 0), (0, 1), (1023, 2), (1024, 1024), (2047, 0), (2048, 2100), (4148, 852), (5000, 0)]
+    df = spark.createDataFrame([(text, spans), ("", [(0, 0)]), ("abc", [])], "t string, s array<struct<start: long, length: long>>")
+    got = [r[0] for r in df.select(read_loss(F.col("t"), F.col("s"))).collect()]
+    assert got == ["".join(text[a : a + n] for a, n in spans), "", ""]
+
+
 def test_best_paths_match_brute_force(spark):
     rng = random.Random(5)
     nodes, node = [], 0
