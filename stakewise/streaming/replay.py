@@ -1,71 +1,165 @@
-"""Replays as streams: one state per key, updated as rows arrive, equal to the batch folds."""
+"""Replays as streams: one state per key, updated as rows arrive, equal to the batch folds.
+
+``stream_inventory`` and ``stream_mass`` take rows that arrive in order from one batch to the next. ``late_inventory`` and
+``late_mass`` take them in any order within a delay: a key's rows wait in list state until the watermark has passed them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 REGULATION = 9
 STATE = "k int, inning int"
+MASSES = "m0 double, m1 double, m2 double, inning int"
+INVENTORY_OUT = {"before": "int32", "after": "int32", "invalid": "bool"}
+MASS_OUT = {c: "float64" for c in ("m0", "m1", "m2", "challenges", "captured")}
+SPARK_TYPES = {"int32": T.IntegerType(), "bool": T.BooleanType(), "float64": T.DoubleType()}
 
 
-def stream_inventory(rows: DataFrame, keys: list[str], order: list[str], initial: int = 2) -> DataFrame:
-    """(keys, order, before, after, invalid) of a stream of (keys, order, inning, outcome), appended as rows arrive.
+def inventory_step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    """The state (k, inning) behind ``rows`` (inning, outcome; in order), and (before, after, invalid) of each."""
+    k, last = state
+    made = []
+    for inning, outcome in zip(rows["inning"], rows["outcome"], strict=True):
+        if last is not None and inning != last and inning > REGULATION and k == 0:
+            k = 1
+        before = k
+        challenged = isinstance(outcome, str)
+        invalid = challenged and (k == 0 or outcome not in ("upheld", "overturned"))
+        if outcome == "upheld" and not invalid:
+            k -= 1
+        made.append((before, k, invalid))
+        last = int(inning)
+    return (int(k), last), made
+
+
+def mass_step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    """The state (m0, m1, m2, inning) behind ``rows`` (inning, p1, p2, success, stake; in order), and (m0, m1, m2,
+    challenges, captured) of each."""
+    m0, m1, m2, last = state
+    made = []
+    for inning, p1, p2, success, stake in zip(*[rows[c] for c in ("inning", "p1", "p2", "success", "stake")], strict=True):
+        if inning > REGULATION and (last is None or inning > last):
+            m0, m1 = 0.0, m1 + m0
+        c1, c2 = m1 * p1, m2 * p2
+        made.append((m0, m1, m2, c1 + c2, (c1 + c2) * stake if success else 0.0))
+        total = m0 + m1 + m2
+        if not success:
+            m0, m1, m2 = m0 + c1, m1 - c1 + c2, m2 - c2
+        m0, m1, m2 = (max(0.0, m) / total for m in (m0, m1, m2))
+        last = int(inning)
+    return (float(m0), float(m1), float(m2), last), made
 
-    Rows of a key must arrive in order from one batch to the next; inside a batch they are sorted. Give the source a
-    watermark and drop duplicates before, so that refetched rows do not count twice.
-    """
-    schema = T.StructType([*[rows.schema[c] for c in (*keys, *order)], T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("invalid", T.BooleanType())])
 
+def framed(rows: pd.DataFrame, kept: list[str], out: dict[str, str], made: list[tuple]) -> pd.DataFrame:
+    frame = rows[kept].reset_index(drop=True)
+    frame[list(out)] = made
+    return frame.astype(out)
+
+
+def written(rows: DataFrame, kept: list[str], out: dict[str, str]) -> T.StructType:
+    return T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, SPARK_TYPES[t]) for c, t in out.items()]])
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable, start: tuple, state_schema: str, out: dict[str, str]) -> DataFrame:
     def update(key, frames, state):
-        k, last = state.get if state.exists else (initial, None)
         rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for inning, outcome in zip(rows["inning"], rows["outcome"], strict=True):
-            if last is not None and inning != last and inning > REGULATION and k == 0:
-                k = 1
-            before = k
-            challenged = isinstance(outcome, str)
-            invalid = challenged and (k == 0 or outcome not in ("upheld", "overturned"))
-            if outcome == "upheld" and not invalid:
-                k -= 1
-            out.append((before, k, invalid))
-            last = int(inning)
-        state.update((int(k), last))
-        frame = rows[[*keys, *order]].reset_index(drop=True)
-        frame[["before", "after", "invalid"]] = out
-        yield frame.astype({"before": "int32", "after": "int32", "invalid": "bool"})
-
-    return rows.groupBy(*keys).applyInPandasWithState(update, schema, STATE, "append", "NoTimeout")
+        after, made = step(state.get if state.exists else start, rows)
+        state.update(after)
+        yield framed(rows, [*keys, *order], out, made)
 
+    return rows.groupBy(*keys).applyInPandasWithState(update, written(rows, [*keys, *order], out), state_schema, "append", "NoTimeout")
 
-MASSES = "m0 double, m1 double, m2 double, inning int"
+
+def stream_inventory(rows: DataFrame, keys: list[str], order: list[str], initial: int = 2) -> DataFrame:
+    """(keys, order, before, after, invalid) of a stream of (keys, order, inning, outcome), appended as rows arrive.
+
+    Rows of a key must arrive in order from one batch to the next; inside a batch they are sorted. Give the source a
+    watermark and drop duplicates before, so that refetched rows do not count twice.
+    """
+    return in_order(rows, keys, order, inventory_step, (initial, None), STATE, INVENTORY_OUT)
 
 
 def stream_mass(rows: DataFrame, keys: list[str], order: list[str], initial: int = 2) -> DataFrame:
     """(keys, order, m0, m1, m2, challenges, captured) of a stream of (keys, order, inning, p1, p2, success, stake): the
     expected replay of a policy, appended as rows arrive. The order of rows is as for ``stream_inventory``."""
-    out = ("m0", "m1", "m2", "challenges", "captured")
-    schema = T.StructType([*[rows.schema[c] for c in (*keys, *order)], *[T.StructField(c, T.DoubleType()) for c in out]])
+    return in_order(rows, keys, order, mass_step, (*[float(k == initial) for k in range(3)], None), MASSES, MASS_OUT)
 
-    def update(key, frames, state):
-        m0, m1, m2, last = state.get if state.exists else (*[float(k == initial) for k in range(3)], None)
-        rows = pd.concat(list(frames)).sort_values(order)
-        made = []
-        for inning, p1, p2, success, stake in zip(*[rows[c] for c in ("inning", "p1", "p2", "success", "stake")], strict=True):
-            if inning > REGULATION and (last is None or inning > last):
-                m0, m1 = 0.0, m1 + m0
-            c1, c2 = m1 * p1, m2 * p2
-            made.append((m0, m1, m2, c1 + c2, (c1 + c2) * stake if success else 0.0))
-            total = m0 + m1 + m2
-            if not success:
-                m0, m1, m2 = m0 + c1, m1 - c1 + c2, m2 - c2
-            m0, m1, m2 = (max(0.0, m) / total for m in (m0, m1, m2))
-            last = int(inning)
-        state.update((float(m0), float(m1), float(m2), last))
-        frame = rows[[*keys, *order]].reset_index(drop=True)
-        frame[list(out)] = made
-        yield frame
-
-    return rows.groupBy(*keys).applyInPandasWithState(update, schema, MASSES, "append", "NoTimeout")
+
+class InTurn(StatefulProcessor):
+    """Folds a key's rows in the order of (``at``, order) however they arrive.
+
+    Rows wait in list state. An event-time timer at the earliest of them fires when the watermark has passed it; then all
+    rows up to the watermark are folded and the others wait on. A row that is fetched again while it waits counts once,
+    as it was fetched last; behind the watermark it is late, and dropped. What waits is bounded by the rows of the delay.
+    """
+
+    def __init__(self, keys: list[str], order: list[str], held: T.StructType, step: Callable, start: tuple, state_schema: str, out: dict[str, str]):
+        self.keys, self.order, self.held, self.step, self.start, self.state_schema, self.out = keys, order, held, step, start, state_schema, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.held)
+        self.folded = handle.getValueState("folded", self.state_schema)
+        self.passed = handle.getValueState("passed", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = self.passed.get()[0] if self.passed.exists() else None
+        for frame in rows:
+            new = frame if passed is None else frame[frame["at"] > passed]
+            if len(new):
+                values = new[self.held.names].astype(object)
+                self.waiting.appendList(list(values.where(values.notna(), None).itertuples(index=False, name=None)))
+                self.wake(new["at"])
+        return iter(())
+
+    def wake(self, at: pd.Series) -> None:
+        self.handle.registerTimer(-(-int(at.min()) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.held.names)
+        due = rows["at"] <= limit
+        if not due.any():
+            return
+        ready = rows[due].drop_duplicates(["at", *self.order], keep="last").sort_values(["at", *self.order])
+        after, made = self.step(self.folded.get() if self.folded.exists() else self.start, ready)
+        self.folded.update(after)
+        self.passed.update((limit,))
+        if due.all():
+            self.waiting.clear()
+        else:
+            rest = rows[~due].astype(object)
+            self.waiting.put(list(rest.where(rest.notna(), None).itertuples(index=False, name=None)))
+            self.wake(rows["at"][~due])
+        ready = ready.assign(**dict(zip(self.keys, key, strict=True)))
+        yield framed(ready, [*self.keys, *self.order], self.out, made)
+
+
+def in_turn(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, step: Callable, start: tuple, state_schema: str, out: dict[str, str]) -> DataFrame:
+    rows = rows.withColumn("at", F.unix_micros(time)).withWatermark(time, delay)
+    held = T.StructType([f for f in rows.schema.fields if f.name not in (*keys, time)])
+    processor = InTurn(keys, order, held, step, start, state_schema, out)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, written(rows, [*keys, *order], out), "append", "EventTime")
+
+
+def late_inventory(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, initial: int = 2) -> DataFrame:
+    """``stream_inventory`` of (keys, time, order, inning, outcome) whose rows may be up to ``delay`` late and repeat.
+
+    Rows are ordered by time, then by ``order``, which together name a row of a key. A row's result is appended once the
+    watermark has passed it. The session needs RocksDB as its state store. Rows without a
+    time never count.
+    """
+    return in_turn(rows.filter(F.col(time).isNotNull()), keys, time, order, delay, inventory_step, (initial, None), STATE, INVENTORY_OUT)
+
+
+def late_mass(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, initial: int = 2) -> DataFrame:
+    """``stream_mass`` of (keys, time, order, inning, p1, p2, success, stake); rows may be late as for ``late_inventory``."""
+    start = (*[float(k == initial) for k in range(3)], None)
+    return in_turn(rows.filter(F.col(time).isNotNull()), keys, time, order, delay, mass_step, start, MASSES, MASS_OUT)
