@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stakewise.operators import prior, resample, stats, tables
+from stakewise.operators.mixtures import mixtures, training_counts
 from stakewise.plans.base import KEYS, T, query, rounded, table, timeline
 
 CELLS = """cell AS (SELECT l_returnflag, l_linestatus, l_linenumber, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY ALL),
@@ -260,3 +261,56 @@ def one_error_rule(spark, sf):
     t = timeline(spark, sf).select("game", "margin", F.explode(F.array(*map(F.lit, (0, 50, 100, 200, 400)))).alias("alpha"))
     scored = t.withColumn("score", F.abs(F.col("margin") - 0.1) / (1 + F.abs(F.col("alpha") - 100) / 400.0))
     return rounded(prior.largest_within_one_error(scored, "alpha", "score", "game"))
+
+
+ROUNDS = 12
+MIXTURES = f"""
+WITH RECURSIVE cells AS (
+    SELECT user_id % 4 AS fold, floor(value / 2.0) * 2.0 AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL
+), counts AS MATERIALIZED (
+    SELECT f, v, sum(n)::DOUBLE AS n FROM cells JOIN (SELECT DISTINCT fold AS f FROM cells) ON f != fold GROUP BY ALL
+), b AS (
+    SELECT *, (sum(n) OVER (PARTITION BY f ORDER BY v) - n / 2) / sum(n) OVER (PARTITION BY f) AS below FROM counts
+), placed AS (
+    SELECT *, lag(v) OVER (PARTITION BY f ORDER BY v) AS v0, lag(below) OVER (PARTITION BY f ORDER BY v) AS below0 FROM b
+), wanted AS (
+    SELECT k, i, (i + 0.5::DOUBLE) / k AS q FROM range(1, 4) a(k), range(0, 3) c(i) WHERE i < k
+), centres AS (
+    SELECT f, sum(n) AS n, sum(v * n) / sum(n) AS centre FROM counts GROUP BY f
+), spreads AS (
+    SELECT f, sqrt(sum((v - centre) ** 2 * c.n) / max(m.n)) AS spread FROM counts c JOIN centres m USING (f) GROUP BY f
+), starts AS (
+    SELECT f, k, i, coalesce(max(CASE WHEN coalesce(below0, -1) < q AND below >= q THEN
+        CASE WHEN below0 IS NULL THEN v ELSE v0 + (q - below0) / (below - below0) * (v - v0) END END), max(v)) AS mean
+    FROM placed, wanted GROUP BY f, k, i
+), r AS (
+    SELECT 0 AS step, f, k, i, 1.0::DOUBLE / k AS weight, mean, greatest(spread / k, 0.05::DOUBLE) AS sd, NULL::DOUBLE AS value
+    FROM starts JOIN spreads USING (f)
+    UNION ALL
+    SELECT step + 1, f, k, i, s / sum(s) OVER (PARTITION BY f, k), (s1 + mean * s0) / s,
+        greatest(sqrt(greatest(s2 - 2 * ((s1 + mean * s0) / s - mean) * s1 + ((s1 + mean * s0) / s - mean) ** 2 * s0, 0) / s), 0.05), value
+    FROM (
+        SELECT step, f, k, i, mean, sum(share) AS s0, sum(share) + 0.001::DOUBLE AS s, sum(share * (v - mean)) AS s1,
+            sum(share * (v - mean) ** 2) AS s2, sum(total * n) AS value
+        FROM (
+            SELECT *, exp(log_part - total) * n AS share FROM (
+                SELECT *, top + ln(sum(exp(log_part - top)) OVER (PARTITION BY f, k, v)) AS total FROM (
+                    SELECT *, max(log_part) OVER (PARTITION BY f, k, v) AS top FROM (
+                        SELECT r.*, v, n, -(((v - mean) / sd) ** 2) / 2 - ln(sd) + ln(weight) - 0.9189385332046727 AS log_part
+                        FROM r JOIN counts USING (f) WHERE step < {ROUNDS}))))
+        GROUP BY step, f, k, i, mean)
+)
+SELECT f, k, row_number() OVER (PARTITION BY f, k ORDER BY mean) - 1 AS component, round(weight, 6) AS weight, round(mean, 6) AS mean, round(sd, 6) AS sd,
+    round(value / (SELECT sum(n) FROM counts c WHERE c.f = r.f), 6) AS log_likelihood
+FROM r WHERE step = {ROUNDS}
+"""
+
+
+@query("n2_fold_mixtures", MIXTURES)
+def fold_mixtures(spark, sf):
+    """Mixtures of 1 to 3 components of the stakes, for every fold of users at once, after a fixed number of rounds; the
+    log likelihood is a row's mean."""
+    rows = table(spark, sf, "events").select((F.col("user_id") % 4).alias("fold"), "value").cache()
+    parts = mixtures(rows, "fold", "value", 3, width=2.0, rounds=ROUNDS, tolerance=-1.0)
+    sizes = training_counts(rows, "fold", "value", 2.0).groupBy("f").agg(F.sum("n").alias("n"))
+    return rounded(parts.join(sizes, "f").select("f", "k", "component", "weight", "mean", "sd", (F.col("log_likelihood") / F.col("n")).alias("log_likelihood")))
