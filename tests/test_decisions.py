@@ -171,3 +171,21 @@ def test_reverse_sweeps_equal_policy_iteration(spark):
     want, got = decision.PolicyValues(df, tolerance=1e-10), decision.SweptValues(df, tolerance=1e-10)
     assert got.arrival == pytest.approx(want.arrival, abs=1e-8) and got.marginal == pytest.approx(want.marginal, abs=1e-8)
     assert (got.arrival[:, 2] >= got.arrival[:, 1]).all() and got.rounds <= 3 and got.evaluations < 120
+
+
+@pytest.mark.parametrize("segment", [256, 3])
+def test_candidates_on_segments_equal_the_replay(spark, monkeypatch, segment):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(6):
+        for i in range(1, 2 + 2 * g):
+            rows.append((f"g{g}", "ab"[g % 2], i, 7 + i // 2, float(rng.integers(0, 100)) / 100, float(rng.normal(1, 2)), bool(rng.random() < 0.4)))
+    t = spark.createDataFrame(rows, "game string, scenario string, pitch_order int, inning int, p double, stake double, success boolean")
+    monkeypatch.setattr(policy, "SEGMENT", segment)
+    points = [(0.0, 0.0), (0.6, 0.2), (3.0, 1.0)]
+    got = {(r.candidate, r.scenario): r.value for r in policy.candidate_values(policy.segments(t, ["game"], "scenario"), points, ["game"], "scenario").collect()}
+    assert len(got) == 6
+    for i, (l1, l2) in enumerate(points):
+        acts = policy.public_thresholds(t, "p", "stake", {1: F.lit(l1), 2: F.lit(l2)})
+        for r in policy.mass_replay(acts, ["scenario", "game"], ["pitch_order"]).groupBy("scenario").agg(F.sum("state.captured").alias("value")).collect():
+            assert got[i, r.scenario] == pytest.approx(r.value, abs=1e-8)
