@@ -61,8 +61,9 @@ T = """b AS (
 
 
 def nearest(value, places: int):
-    """A non-negative double rounded as a double, not by its decimal digits: short decimals often lie right between two."""
-    return F.floor(value * 10.0**places + 0.5) / 10.0**places
+    """A double rounded as a double, halves away from zero, not by its decimal digits: short decimals often lie right
+    between two."""
+    return F.signum(value) * F.floor(F.abs(value) * 10.0**places + 0.5) / 10.0**places
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -163,9 +163,9 @@ def bellman_values(spark, sf):
 @query("m3_actions", f"WITH {T} SELECT event_id, round(p * stake - (1 - p) * inning / 10.0::DOUBLE, 6) AS advantage, round(CASE WHEN stake > 0 THEN (inning / 10.0::DOUBLE) / (stake + inning / 10.0::DOUBLE) END, 6) AS threshold, p * stake - (1 - p) * inning / 10.0::DOUBLE > 0 AND stake > 0 AS act FROM t")
 def actions(spark, sf):
     """Advantage of a challenge and the least probability worth one."""
-    m = F.col("inning") / 10.0
-    gain = decision.advantage(F.col("p"), F.col("stake"), m)
-    return rounded(timeline(spark, sf).select("event_id", gain.alias("advantage"), decision.threshold(F.col("stake"), m).alias("threshold"), ((gain > 0) & (F.col("stake") > 0)).alias("act")))
+    gain = decision.advantage(F.col("p"), F.col("stake"), F.col("inning"), 10.0)
+    least = decision.threshold(F.col("stake"), F.col("inning") / 10.0)
+    return timeline(spark, sf).select("event_id", nearest(gain, 6).alias("advantage"), nearest(least, 6).alias("threshold"), ((gain > 0) & (F.col("stake") > 0)).alias("act"))
 
 
 @query(
