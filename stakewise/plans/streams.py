@@ -12,14 +12,48 @@ from stakewise.sources.readers import scratch
 from stakewise.streaming.replay import late_inventory, late_mass, stream_inventory, stream_mass
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
+#: Rows of the whole stream for each partition of its state.
+ROWS_A_PARTITION = 50_000
+
+
+@contextlib.contextmanager
+def settings(spark, wanted: dict[str, str]):
+    """Settings of the streams started inside."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def rocksdb(spark):
+    """RocksDB as the state store of the streams started inside, off the executors' heaps."""
+    return settings(spark, {PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+
+
+def partitioned(spark, count: int):
+    """A state of as many partitions as ``count`` rows need, one a core at least and the session's number at most: each is a task
+    and a committed file in every batch, and the number stays with the checkpoint."""
+    cores, most = spark.sparkContext.defaultParallelism, int(spark.conf.get(PARTITIONS))
+    return settings(spark, {PARTITIONS: str(min(most, max(cores, -(-count // ROWS_A_PARTITION))))})
+
+
 def streamed(spark, rows, replay, cut: int = 8):
     """What ``replay`` makes of ``rows`` as a stream: those up to ``cut`` arrive first, the others in a second run."""
     source, state, out = (scratch(spark, n) for n in ("source", "state", "out"))
-    for part in (F.col("pitch_order") <= cut, F.col("pitch_order") > cut):
-        rows.filter(part).write.mode("append").parquet(source)
-        stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, ORDER)
-        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-        run.awaitTermination()
+    rows = rows.cache()
+    with partitioned(spark, rows.count()):
+        for part in (F.col("pitch_order") <= cut, F.col("pitch_order") > cut):
+            rows.filter(part).write.mode("append").parquet(source)
+            stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, ORDER)
+            run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+            run.awaitTermination()
+    rows.unpersist()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -37,20 +71,6 @@ def mass_stream(spark, sf):
     return out.select(*KEYS, F.col("pitch_order").cast("long").alias("pitch_order"), *[nearest(F.col(c), 8).alias(c) for c in ("m0", "m1", "m2", "challenges")], nearest(F.col("captured"), 6).alias("captured"))
 
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-@contextlib.contextmanager
-def rocksdb(spark):
-    """RocksDB as the state store of the streams started inside, which keyed lists and timers need."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-
-
 def streamed_late(spark, rows, replay, hours: int = 6):
     """What ``replay`` makes of ``rows`` as a stream out of order, in runs from one checkpoint.
 
@@ -61,19 +81,21 @@ def streamed_late(spark, rows, replay, hours: int = 6):
     source, state, out = (scratch(spark, n) for n in ("source", "state", "out"))
     dice, late = F.xxhash64("event_id"), hours * 3_600_000_000
     arrives = F.unix_micros("ts") + F.pmod(dice, F.lit(late))
-    first, last = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    rows = rows.cache()
+    first, last, count = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.count("*")).first()
     if first is None:
         return spark.createDataFrame([], replay(rows, KEYS, "ts", ORDER, f"{hours} hours").schema)
     middle = (first + last) // 2
     again = F.pmod(F.shiftright(dice, 40), F.lit(8)) == 0
     closing = spark.range(1).select(*[(F.timestamp_micros(F.lit(last + 2 * late)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     parts = [rows.filter(arrives <= middle), rows.filter((arrives > middle) | again), rows.filter(again).unionByName(closing)]
-    with rocksdb(spark):
+    with rocksdb(spark), partitioned(spark, count):
         for part in parts:
             part.write.mode("append").parquet(source)
             stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, "ts", ORDER, f"{hours} hours")
             run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
             run.awaitTermination()
+    rows.unpersist()
     return spark.read.schema(stream.schema).parquet(out)
 
 

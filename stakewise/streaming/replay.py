@@ -1,18 +1,19 @@
 """Replays as streams: one state per key, updated as rows arrive, equal to the batch folds.
 
 ``stream_inventory`` and ``stream_mass`` take rows that arrive in order from one batch to the next. ``late_inventory`` and
-``late_mass`` take them in any order within a delay: a key's rows wait in list state until the watermark has passed them.
+``late_mass`` take them in any order within a delay: a key's rows wait in its state until the watermark has passed them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 REGULATION = 9
 STATE = "k int, inning int"
@@ -22,7 +23,7 @@ MASS_OUT = {c: "float64" for c in ("m0", "m1", "m2", "challenges", "captured")}
 SPARK_TYPES = {"int32": T.IntegerType(), "bool": T.BooleanType(), "float64": T.DoubleType()}
 
 
-def inventory_step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+def inventory_step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list[tuple]]:
     """The state (k, inning) behind ``rows`` (inning, outcome; in order), and (before, after, invalid) of each."""
     k, last = state
     made = []
@@ -39,7 +40,7 @@ def inventory_step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]
     return (int(k), last), made
 
 
-def mass_step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+def mass_step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list[tuple]]:
     """The state (m0, m1, m2, inning) behind ``rows`` (inning, p1, p2, success, stake; in order), and (m0, m1, m2,
     challenges, captured) of each."""
     m0, m1, m2, last = state
@@ -57,22 +58,30 @@ def mass_step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
     return (float(m0), float(m1), float(m2), last), made
 
 
-def framed(rows: pd.DataFrame, kept: list[str], out: dict[str, str], made: list[tuple]) -> pd.DataFrame:
-    frame = rows[kept].reset_index(drop=True)
-    frame[list(out)] = made
-    return frame.astype(out)
+def framed(key: tuple, keys: list[str], rows: dict[str, list], order: list[str], out: dict[str, str], made: list[tuple]) -> pd.DataFrame:
+    columns = {c: [v] * len(made) for c, v in zip(keys, key, strict=True)} | {c: rows[c] for c in order}
+    return pd.DataFrame(columns | {c: np.array(v, t) for (c, t), v in zip(out.items(), zip(*made, strict=True), strict=True)})
 
 
 def written(rows: DataFrame, kept: list[str], out: dict[str, str]) -> T.StructType:
     return T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, SPARK_TYPES[t]) for c, t in out.items()]])
 
 
+def listed(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple]:
+    """The rows of a key as tuples of ``names``; a key has few, so they are lists, not frames."""
+    for frame in frames:
+        yield from zip(*[frame[c].tolist() for c in names], strict=True)
+
+
 def in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable, start: tuple, state_schema: str, out: dict[str, str]) -> DataFrame:
+    names = [*order, *[c for c in rows.columns if c not in keys and c not in order]]
+
     def update(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values(order)
-        after, made = step(state.get if state.exists else start, rows)
+        ready = sorted(listed(frames, names), key=lambda r: r[: len(order)])
+        columns = dict(zip(names, map(list, zip(*ready, strict=True)), strict=True))
+        after, made = step(state.get if state.exists else start, columns)
         state.update(after)
-        yield framed(rows, [*keys, *order], out, made)
+        yield framed(key, keys, columns, order, out, made)
 
     return rows.groupBy(*keys).applyInPandasWithState(update, written(rows, [*keys, *order], out), state_schema, "append", "NoTimeout")
 
@@ -92,69 +101,46 @@ def stream_mass(rows: DataFrame, keys: list[str], order: list[str], initial: int
     return in_order(rows, keys, order, mass_step, (*[float(k == initial) for k in range(3)], None), MASSES, MASS_OUT)
 
 
-class InTurn(StatefulProcessor):
-    """Folds a key's rows in the order of (``at``, order) however they arrive.
+def in_turn(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, step: Callable, start: tuple, state_schema: str, out: dict[str, str]) -> DataFrame:
+    """Folds a key's rows in the order of (time, order) however they arrive.
 
-    Rows wait in list state. An event-time timer at the earliest of them fires when the watermark has passed it; then all
-    rows up to the watermark are folded and the others wait on. A row that is fetched again while it waits counts once,
-    as it was fetched last; behind the watermark it is late, and dropped. What waits is bounded by the rows of the delay.
+    Rows wait in the key's state, all of a key's as one value, until an event-time timeout at the earliest of them shows that the
+    watermark has passed it; then all rows up to the watermark are folded and the others wait on. A row that is fetched again
+    while it waits counts once, as it was fetched last; behind the watermark it is late, and dropped. What waits is bounded by
+    the rows of the delay.
     """
-
-    def __init__(self, keys: list[str], order: list[str], held: T.StructType, step: Callable, start: tuple, state_schema: str, out: dict[str, str]):
-        self.keys, self.order, self.held, self.step, self.start, self.state_schema, self.out = keys, order, held, step, start, state_schema, out
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.held)
-        self.folded = handle.getValueState("folded", self.state_schema)
-        self.passed = handle.getValueState("passed", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = self.passed.get()[0] if self.passed.exists() else None
-        for frame in rows:
-            new = frame if passed is None else frame[frame["at"] > passed]
-            if len(new):
-                values = new[self.held.names].astype(object)
-                self.waiting.appendList(list(values.where(values.notna(), None).itertuples(index=False, name=None)))
-                self.wake(new["at"])
-        return iter(())
-
-    def wake(self, at: pd.Series) -> None:
-        self.handle.registerTimer(-(-int(at.min()) // 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.held.names)
-        due = rows["at"] <= limit
-        if not due.any():
-            return
-        ready = rows[due].drop_duplicates(["at", *self.order], keep="last").sort_values(["at", *self.order])
-        after, made = self.step(self.folded.get() if self.folded.exists() else self.start, ready)
-        self.folded.update(after)
-        self.passed.update((limit,))
-        if due.all():
-            self.waiting.clear()
-        else:
-            rest = rows[~due].astype(object)
-            self.waiting.put(list(rest.where(rest.notna(), None).itertuples(index=False, name=None)))
-            self.wake(rows["at"][~due])
-        ready = ready.assign(**dict(zip(self.keys, key, strict=True)))
-        yield framed(ready, [*self.keys, *self.order], self.out, made)
-
-
-def in_turn(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, step: Callable, start: tuple, state_schema: str, out: dict[str, str]) -> DataFrame:
+    names = ["at", *order, *[c for c in rows.columns if c not in keys and c not in order and c != time]]
     rows = rows.withColumn("at", F.unix_micros(time)).withWatermark(time, delay)
-    held = T.StructType([f for f in rows.schema.fields if f.name not in (*keys, time)])
-    processor = InTurn(keys, order, held, step, start, state_schema, out)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, written(rows, [*keys, *order], out), "append", "EventTime")
+    wide = 1 + len(order)
+
+    def update(key, frames, state):
+        *folded, passed, held = state.get if state.exists else (*start, None, None)
+        waiting = pickle.loads(held) if held else {}
+        if not state.hasTimedOut:
+            waiting.update((r[:wide], r[wide:]) for r in listed(frames, names) if passed is None or r[0] > passed)
+        limit = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(at for at in waiting if at[0] <= limit)
+        if ready:
+            columns = dict(zip(names, map(list, zip(*[at + waiting.pop(at) for at in ready], strict=True)), strict=True))
+            folded, made = step(tuple(folded), columns)
+            passed = limit
+        state.update((*folded, passed, pickle.dumps(waiting) if waiting else None))
+        if waiting:
+            # a timeout fires when the watermark is beyond it, and a row is due when the watermark has reached it
+            state.setTimeoutTimestamp(-(-min(waiting)[0] // 1000) - 1)
+        if ready:
+            yield framed(key, keys, columns, order, out, made)
+
+    schema = f"{state_schema}, passed long, waiting binary"
+    return rows.groupBy(*keys).applyInPandasWithState(update, written(rows, [*keys, *order], out), schema, "append", "EventTimeTimeout")
 
 
 def late_inventory(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, initial: int = 2) -> DataFrame:
     """``stream_inventory`` of (keys, time, order, inning, outcome) whose rows may be up to ``delay`` late and repeat.
 
     Rows are ordered by time, then by ``order``, which together name a row of a key. A row's result is appended once the
-    watermark has passed it. The session needs RocksDB as its state store. Rows without a
-    time never count.
+    watermark has passed it. RocksDB as the session's state store keeps what waits out of the executors'
+    heaps. Rows without a time never count.
     """
     return in_turn(rows.filter(F.col(time).isNotNull()), keys, time, order, delay, inventory_step, (initial, None), STATE, INVENTORY_OUT)
 

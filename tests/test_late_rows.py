@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from stakewise.plans.streams import rocksdb, streamed_late
+from stakewise.plans.streams import PARTITIONS, partitioned, rocksdb, streamed_late
 from stakewise.sources.readers import scratch
 from stakewise.streaming.replay import late_inventory, late_mass
 
@@ -52,3 +52,25 @@ def test_empty_table(spark):
     rows = spark.createDataFrame([], "game string, team long, ts timestamp, event_id long, pitch_order int, inning int, p1 double, p2 double, success boolean, stake double")
     assert streamed_late(spark, rows, late_mass).count() == 0
     assert streamed_late(spark, rows.select("game", "team", "ts", "event_id", "pitch_order", "inning", F.lit("x").alias("outcome")), late_inventory).count() == 0
+
+
+def test_late_rows_need_no_state_store_of_their_own(spark):
+    source, state, out = (scratch(spark, n) for n in ("source", "state", "out"))
+    for batch in ([("a", at(30), 2, 1, "upheld"), ("a", at(10), 1, 1, None)], [(None, at(9000), 1, 1, None)]):
+        spark.createDataFrame(batch, ROW).coalesce(1).write.mode("append").parquet(source)
+        stream = late_inventory(spark.readStream.schema(ROW).parquet(source), ["g"], "ts", ["i"], "2 hours")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.g, r.i): (r.before, r.after) for r in spark.read.schema(stream.schema).parquet(out).collect()} == {("a", 1): (2, 2), ("a", 2): (2, 1)}
+
+
+def test_state_has_partitions_by_rows(spark):
+    before = spark.conf.get(PARTITIONS)
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set(PARTITIONS, "200")
+        for count, want in ((0, cores), (1_000_000, 20), (10**9, 200)):
+            with partitioned(spark, count):
+                assert spark.conf.get(PARTITIONS) == str(want)
+        assert spark.conf.get(PARTITIONS) == "200"
+    finally:
+        spark.conf.set(PARTITIONS, before)
