@@ -135,10 +135,11 @@ class Levels:
         """The level of each row; -1 for other values. Levels are in sorted order."""
         if not self.levels:
             return np.full(len(x[self.column]), -1)
-        values = np.array(["" if v is None else str(v) for v in x[self.column]])
-        levels = np.array(self.levels)
-        at = np.minimum(np.searchsorted(levels, values), len(levels) - 1)
-        return np.where(levels[at] == values, at, -1)
+        # each different value is looked up once
+        codes, found = pd.factorize(np.asarray(x[self.column], object))
+        place = {level: at for at, level in enumerate(self.levels)}
+        places = np.array([*(place.get(str(v), -1) for v in found), place.get("", -1)])
+        return places[codes]
 
     def basis(self, x: dict[str, np.ndarray]) -> np.ndarray:
         at = self.places(x)
@@ -267,7 +268,8 @@ class Sums:
         self.dense = np.zeros((self.width, self.width))
         self.response = np.zeros(model.size)
         self.mixed = [np.zeros((t.size, self.width)) for t in model.effects]
-        self.crossed: dict[tuple[int, int], dict[tuple[int, int], float]] = {}
+        # at most MOST ** 2 / 4 cells in a table
+        self.crossed = {(e, f): np.zeros(t.size * u.size) for e, t in enumerate(model.effects) for f, u in enumerate(model.effects) if e < f}
         self.rest = np.zeros(REST)
 
     def add(self, x: dict[str, np.ndarray], y: np.ndarray, family: str, dispersion: float) -> None:
@@ -282,14 +284,13 @@ class Sums:
             self.rest[3:] += np.log(above).sum(), ((y + dispersion) / above).sum(), (1 / above).sum(), ((y + dispersion) / above**2).sum()
         for e, at in enumerate(places):
             fine = at >= 0
-            np.add.at(self.mixed[e], at[fine], weighted[fine])
+            cells = (at[fine, None] * self.width + np.arange(self.width)).ravel()
+            self.mixed[e] += np.bincount(cells, weighted[fine].ravel(), self.mixed[e].size).reshape(self.mixed[e].shape)
             self.response[self.low[e] : self.low[e] + self.model.effects[e].size] += np.bincount(at[fine], (w * z)[fine], self.model.effects[e].size)
             for f in range(e + 1, len(places)):
                 both = fine & (places[f] >= 0)
-                key, inverse = np.unique(at[both].astype(np.int64) * MOST + places[f][both], return_inverse=True)
-                held = self.crossed.setdefault((e, f), {})
-                for k, s in zip(key.tolist(), np.bincount(inverse, w[both]).tolist(), strict=True):
-                    held[k] = held.get(k, 0.0) + s
+                key, inverse = np.unique(at[both] * self.model.effects[f].size + places[f][both], return_inverse=True)
+                self.crossed[e, f][key] += np.bincount(inverse, w[both], len(key))
 
     def rows(self) -> pa.RecordBatch:
         """(i, j, value) of all sums that are not zero; j = -1 marks the response, i = -1 the rest."""
@@ -302,8 +303,8 @@ class Sums:
             own = np.flatnonzero(table[:, 0])
             parts.append((self.low[e] + own, self.low[e] + own, table[own, 0]))
         for (e, f), held in self.crossed.items():
-            key = np.array(list(held), np.int64)
-            parts.append((self.low[e] + key // MOST, self.low[f] + key % MOST, np.array(list(held.values()))))
+            key, wide = np.flatnonzero(held), self.model.effects[f].size
+            parts.append((self.low[e] + key // wide, self.low[f] + key % wide, held[key]))
         filled = np.flatnonzero(self.response)
         parts.append((filled, np.full(len(filled), -1), self.response[filled]))
         kept = np.flatnonzero((np.arange(REST) < 3) | (self.rest != 0))

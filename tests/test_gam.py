@@ -144,3 +144,15 @@ def test_counts_above():
 
     rest = np.array([0, 0, 4.0, *[0] * 4])
     assert dispersion_step(1.0, np.array([3.0, 1.0]), rest) > 0
+
+
+def test_each_different_level_is_looked_up_once():
+    class Counted(str):
+        looked = 0
+
+        def __str__(self):
+            Counted.looked += 1
+            return str.__str__(self)
+
+    values = np.array([Counted("b"), None, Counted("z")] * 500, object)
+    assert gam.Levels("c", ["a", "b"]).places({"c": values}).tolist() == [1, -1, -1] * 500 and Counted.looked == 2
