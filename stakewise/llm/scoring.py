@@ -12,10 +12,11 @@ context's, plus a bias. Inside a shared unit a word has its add-one share, so ev
 them sum to one.
 
 1. One pass counts words over all training texts. The table grows with the corpus and stays distributed.
-2. ``ROUNDS`` passes, each over another part of the training texts, train the model: every task goes through its texts
+2. One pass writes every text's units, so that later passes neither split nor look up its words again.
+3. ``ROUNDS`` passes, each over another part of the training texts, train the model: every task goes through its texts
    in minibatches, contrasts each observed class and unit with ``NOISE`` draws from their frequencies, and adds up its
    vectors, weighted by how often it met their unit. Spark adds these sums by blocks, and the means start the next round.
-3. One pass scores all texts with products of whole batches, normalised over classes and over the units of a class.
+4. One pass scores all texts with products of whole batches, normalised over classes and over the units of a class.
 
 What travels with the tasks is bounded by ``LEXICON`` words: their counts (rarer ones are joined to the counts table by
 word) and, as far as they have units of their own, their vectors. Below 5e12 training tokens the bound on own words is
@@ -95,6 +96,8 @@ class Vocabulary:
         self.units[own] = number[SHARED + 1 :]
         if first:
             self.units[0] = self.end
+        #: numbers in which units are written
+        self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.is_shared = np.zeros(self.size, bool)
         self.is_shared[self.of_suffix] = True
         #: log10 of a shared unit's words, each counted once more, and one for all that were never seen
@@ -116,9 +119,17 @@ class Vocabulary:
         return at, units
 
 
+def ordering(values: np.ndarray, below: int) -> np.ndarray:
+    """What sorts values from 0 to ``below``; two bytes are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
 def run_sums(ordered: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array, and the sums of each one's rows."""
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    if rows.dtype == np.float32 and rows.shape[1] % 2 == 0:
+        # two columns at once, as complex numbers: a step for every run and column is what takes time
+        return ordered[starts], np.add.reduceat(rows.view(np.complex64), starts, axis=0).view(np.float32)
     return ordered[starts], np.add.reduceat(rows, starts, axis=0)
 
 
@@ -150,98 +161,140 @@ class Model:
     def rows_of(self, kind: int) -> slice:
         return slice(kind * self.width, min((kind + 1) * self.width, len(self.unit)))
 
-    def hidden(self, units: np.ndarray, places: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Context units (nearest first), their vectors, and the context's vector and a one, of ``places`` in ``units``."""
-        before = [units[places - k] for k in range(1, len(self.weight) + 1)]
-        vectors = [self.context[x] for x in before]
-        h = np.ones((len(places), self.rank + 1), np.float32)
-        h[:, :-1] = vectors[0] * self.weight[0]
-        for v, w in zip(vectors[1:], self.weight[1:], strict=True):
-            h[:, :-1] += v * w
-        return before, vectors, h
+    def weighted(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """Context vectors weighted by distance, nearest first; their sum over a context has a one behind it."""
+        tables = []
+        for k, weight in enumerate(self.weight):
+            table = np.full((len(vectors), self.rank + 1), k == 0, np.float32)
+            np.multiply(vectors, weight, out=table[:, :-1])
+            tables.append(table)
+        return tables
 
     def log_probabilities(self, units: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Natural log P(unit | units before) at ``places`` of ``units``, normalised."""
-        out = np.empty(len(places))
+        out, tables = np.empty(len(places)), self.weighted(self.context)
         for at in range(0, len(places), SLICE):
             part = places[at : at + SLICE]
-            order = np.argsort(units[part])
-            target = units[part[order]]
+            order = ordering(units[part], len(self.unit))
+            part = part[order]
+            target = units[part]
             kind = target // self.width
-            h = self.hidden(units, part[order])[2]
+            h = hidden(tables, [units[part - k] for k in range(1, len(tables) + 1)])
             logs = picked(h, self.kind, kind)
             for k, a, b in segments(kind):
                 logs[a:b] += picked(h[a:b], self.unit[self.rows_of(k)], target[a:b] - k * self.width)
             out[at + order] = logs
         return out
 
-    def contrast(self, table: str, chosen: slice, h: np.ndarray, target: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """Slopes by ``h`` and by the ``chosen`` rows of a table of the noise-contrastive objective: each target, in order,
-        against ``noise`` draws from the rows' frequencies, shared by the batch."""
-        rows, bar = getattr(self, table)[chosen], self.bar[table][chosen]
-        drawn = rng.multinomial(self.noise, self.share[table][chosen])
-        among = np.flatnonzero(drawn)
-        kept, own = rows[among], rows[target]
-        noise = sigmoid(h @ kept.T - bar[among]) * -drawn[among].astype(np.float32)
-        data = 1 - sigmoid(np.einsum("bd,bd->b", h, own) - bar[target])
-        slope = np.zeros_like(rows)
-        slope[among] = noise.T @ h
-        index, sums = run_sums(target, h * data[:, None])
-        slope[index] += sums
-        own *= data[:, None]
-        own += noise @ kept
-        return own, slope
+    def barred(self, table: str) -> np.ndarray:
+        """A table's rows, whose biases are less by what a score has to exceed."""
+        rows = getattr(self, table).copy()
+        rows[:, -1] -= self.bar[table]
+        return rows
 
     def learn(self, units: np.ndarray, places: np.ndarray, steps: dict[str, np.ndarray], rng) -> None:
-        """One minibatch: the slopes' steps, divided by the roots of the sums of squares in ``steps``."""
-        places = places[np.argsort(units[places])]
+        """One minibatch of the noise-contrastive objective: each observed class and unit against ``noise`` draws from the
+        frequencies, shared by the batch. Its slopes' steps are divided by the roots of the sums of squares in ``steps``."""
+        places = places[ordering(units[places], len(self.unit))]
         target = units[places]
         kind = target // self.width
-        before, vectors, h = self.hidden(units, places)
-        by_h, slope = self.contrast("kind", slice(None), h, kind, rng)
-        self.step("kind", steps, slice(None), slope)
+        before = [units[places - k] for k in range(1, len(self.weight) + 1)]
+        met = np.zeros(len(self.context), bool)
+        for units_k in before:
+            met[units_k] = True
+        met = np.flatnonzero(met)
+        place = np.empty(len(self.context), np.int64)
+        place[met] = np.arange(len(met))
+        before = [place[units_k] for units_k in before]
+        vectors = self.context[met]
+        h = hidden(self.weighted(vectors), before)
+        kinds, rows = self.barred("kind"), self.barred("unit")
+        by_h, by_kind = observed(h, kinds, kind)
+        more, by_unit = observed(h, rows, target)
+        by_h += more
+        contrasted(h, kinds, rng.multinomial(self.noise, self.share["kind"]), by_h, by_kind)
         for k, a, b in segments(kind):
-            rows = self.rows_of(k)
-            more, slope = self.contrast("unit", rows, h[a:b], target[a:b] - k * self.width, rng)
-            by_h[a:b] += more
-            self.step("unit", steps, rows, slope)
+            own = self.rows_of(k)
+            contrasted(h[a:b], rows[own], rng.multinomial(self.noise, self.share["unit"][own]), by_h[a:b], by_unit[own])
+        self.step("kind", steps, by_kind)
+        self.step("unit", steps, by_unit)
         by_h = np.ascontiguousarray(by_h[:, :-1])
-        sums, by_weight = np.zeros_like(self.context), np.empty_like(self.weight)
-        for k, (units_k, v) in enumerate(zip(before, vectors, strict=True)):
-            order = np.argsort(units_k)
-            index, found = run_sums(units_k[order], by_h[order])
-            sums[index] += found * self.weight[k]
-            by_weight[k] = np.einsum("bd,bd->d", by_h, v) / len(places)
-        index = np.flatnonzero(sums.any(1))
-        self.step("weight", steps, slice(None), by_weight)
-        self.step("context", steps, index, sums[index])
-
-    def step(self, table: str, steps: dict[str, np.ndarray], rows, slope: np.ndarray) -> None:
-        squares = steps[table][rows] + slope * slope
+        sums, by_weight = np.zeros_like(vectors), np.empty_like(self.weight)
+        for k, place in enumerate(before):
+            order = ordering(place, len(met))
+            index, found = run_sums(place[order], np.take(by_h, order, axis=0))
+            by_weight[k] = np.einsum("bd,bd->d", found, np.take(vectors, index, axis=0)) / len(places)
+            found *= self.weight[k]
+            sums[index] += found
+        self.step("weight", steps, by_weight)
+        self.step("context", steps, sums, met)
+
+    def step(self, table: str, steps: dict[str, np.ndarray], slope: np.ndarray, rows=slice(None)) -> None:
+        moved = slope * slope
+        squares = steps[table][rows]
+        squares += moved
         steps[table][rows] = squares
-        getattr(self, table)[rows] += np.float32(RATE) * slope / np.sqrt(squares)
+        np.sqrt(squares, out=moved)
+        np.divide(slope, moved, out=moved)
+        moved *= np.float32(RATE)
+        getattr(self, table)[rows] += moved
 
     def fresh_steps(self) -> dict[str, np.ndarray]:
         return {t: np.full(getattr(self, t).shape, 1e-6, np.float32) for t in self.tables}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of ``x``, which is used up."""
+def hidden(tables: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+    """The contexts' vectors, a one behind each, from weighted tables and the units before (nearest first)."""
+    h = np.take(tables[0], before[0], axis=0)
+    for table, units in zip(tables[1:], before[1:], strict=True):
+        h += np.take(table, units, axis=0)
+    return h
+
+
+def observed(h: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes by ``h`` and by ``rows``, which have the bar taken off, of the observed targets, in order."""
+    own = np.take(rows, target, axis=0)
     with np.errstate(over="ignore"):
-        np.exp(np.negative(x, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+        data = np.exp(np.einsum("bd,bd->b", h, own))
+    data += 1
+    np.reciprocal(data, out=data)
+    own *= data[:, None]
+    slope, width = np.zeros_like(rows), rows.shape[1]
+    even = np.zeros((len(h), width + width % 2), np.float32)
+    np.multiply(h, data[:, None], out=even[:, :width])
+    index, sums = run_sums(target, even)
+    slope[index] = sums[:, :width]
+    return own, slope
+
+
+def contrasted(h: np.ndarray, rows: np.ndarray, drawn: np.ndarray, by_h: np.ndarray, slope: np.ndarray) -> None:
+    """Adds the slopes of the ``drawn`` rows to those by ``h`` and by ``rows``."""
+    among = np.flatnonzero(drawn)
+    kept = rows[among]
+    with np.errstate(over="ignore"):
+        noise = np.exp(h @ -kept.T)
+    noise += 1
+    np.divide(-drawn[among].astype(np.float32), noise, out=noise)
+    by_h += noise @ kept
+    slope[among] += noise.T @ h
 
 
 def picked(h: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the normalised score of each context's target among ``rows``, by blocks that stay in the processor's cache."""
-    out = np.empty(len(h))
+    out, one = np.empty(len(h)), np.ones(len(rows), np.float32)
     for at in range(0, len(h), CACHED):
         scores = h[at : at + CACHED] @ rows.T
-        scores -= scores.max(1, keepdims=True)
         own = scores[np.arange(len(scores)), target[at : at + CACHED]]
-        np.exp(scores, out=scores)
-        out[at : at + CACHED] = own - np.log(scores.sum(1))
+        with np.errstate(over="ignore", under="ignore"):
+            total = np.exp(scores, out=scores) @ one
+        logs = np.log(total, where=(total > 1e-30) & (total < 1e30), out=np.full(len(total), np.nan, np.float32))
+        far = np.flatnonzero(np.isnan(logs))
+        if len(far):
+            # sums beyond single precision's range
+            scores = h[at + far] @ rows.T
+            most = scores.max(1)
+            logs[far] = most + np.log(np.exp(scores - most[:, None]).sum(1))
+        out[at : at + CACHED] = own - logs
     return out
 
 
@@ -298,11 +351,59 @@ def lexicon(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
     return [bytes(r["word"]) for r in rows], [r["n"] for r in rows]
 
 
-SUMS = "part string, first int, sums binary"
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` (text and others) with ``units`` (those of the text's words) for ``text``, and what else comes from the lexicon:
+    uid, n_tokens, n_known, the logs of the counts (base) and shares (within), and the words beyond it (rare, tf)."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    more = "uid long, n_tokens long, n_known long, base double, within double, units binary, rare array<binary>, tf array<long>"
+    schema = T.StructType([*kept, *T._parse_datatype_string(more).fields])
+    has_end = bool(vocabulary.words) and vocabulary.words[0] == b""
+    logs = np.log10(vocabulary.counts + 1.0)
+    end_log = logs[0] if has_end else 0.0
+
+    def encode(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            rows, rare, tf, ends = [], [], [], [0]
+            for text in batch.column("text").to_pylist():
+                words = byte_words(text or "")
+                at, own = vocabulary.found(words)
+                within = float(logs[at][vocabulary.is_shared[own]].sum()) - float(vocabulary.share[own].sum())
+                missing = np.flatnonzero(at < 0).tolist()
+                beyond = Counter([words[i] for i in missing])
+                rare.extend(beyond.keys())
+                tf.extend(beyond.values())
+                ends.append(len(rare))
+                rows.append((uid, len(words) + 1, len(words) - len(missing) + has_end, float(logs[at].sum()) + end_log, within, own.astype(vocabulary.kind).tobytes()))
+                uid += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((rare, pa.binary()), (tf, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns, *lists], names=schema.names)
+
+    return docs.select(*[f.name for f in kept], "text").mapInArrow(encode, schema)
 
 
 def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int = ROUNDS) -> Model:
     """The model of all texts in ``taught`` (text)."""
+    return learned(encoded(taught.select("text", part_of("text", rounds).alias("part")), vocabulary), vocabulary, tokens, rounds)
+
+
+def part_of(text: str, rounds: int) -> Column:
+    """The round that learns from a text."""
+    return F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int")
+
+
+SUMS = "part string, first int, sums binary"
+
+
+def learned(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int = ROUNDS) -> Model:
+    """The model of ``taught`` (uid, units, part)."""
     model = Model(vocabulary.frequency, context_length(tokens))
     #: no task below ``HELD`` tokens, and so few that their sums stay small against the corpus
     tasks = max(1, min(tokens // HELD, max(8, math.isqrt(tokens) // 400)))
@@ -321,7 +422,9 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
             steps, met, paths, held = model.fresh_steps(), np.zeros(len(model.unit)), [], 0
 
             def use():
-                units, places = joined_paths(paths, vocabulary.end, len(model.weight))
+                # in the order of the texts, whatever the order in which their files are read
+                paths.sort(key=lambda x: x[0])
+                units, places = joined_paths([path for _, path in paths], vocabulary.end, len(model.weight))
                 met[:] += np.bincount(units[places], minlength=len(met))
                 for _ in range(passes):
                     shuffled = rng.permutation(places)
@@ -330,9 +433,9 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
                 paths.clear()
 
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    paths.append(vocabulary.found(byte_words(text or ""))[1])
-                    held += len(paths[-1]) + 1
+                for uid, path in zip(batch.column("uid").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                    paths.append((uid, np.frombuffer(path, vocabulary.kind)))
+                    held += len(paths[-1][1]) + 1
                     if held >= HELD:
                         use()
                         held = 0
@@ -351,7 +454,7 @@ def trained(taught: DataFrame, vocabulary: Vocabulary, tokens: int, rounds: int
             total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in frame["sums"])
             return pd.DataFrame({"part": frame["part"].iloc[:1], "first": frame["first"].iloc[:1], "sums": [total.tobytes()]})
 
-        part = taught.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(tasks)
+        part = taught.filter(F.col("part") == turn).select("uid", "units").coalesce(tasks)
         sums = part.mapInArrow(learn, SUMS).groupBy("part", "first").applyInPandas(added, SUMS)
         for row in sums.collect():
             values = getattr(model, row["part"])
@@ -379,52 +482,31 @@ def score_documents(docs: DataFrame, training: Column | None = None, id_col: str
             shared[r["suffix"]] = r["n"], r["v"]
     train_tokens, types = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
     vocabulary = Vocabulary(*lexicon(counts, LEXICON), shared, train_tokens)
-    model = trained(taught, vocabulary, train_tokens)
-    has_end = bool(vocabulary.words) and vocabulary.words[0] == b""
-    logs = np.log10(vocabulary.counts + 1.0)
+    texts = stored(encoded(named.select("*", part_of("text", ROUNDS).alias("part")), vocabulary), "encoded")
+    model = learned(texts.filter("learn"), vocabulary, train_tokens)
     per_token = np.log10(train_tokens + types + 1)
-    end_log = logs[0] if has_end else 0.0
-    schema = T.StructType([named.schema["doc_id"], *T._parse_datatype_string("uid long, learn boolean, n_tokens long, n_known long, base double, score double, word binary, tf long").fields])
+    plain = texts.drop("part", "rare", "tf")
+    schema = T.StructType([f for f in plain.schema.fields if f.name not in ("within", "units")]).add("score", "double")
 
     def score(batches):
-        from collections import Counter
-
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        uid = TaskContext.get().partitionId() << 36
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
         for batch in batches:
-            owners, rows, paths = [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                words = byte_words(text or "")
-                at, own = vocabulary.found(words)
-                paths.append(own)
-                within = float(logs[at][vocabulary.is_shared[own]].sum()) - float(vocabulary.share[own].sum())
-                base = float(logs[at].sum()) + end_log - per_token * (len(words) + 1)
-                owners.append(k)
-                rows.append((uid + k, None, len(words) + 1, int(np.count_nonzero(at >= 0)) + has_end, base, within, None, None))
-                for word, n in Counter([words[i] for i in np.flatnonzero(at < 0)]).items():
-                    owners.append(None)
-                    rows.append((uid + k, None, None, None, None, None, word, n))
-            if not paths:
+            if not batch.num_rows:
                 continue
+            paths = [np.frombuffer(path, vocabulary.kind) for path in batch.column("units").to_pylist()]
             units, places = joined_paths(paths, vocabulary.end, len(model.weight))
             owner = np.repeat(np.arange(len(paths)), [len(path) + 1 for path in paths])
             found = np.bincount(owner, model.log_probabilities(units, places), len(paths)) / math.log(10)
-            take = pa.array(owners, pa.int64())
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            columns[1] = batch.column("learn").take(take)
-            columns[5] = pa.array([None if k is None else r[5] + found[k] for k, r in zip(owners, rows, strict=True)], pa.float64())
-            uid += len(paths)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *columns], names=schema.names)
+            columns = [batch.column(c) for c in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found + batch.column("within").to_numpy())], names=schema.names)
 
-    rows = stored(named.select("doc_id", "learn", "text").mapInArrow(score, schema), "scored")
-    rare = rows.filter("word IS NOT NULL").select("uid", "word", "tf").join(counts, "word")
+    rows = stored(plain.mapInArrow(score, schema), "scored")
+    rare = texts.select("uid", F.inline(F.arrays_zip("rare", "tf"))).select("uid", F.col("rare").alias("word"), "tf").join(counts, "word")
     more = rare.groupBy("uid").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("log"))
-    out = rows.filter("word IS NULL").drop("word", "tf").join(more, "uid", "left")
+    out = rows.join(more, "uid", "left")
     log = F.coalesce("log", F.lit(0.0))
     return out.select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") - float(per_token) * F.col("n_tokens") + log).alias("base_score"), (F.col("score") + log).alias("score"),
     )

@@ -134,3 +134,27 @@ def test_nothing_to_learn_from(spark):
     got = scored(spark, [(d, "a b c") for d in held])
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in got.values())
     assert scored(spark, []) == {}
+
+
+def test_texts_are_looked_up_once_and_learned_in_their_order(spark, monkeypatch):
+    docs = texts(random.Random(5), 40)
+    counts, v = vocabulary(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(scoring, "LEXICON", 50)
+    rows = scoring.encoded(frame.select("doc_id", "text"), v).collect()
+    for (d, t), r in zip(docs, rows, strict=True):
+        assert r.doc_id == d and np.frombuffer(r.units, v.kind).tolist() == v.found(words(t))[1].tolist()
+    monkeypatch.setattr(scoring, "byte_words", None)
+    written = spark.createDataFrame([(r.uid, r.units, r.uid % 2) for r in rows], "uid long, units binary, part int")
+    one, two = (scoring.learned(x.coalesce(1), v, sum(counts.values())) for x in (written, written.orderBy("units")))
+    assert all(np.array_equal(getattr(one, t), getattr(two, t)) for t in one.tables)
+
+
+def test_sums_of_runs_in_single_precision():
+    rng = np.random.default_rng(6)
+    values = np.sort(rng.integers(0, 40, 300))
+    for width in (5, 6):
+        rows = rng.normal(size=(300, width)).astype(np.float32)
+        index, sums = scoring.run_sums(values, rows)
+        assert index.tolist() == sorted(set(values.tolist())) and sums.dtype == np.float32
+        assert np.allclose(sums, [rows[values == i].sum(0) for i in index], atol=1e-5)
