@@ -4,7 +4,7 @@ A row's latent score is a + b * margin + c + noise, with the player's a and b an
 that is positive; so a player's threshold is -a / b and the width 1 / b. Players' pairs (a, b) come from one bivariate
 normal, team shifts, which add up to zero, from a normal around 0; their moments have weak priors.
 
-Rows stay on Spark. In each round tasks draw their rows' latent scores, truncated to the side of the choice, and add them up
+Rows stay on Spark, packed into blocks of ``BLOCK`` once, so that a round hands tasks a few arrays. In each round tasks draw their rows' latent scores, truncated to the side of the choice, and add them up
 by player and by team; the counts and margins by player and team that go with them never change and are summed once. Given
 these sums the driver draws players, teams and moments: arrays over levels, whose number is checked. A row's draw is a hash
 of its key, the chain and the round, so a repeated task repeats it. All chains run in the same passes.
@@ -20,12 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakewise.functions.kernels import inverse_phi, phi
+from stakewise.functions.kernels import inverse_phi, quick_phi
 from stakewise.operators.governance import CheckFailed, fetched
 
 #: Players and teams at most, and pairs of them that meet.
 MOST_LEVELS = 200_000
 MOST_CELLS = 2_000_000
+#: Rows of a block, whose arrays stay in the processor's cache.
+BLOCK = 16_384
+#: Rows of a task of a round, and different sums of a task that adds them up.
+ROWS_A_TASK, SUMS_A_TASK = 500_000, 20_000
+#: A row's choice, margin, key, player and team as a block has them.
+PACKED = {"y": np.int8, "m": np.float64, "key": np.int64, "p": np.int32, "t": np.int32}
 
 
 @dataclass
@@ -57,7 +63,7 @@ def uniforms(keys: np.ndarray, chain: int, step: int, seed: int) -> np.ndarray:
 def latent(eta: np.ndarray, chosen: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Normal draws around ``eta``, above 0 for choices and below for the rest."""
     side = np.where(chosen, 1.0, -1.0)
-    return eta - side * inverse_phi(np.maximum(u * phi(side * eta), 1e-300))
+    return eta - side * inverse_phi(np.maximum(u * quick_phi(side * eta), 1e-300))
 
 
 def indexed(rows: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
@@ -68,6 +74,26 @@ def indexed(rows: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     return rows.withColumn(column, F.col(column).cast("string")).join(F.broadcast(table), column), found
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Blocks of ``rows`` (y, m, key, p, t): a column's values as one array."""
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append({c: batch[c].to_numpy(zero_copy_only=False).astype(kind) for c, kind in PACKED.items()})
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield block(held)
+                held, size = [], 0
+        if size:
+            yield block(held)
+
+    def block(held):
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate([x[c] for x in held]).tobytes()], pa.binary()) for c in PACKED], names=list(PACKED))
+
+    return rows.select(*PACKED).mapInArrow(pack, ", ".join(f"{c} binary" for c in PACKED))
+
+
 def moments(rng: np.random.Generator, pairs: np.ndarray, covariance: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A draw of the pairs' mean (normal prior with ``centre`` and standard deviations ``spread``), then of their covariance
     (inverse Wishart prior, four degrees of freedom and a tenth of the unit matrix)."""
@@ -98,11 +124,14 @@ def sampled(rows: DataFrame, chosen: str, margin: str, player: str, team: str, k
     named = rows.select(F.col(chosen).cast("boolean").alias("y"), F.col(margin).cast("double").alias("m"), F.col(player).alias("player"), F.col(team).alias("team"), F.col(key).cast("long").alias("key")).dropna()
     named, players = indexed(named, "player")
     named, teams = indexed(named, "team")
-    held = named.select("y", "m", "key", F.col("player_at").alias("p"), F.col("team_at").alias("t")).cache()
+    placed = named.select("y", "m", "key", F.col("player_at").alias("p"), F.col("team_at").alias("t"))
+    cells = fetched(placed.groupBy("p", "t").agg(F.count("*").alias("n"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q")), MOST_CELLS, "pairs of player and team")
+    if not len(cells):
+        raise CheckFailed("no rows to sample from")
+    # a round is short, so its tasks are as many as there are cores, or as the rows need
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(cells["n"].sum()) // ROWS_A_TASK))
+    held = packed(placed.coalesce(tasks)).cache()
     try:
-        cells = fetched(held.groupBy("p", "t").agg(F.count("*").alias("n"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q")), MOST_CELLS, "pairs of player and team")
-        if not len(cells):
-            raise CheckFailed("no rows to sample from")
         return _chains(held, cells, players, teams, chains, burn, keep, seed, np.array(centre, float), np.array(spread, float))
     finally:
         held.unpersist()
@@ -148,8 +177,8 @@ def _latent_sums(held: DataFrame, pairs: np.ndarray, shifts: np.ndarray, step: i
     def added(batches):
         pairs, shifts = sent.value
         one, two = np.zeros((chains, size, 2)), np.zeros((chains, wide))
-        for batch in batches:
-            y, m, key, p, t = (batch[c].to_numpy(zero_copy_only=False) for c in ("y", "m", "key", "p", "t"))
+        for y, m, key, p, t in (row for batch in batches for row in zip(*[batch[c].to_pylist() for c in PACKED], strict=True)):
+            y, m, key, p, t = (np.frombuffer(x, kind) for x, kind in zip((y, m, key, p, t), PACKED.values(), strict=True))
             for c in range(chains):
                 z = latent(pairs[c, p, 0] + pairs[c, p, 1] * m + shifts[c, t], y.astype(bool), uniforms(key, c, step, seed))
                 one[c, :, 0] += np.bincount(p, z, size)
@@ -159,7 +188,9 @@ def _latent_sums(held: DataFrame, pairs: np.ndarray, shifts: np.ndarray, step: i
             c, at = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), pa.array(c.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(table[c, at])], names=["kind", "chain", "at", "value"])
 
-    found = held.mapInArrow(added, "kind int, chain int, at long, value double").groupBy("kind", "chain", "at").agg(F.sum("value").alias("value"))
+    # a task has one row a sum already; the session's number of shuffle partitions would be a round's tasks
+    parts = -(-chains * (2 * size + wide) // SUMS_A_TASK)
+    found = held.mapInArrow(added, "kind int, chain int, at long, value double").repartition(parts, "kind", "chain", "at").groupBy("kind", "chain", "at").agg(F.sum("value").alias("value"))
     got = fetched(found, chains * (2 * MOST_LEVELS + MOST_LEVELS), "sums")
     sent.unpersist()
     one, two = np.zeros((chains, 2 * size)), np.zeros((chains, wide))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stakewise.functions.kernels import inverse_phi, phi
+from stakewise.functions.kernels import inverse_phi, phi, quick_phi
 from stakewise.operators import hierarchy
 from stakewise.operators.governance import CheckFailed
 
@@ -87,3 +87,19 @@ def test_quantiles_invert_the_normal():
     assert np.abs(phi(inverse_phi(p)) / p - 1).max() < 2e-4
     x = np.linspace(-6, 6, 501)
     assert np.abs(inverse_phi(phi(x)) - x).max() < 1e-5
+
+
+def test_rows_travel_in_blocks(spark):
+    rows = spark.range(0, 40_000, 1, 2).selectExpr("id % 2 = 0 AS y", "id / 7.0D AS m", "id AS key", "cast(id % 5 AS int) AS p", "cast(id % 3 AS int) AS t")
+    blocks = hierarchy.packed(rows).collect()
+    assert len(blocks) < 10
+    found = np.sort(np.concatenate([np.frombuffer(b.key, np.int64) for b in blocks]))
+    assert np.array_equal(found, np.arange(40_000))
+    for b in blocks:
+        key = np.frombuffer(b.key, np.int64)
+        assert np.array_equal(np.frombuffer(b.t, np.int32), key % 3) and np.array_equal(np.frombuffer(b.m, float), key / 7.0)
+
+
+def test_quick_phi_is_phi():
+    x = np.concatenate([np.linspace(-37, 9, 20_001), [0.0, np.inf, -np.inf]])
+    assert np.abs(quick_phi(x) / np.maximum(phi(x), 1e-320) - 1)[x > -37].max() < 1e-12 and quick_phi(x)[-1] == 0
