@@ -16,6 +16,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 PARTITIONS = "spark.sql.shuffle.partitions"
 #: Rows of the whole stream for each partition of its state.
 ROWS_A_PARTITION = 50_000
+#: Rows of the whole stream for each bucket of keys.
+ROWS_A_BUCKET = 5_000
 
 
 @contextlib.contextmanager
@@ -43,14 +45,20 @@ def partitioned(spark, count: int):
     return settings(spark, {PARTITIONS: str(min(most, max(cores, -(-count // ROWS_A_PARTITION))))})
 
 
+def bucketed(spark, count: int) -> int:
+    """As many buckets of keys as ``count`` rows need, four a core at least."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-count // ROWS_A_BUCKET))
+
+
 def streamed(spark, rows, replay, cut: int = 8):
     """What ``replay`` makes of ``rows`` as a stream: those up to ``cut`` arrive first, the others in a second run."""
     source, state, out = (scratch(spark, n) for n in ("source", "state", "out"))
     rows = rows.cache()
-    with partitioned(spark, rows.count()):
+    count = rows.count()
+    with partitioned(spark, count):
         for part in (F.col("pitch_order") <= cut, F.col("pitch_order") > cut):
             rows.filter(part).write.mode("append").parquet(source)
-            stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, ORDER)
+            stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, ORDER, buckets=bucketed(spark, count))
             run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
             run.awaitTermination()
     rows.unpersist()
@@ -92,7 +100,7 @@ def streamed_late(spark, rows, replay, hours: int = 6):
     with rocksdb(spark), partitioned(spark, count):
         for part in parts:
             part.write.mode("append").parquet(source)
-            stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, "ts", ORDER, f"{hours} hours")
+            stream = replay(spark.readStream.schema(rows.schema).parquet(source), KEYS, "ts", ORDER, f"{hours} hours", buckets=bucketed(spark, count))
             run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
             run.awaitTermination()
     rows.unpersist()
